@@ -143,12 +143,12 @@ def _total(values: Column) -> Column:
 def fit(voted: DataFrame, column: str = "votes", rounds: int = 25) -> LabelModel:
     """Estimate from how often each vote pattern occurs in all of voted; the patterns, not the documents, are gathered.
 
-    The start holds that bad votes are commoner over bad documents; counts are smoothed by one, and the share of good
+    Rows without votes (null) don't count. The start holds that bad votes are commoner over bad documents; counts are smoothed by one, and the share of good
     documents stays within 0.5 and 0.99, so that good remains what most documents are.
     """
     m = len(RULES)
     patterns = voted.groupBy(column).count()
-    one = patterns.agg(F.collect_list(F.struct(F.col(column).alias("v"), F.col("count").cast("double").alias("n"))).alias("all"))
+    one = patterns.agg(F.collect_list(F.when(F.col(column).isNotNull(), F.struct(F.col(column).alias("v"), F.col("count").cast("double").alias("n")))).alias("all"))
     each_rule = lambda f: F.transform(F.sequence(F.lit(0), F.lit(m - 1)), f)
 
     def step(state: Column, _: Column) -> Column:
@@ -197,11 +197,9 @@ def judge(docs: DataFrame, bar: float = 0.5) -> DataFrame:
 def keep_good(docs: DataFrame, bar: float = 0.5) -> DataFrame:
     """The rows of docs that `judge` keeps, with their columns as they are.
 
-    The texts are counted twice, for the fit and for the filter; no text is moved.
+    The texts are counted twice, for the fit and for the filter; no text is moved. Both times the verdict is one
+    expression over counts that are bound once: split into columns, the optimizer would copy the counting into each use.
     """
-    name = "tidemill_features"
-    while name in docs.columns:
-        name += "_"
-    model = fit(docs.select(features(docs).alias("f")).where(~_base_failed(F.col("f"))).select(votes(F.col("f")).alias("votes")))
-    judged = docs.withColumn(name, features(docs))
-    return judged.where(~_base_failed(F.col(name)) & (model.probability(votes(F.col(name))) >= bar)).select(*(docs[c] for c in docs.columns))
+    voted = docs.select(let(features(docs), lambda f: F.when(~_base_failed(f), votes(f))).alias("votes"))
+    model = fit(voted)
+    return docs.where(let(features(docs), lambda f: ~_base_failed(f) & (model.probability(votes(f)) >= bar)))
