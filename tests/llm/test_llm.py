@@ -346,6 +346,14 @@ def test_pipeline(spark, odd):
     one = corpus_pipeline.drop_near_copies(spark, d.union(d.limit(20)), SF)
     assert {r.doc_id for r in one.collect()} == {r.component_id for r in simhash.near_duplicates(d).collect()} and one.count() == one.select("doc_id").distinct().count() and one.columns == d.columns
     assert corpus_pipeline.drop_near_copies(spark, odd, SF).count() == len({t or "" for _, t in ODD if (t or "").split()}) + 1
+    # extra columns may be called as the stages call their own
+    clash = {"k": "a", "r": "b", "n": "c", "row": "d", "m": "e", "fp": "f", "component_id": "g", "count": "h", "votes": "i"}
+    named = d.withColumns({k: F.lit(v) for k, v in clash.items()})
+    for rows, n in ((named, one.count()), (named.union(named.limit(20)), one.count())):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, rows, SF)
+            assert out.columns == named.columns and out.where(" and ".join(f"`{k}` = '{v}'" for k, v in clash.items())).count() == out.count() > 0
+        assert corpus_pipeline.drop_near_copies(spark, rows, SF).count() == n
     packed = corpus_pipeline.run(spark, SF)
     assert packed.count() > 0
 
