@@ -55,17 +55,23 @@ def fingerprints(texts_: list[str], width: int = WORDS_A_SHINGLE) -> np.ndarray:
     out = np.zeros(len(texts_), np.uint64)
     if not len(some):
         return out
-    h = np.array(hashes, np.uint64)
+    out[some] = _majority(np.array(hashes, np.uint64), (ends_ - counts)[some], counts[some])
+    return out
+
+
+def _majority(h: np.ndarray, begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each text, whose hashes h holds from begin on, the bits set in over half of them."""
+    out = np.zeros(len(counts), np.uint64)
     # runs of at most 255 hashes of one text: eight 8-bit counters fit a word
-    runs = (counts[some] + 254) // 255
-    first = np.repeat((ends_ - counts)[some], runs) + 255 * (np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs))
+    runs = (counts + 254) // 255
+    first = np.repeat(begin, runs) + 255 * (np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs))
     text_runs = np.cumsum(runs) - runs
     for k in range(8):
         lanes = np.add.reduceat(h >> np.uint64(k) & _LANES, first)
         ones = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), text_runs, axis=0)
-        over = 2 * ones > counts[some, None]
+        over = 2 * ones > counts[:, None]
         for byte in range(8):
-            out[some] |= over[:, byte].astype(np.uint64) << np.uint64(8 * byte + k)
+            out |= over[:, byte].astype(np.uint64) << np.uint64(8 * byte + k)
     return out
 
 
@@ -112,12 +118,12 @@ def _near(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (home[:, None] ^ near[s]) >> 11, beyond[s]
 
 
-def anchors(fingerprint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, anchor) for every anchor of every fingerprint."""
+def anchors(fingerprint: np.ndarray, beyond: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(row, anchor) for every anchor of every fingerprint: code words at most so far beyond the radius."""
     f = fingerprint.astype(np.uint64)
     low, mid = (f & np.uint64(_BLOCK)).astype(np.int64), (f >> np.uint64(_GOLAY_BITS) & np.uint64(_BLOCK)).astype(np.int64)
     (a, x), (b, y) = _near(low), _near(mid)
-    row, i, j = np.nonzero(x[:, :, None] + y[:, None, :] <= 2)
+    row, i, j = np.nonzero(x[:, :, None] + y[:, None, :] <= beyond)
     return row, a[row, i] << 12 | b[row, j]
 
 
