@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemill.llm import chat, neighbours, packing, pieces, quality, queries, repair, secrets, simhash, warc, wordpiece
+from tidemill.llm import chat, neighbours, packing, pieces, quality, queries, repair, secrets, simhash, similar, warc, wordpiece
 from tidemill.llm.words import WordIds
 
 SF = "/root/testdata/sf0.001"
@@ -257,6 +257,78 @@ def test_components(spark):
     assert {r.node: r.root for r in out.collect()} == root
 
 
+def _similar(rows):
+    """{key: smallest key of its component} by comparing all pairs."""
+    sets = {}
+    for i, t in rows:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+        w = re.findall(WORD, w)
+        sets[i] = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}) if w else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    of = sorted(sets)
+    for n, i in enumerate(of):
+        for j in of[:n]:
+            x, y = sets[i], sets[j]
+            if x == y or 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 5 * len(x & y) >= 4 * len(x | y):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in sets}
+
+
+def test_similar(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(900)]
+    texts = []
+    for group in range(12):
+        base = rng.choices(vocabulary, k=rng.choice([12, 60, 200, 900]))
+        texts.append(" ".join(base))
+        for _ in range(60 if group == 0 else 6):
+            w = list(base)
+            for _ in range(rng.randint(1, 1 + len(w) // 60)):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randint(0, 1)] = [rng.choice(vocabulary)]
+            texts.append(" ".join(w))
+        texts.append(" ".join(base).upper() + " \n")
+        texts += [" ".join(rng.choices(vocabulary, k=len(base)))]  # of the same vocabulary, unlike it
+    rows = list(enumerate(texts + [None, "", " \t", "One two", "one TWO", "one two three", "x y " * 6000, texts[5]], 7))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, digest string, node int")
+    got, want = {r.doc_id: r.component_id for r in similar.near_copies(docs).collect()}, _similar(rows)
+    assert got.keys() == want.keys()
+    # no link is wrong, and few texts that have links lose theirs
+    assert all(want[i] == want[r] for i, r in got.items())
+    assert sum(want[i] != i for i in want) > 60 and sum(got[i] != want[i] for i in want) <= 0.02 * len(want)
+    same(similar.representatives(docs).collect(), [(r,) for r in set(got.values())])
+    assert similar.near_copies(docs.limit(0)).count() == similar.representatives(docs.limit(0)).count() == 0
+
+
+def test_similar_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    same(similar.near_copies(docs).collect(), _similar(rows).items())
+
+
+def test_similar_candidates():
+    """Both rounds together connect what all pairs within the bits connect; the first emits few pairs of a crowded anchor."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 62, 4).astype(np.uint64)
+    far = np.repeat(base, 50) ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (6, 200)).astype(np.uint64), axis=0)
+    node, size, anchor = np.arange(200), rng.integers(90, 110, 200), np.repeat([1, 2], 100)
+    first = similar.candidates(anchor, node, far, size)
+    assert len(first) < 400
+    every = {(i, j) for i in range(200) for j in range(i + 1, 200) if anchor[i] == anchor[j] and int(far[i] ^ far[j]).bit_count() <= similar.FAR_BITS and 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j])}
+    assert {tuple(p) for p in first.tolist()} <= every and {x for p in every for x in p} == set(first.ravel().tolist())
+    label = rng.integers(0, 5, 200)
+    second = similar.candidates(anchor, node, far, size, label, np.zeros((200, similar.WIDE), np.uint64))
+    assert {tuple(p) for p in second.tolist()} == {(i, j) for i, j in every if label[i] != label[j]}
+
+
 def test_word_pieces(docs, rows):
     lib = sentencepiece.SentencePieceProcessor(model_file=queries.PIECE_BPE)
     every = {lib.id_to_piece(i) for i in range(259, lib.get_piece_size())}
@@ -344,7 +416,7 @@ def test_pipeline(spark, odd):
     kept = {r.doc_id for r in quality.judge(d).where("kept").collect()}
     assert {r.doc_id for r in good.collect()} == kept and good.columns == d.columns
     one = corpus_pipeline.drop_near_copies(spark, d.union(d.limit(20)), SF)
-    assert {r.doc_id for r in one.collect()} == {r.component_id for r in simhash.near_duplicates(d).collect()} and one.count() == one.select("doc_id").distinct().count() and one.columns == d.columns
+    assert {r.doc_id for r in one.collect()} == set(_similar([(r.doc_id, r.text) for r in d.collect()]).values()) and one.count() == one.select("doc_id").distinct().count() and one.columns == d.columns
     assert corpus_pipeline.drop_near_copies(spark, odd, SF).count() == len({t or "" for _, t in ODD if (t or "").split()}) + 1
     # extra columns may be called as the stages call their own
     clash = {"k": "a", "r": "b", "n": "c", "row": "d", "m": "e", "fp": "f", "component_id": "g", "count": "h", "votes": "i"}
