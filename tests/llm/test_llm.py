@@ -435,3 +435,29 @@ def test_empty_tables(spark, docs):
     for out in (secrets.scan(none), packing.pack(none, queries.WORD_BPE), quality.judge(none), pieces.encode(none, queries.PIECE_BPE), simhash.near_duplicates(none), wordpiece.count_tokens(none, queries.PIECE_BPE)):
         assert out.count() == 0
     assert neighbours.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def _near_threshold(seed, groups=150):
+    """Pairs of texts whose similarity is 0.8 or little more, made in one place or all over."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8))
+    rows = []
+    for g in range(groups):
+        n = rng.choice([40, 100, 300])
+        base = [word() for _ in range(n)]
+        near = list(base)
+        if g % 2:
+            at = rng.randrange(n)
+            near[at:at] = [word() for _ in range((n - 4) // 4 - 9)]
+        else:
+            for k in range((n - 4) // 45):
+                near[10 + 40 * k] = word()
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(near))]
+    return rows
+
+
+def test_similar_loses_no_link(spark):
+    rows = _near_threshold(3)
+    want = _similar(rows)
+    assert sum(want[i] != i for i in want) > 140
+    same(similar.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect(), want.items())
