@@ -461,3 +461,24 @@ def test_similar_loses_no_link(spark):
     want = _similar(rows)
     assert sum(want[i] != i for i in want) > 140
     same(similar.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect(), want.items())
+
+
+def test_similar_far_fingerprints(spark):
+    """Links whose fingerprints are more than FAR_BITS apart."""
+    rng = np.random.default_rng(5)
+    rows = []
+    while len(rows) < 12:
+        words = rng.integers(0, 1 << 40, 140).astype(str).tolist()
+        base, near = " ".join(words[:100]), " ".join([*words[:50], *words[100:115], *words[50:100]])
+        far = similar.marks([base, near], np.zeros(0, np.uint64), np.zeros(0, np.int64))[2]
+        if int(far[0] ^ far[1]).bit_count() > similar.FAR_BITS:
+            rows += [(len(rows), base), (len(rows) + 1, near)]
+    same(similar.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect(), [(i, i - i % 2) for i, _ in rows])
+    # the sketches' bound never refuses what reaches the similarity
+    for n in (1, 5, 60, 3000):
+        x = np.unique(rng.integers(0, 1 << 63, 10 * n).astype(np.uint64))
+        rng.shuffle(x)
+        a, b = x[: 9 * n], np.concatenate([x[: 8 * n], x[9 * n :]])
+        size, wide = np.array([len(a), len(b)]), np.stack([similar.sketch(a), similar.sketch(b)])
+        assert similar._allowed(wide, size, np.array([0]), np.array([1])).all()
+    assert not similar._allowed(np.stack([similar.sketch(a[:300]), similar.sketch(x[-300:])]), np.array([300, 300]), np.array([0]), np.array([1])).any()
