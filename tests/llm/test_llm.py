@@ -175,6 +175,44 @@ def test_token_files(spark, docs, rows):
     assert repair.round_trip(docs.limit(0), queries.BYTE_BPE).count() == 0
 
 
+def test_readers_obey_the_manifest(spark, tmp_path):
+    """Files that the manifest doesn't list are no data; files it lists must be there and whole."""
+    docs = spark.createDataFrame([(i, f"some text {i} " * 50) for i in range(40)], "doc_id long, text string")
+    pages = spark.createDataFrame([(i, "u", f"<html>{i}" + "x" * 300) for i in range(40)], "page_id long, url string, html string")
+    for operator, table, args, suffix in ((repair, docs, (queries.BYTE_BPE,), "rp"), (warc, pages, (), "warc.gz")):
+        folder = tmp_path / suffix
+        operator.write(table, f"file://{folder}", *args)
+        before = sorted(map(tuple, operator.read(spark, f"file://{folder}").collect()))
+        assert len(before) == 40
+        files = sorted(folder.glob(f"*.{suffix}"))
+        (folder / f"range-0000000-000099.{suffix}").write_bytes(files[0].read_bytes())
+        assert sorted(map(tuple, operator.read(spark, f"file://{folder}").collect())) == before
+        whole = files[0].read_bytes()
+        files[0].write_bytes(whole[:-1])
+        with pytest.raises(Exception, match="damaged"):
+            operator.read(spark, f"file://{folder}").collect()
+        files[0].unlink()
+        with pytest.raises(ValueError, match="missing"):
+            operator.read(spark, f"file://{folder}")
+        (folder / "manifest.json").unlink()
+        with pytest.raises(Exception, match="manifest"):
+            operator.read(spark, f"file://{folder}")
+
+
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(2)
+    ids = np.concatenate([rng.zipf(1.5, 20_000) % 60, np.zeros(500, np.int64), np.tile([5, 6], 300)])
+    starts = np.array([0, 4000, len(ids)])
+    symbols, offsets, rules = repair.compress(ids, starts, 50257)
+    assert (repair.expand(symbols, rules, 50257) == ids).all()
+    assert (repair.expand(symbols[: offsets[1]], rules, 50257) == ids[:4000]).all()
+    used = set(symbols.tolist()) | set(rules.ravel().tolist())
+    assert all(50257 + r in used for r in range(len(rules)))
+    pairs = Counter(zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True))
+    # what is left of a frequent pair overlaps itself
+    assert all(n < 2 * repair.LEAST for (a, b), n in pairs.items() if a != b)
+
+
 def test_grammar_random_access():
     rng = np.random.default_rng(1)
     parts = [np.concatenate([rng.integers(0, 9, rng.integers(0, 400)), [2]]).astype("<u2") for _ in range(200)]
@@ -325,7 +363,7 @@ def test_similar_candidates():
     every = {(i, j) for i in range(200) for j in range(i + 1, 200) if anchor[i] == anchor[j] and int(far[i] ^ far[j]).bit_count() <= similar.FAR_BITS and 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j])}
     assert {tuple(p) for p in first.tolist()} <= every and {x for p in every for x in p} == set(first.ravel().tolist())
     label = rng.integers(0, 5, 200)
-    second = similar.candidates(anchor, node, far, size, label, np.zeros((200, similar.WIDE), np.uint64))
+    second = similar.candidates(anchor, node, far, size, label, similar.Sketches([bytes(8 * similar.WIDE)] * 200))
     assert {tuple(p) for p in second.tolist()} == {(i, j) for i, j in every if label[i] != label[j]}
 
 
@@ -479,9 +517,12 @@ def test_similar_far_fingerprints(spark):
         x = np.unique(rng.integers(0, 1 << 63, 10 * n).astype(np.uint64))
         rng.shuffle(x)
         a, b = x[: 9 * n], np.concatenate([x[: 8 * n], x[9 * n :]])
-        size, wide = np.array([len(a), len(b)]), np.stack([similar.sketch(a), similar.sketch(b)])
-        assert similar._allowed(wide, size, np.array([0]), np.array([1])).all()
-    assert not similar._allowed(np.stack([similar.sketch(a[:300]), similar.sketch(x[-300:])]), np.array([300, 300]), np.array([0]), np.array([1])).any()
+        wide = similar.Sketches([similar.sketch(x).tobytes() for x in (a, b, x[: 7 * n], x[n:])])
+        sizes = np.array([len(a), len(b), 7 * n, 9 * n])
+        assert wide.allowed(sizes, np.array([0]), np.array([1])).all() and wide.allowed(sizes, 0, np.array([1, 3])).all()
+        other = np.unique(rng.integers(0, 1 << 63, 9 * n).astype(np.uint64))
+        if n > 1:
+            assert not similar.Sketches([similar.sketch(y).tobytes() for y in (a, other)]).allowed(np.array([9 * n, 9 * n]), np.array([0]), np.array([1])).any()
 
 
 def test_secrets_beside_patterns(spark):

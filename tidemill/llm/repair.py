@@ -1,16 +1,20 @@
 """Token ids in shard files, compressed by a Re-Pair grammar with random access.
 
 Documents are range-sorted by doc_id; every task encodes its range and rolls shards by number of ids. In a shard,
-frequent pairs of neighbouring symbols are replaced by nonterminals again and again; each round takes the most frequent
-pairs together, where occurrences overlap the left one goes first. Pairs never reach across documents, so a document is
-a run of symbols, found by its offset, and its length is known from the stored expansion lengths without expanding it.
+frequent pairs of neighbouring symbols are replaced by nonterminals again and again, until no pair is seen often enough
+to pay for its rule or the nonterminals beside the vocabulary are used up. Each round takes the most frequent pairs
+together; where occurrences overlap the more frequent pair goes first, then the left one. Pairs never reach across
+documents, so a document is a run of symbols, found by its offset, and its length is known from the stored expansion
+lengths without expanding it. The manifest lists every shard with its bytes and digest; readers read these and no others.
 
 File: magic, six little-endian 64-bit counts (documents, ids, symbols, rules, vocabulary size, ids before it in its
 range), rules (2 x uint16), expansion lengths (uint32), doc ids (int64), null flags (uint8), symbol offsets (uint32, one
 more than documents), token counts (uint32), symbols (uint16).
 
 Nulls: a null text is empty and yields the end id alone; null doc_ids come first. Rows of equal doc_id follow each other
-in the order of their texts' hashes; repeated rows are documents of their own. An empty table writes no shard.
+in the order of their texts' hashes; repeated rows are documents of their own, and many of them spread over several
+ranges. A very long text makes a longer shard. Columns besides doc_id and text play no part, however they are called. An
+empty table writes no shard.
 """
 
 from __future__ import annotations
@@ -26,29 +30,49 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_arrow, partitions_for, put, put_manifest, scratch, texts
+from .shared import contents, fingerprint, intact, map_arrow, partitions_for, put, put_manifest, scratch, texts
 from .words import word_ids
 
 MAGIC = b"TMRP0001"
 END = 2
 #: Ids after which a shard is closed; a longer document makes a longer shard.
 SHARD_IDS = 2_000_000
-ROUNDS, RULES_A_ROUND, LEAST = 4, 384, 24
+#: Pairs that a round replaces at most, and the least count of a pair: a rule costs as much as four symbols.
+RULES_A_ROUND, LEAST = 1024, 8
 _BUCKET_BITS = 18
 
 
-def compress(ids: np.ndarray, starts: np.ndarray, vocabulary: int, rounds: int = ROUNDS, a_round: int = RULES_A_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _apart(at: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Which of the sorted positions to take so that no two are neighbours: the higher score first, then the left one."""
+    taken, left = np.zeros(len(at), bool), np.arange(len(at))
+    for _ in range(3):
+        near = np.diff(at[left]) == 1
+        s = score[left]
+        over_left = np.concatenate([[True], ~near | (s[1:] > s[:-1])])
+        over_right = np.concatenate([~near | (s[:-1] >= s[1:]), [True]])
+        best = over_left & over_right
+        taken[left[best]] = True
+        beside = np.concatenate([best[1:] & near, [False]]) | np.concatenate([[False], best[:-1] & near])
+        left = left[~best & ~beside]
+        if not len(left):
+            return taken
+    # long runs of equal scores: every second one from the left
+    head = np.ones(len(left), bool)
+    head[1:] = np.diff(at[left]) > 1
+    first = np.maximum.accumulate(np.where(head, np.arange(len(left)), 0))
+    taken[left[(np.arange(len(left)) - first) % 2 == 0]] = True
+    return taken
+
+
+def compress(ids: np.ndarray, starts: np.ndarray, vocabulary: int, a_round: int = RULES_A_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, starts of documents in them, rules): rule r is nonterminal vocabulary + r and stands for two symbols.
 
-    ids and starts (of documents in ids) as arrays; no rule is made for a pair seen fewer than least times.
+    ids and starts (of documents in ids) as arrays. Ends when no pair is seen least times or no nonterminal is left.
     """
-    a_round = min(a_round, ((1 << 16) - vocabulary) // max(rounds, 1))
     symbols = ids.astype(np.int64)
     rules: list[np.ndarray] = []
-    n_rules = 0
-    for _ in range(rounds):
-        if len(symbols) < 2 or a_round < 1:
-            break
+    n_rules, free = 0, (1 << 16) - vocabulary
+    while len(symbols) > 1 and n_rules < free:
         keys = symbols[:-1] << 16 | symbols[1:]
         buckets = (keys * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - _BUCKET_BITS)
         within = np.ones(len(keys), bool)
@@ -59,27 +83,27 @@ def compress(ids: np.ndarray, starts: np.ndarray, vocabulary: int, rounds: int =
         bar = max(least, int(np.partition(counts, -a_round)[-a_round]))
         at = np.flatnonzero((counts >= bar)[buckets] & within)
         pairs, which, exact = np.unique(keys[at], return_inverse=True, return_counts=True)
-        best = np.sort(np.argsort(-exact, kind="stable")[:a_round])
+        best = np.argsort(-exact, kind="stable")[: min(a_round, free - n_rules)]
         best = best[exact[best] >= least]
-        if not len(best):
-            break
         place = np.full(len(pairs), -1)
         place[best] = np.arange(len(best))
         which = place[which]
         at, which = at[which >= 0], which[which >= 0]
-        # of occurrences that overlap in a chain, every second one from the left
-        head = np.ones(len(at), bool)
-        head[1:] = np.diff(at) > 1
-        first = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - first) % 2 == 0
+        take = _apart(at, exact[best][which]) if len(at) else np.zeros(0, bool)
         at, which = at[take], which[take]
+        # what overlapping pairs have left of a pair must pay for the rule, too
+        pays = np.bincount(which, minlength=len(best)) > 4
+        if not pays.any():
+            break
+        at, which = at[pays[which]], (np.cumsum(pays) - 1)[which[pays[which]]]
         symbols[at] = vocabulary + n_rules + which
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         before = np.concatenate([[0], np.cumsum(keep)])
         symbols, starts = symbols[keep], before[starts]
-        rules.append(np.stack([pairs[best] >> 16, pairs[best] & 0xFFFF], axis=1))
-        n_rules += len(best)
+        chosen = pairs[best[pays]]
+        rules.append(np.stack([chosen >> 16, chosen & 0xFFFF], axis=1))
+        n_rules += len(chosen)
     return symbols, starts, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
 
 
@@ -145,23 +169,29 @@ class Shard:
         return expand(self.symbols, self.rules, self.vocabulary)
 
 
-def write(docs: DataFrame, folder: str, vocabulary_file: str, kind: str = "byte_bpe", end: int = END, shard_ids: int = SHARD_IDS) -> dict[int, tuple[int, int, int]]:
-    """Write the shards of docs below folder; for each range its number of ids, shards and documents, also in the manifest."""
+FILES = "name string, bytes long, sha256 string, part long, before long, n_ids long, n_docs long"
+
+
+def write(docs: DataFrame, folder: str, vocabulary_file: str, kind: str = "byte_bpe", end: int = END, shard_ids: int = SHARD_IDS) -> DataFrame:
+    """Write the shards of docs below folder; their table, which the manifest names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_ids(vocabulary_file, kind)
         size, tail, part = coder.tokenizer.get_vocab_size(), end.to_bytes(2, "little"), TaskContext.get().partitionId()
         keys: list[int | None] = []
         parts: list[bytes] = []
-        held = total = shards = n_docs = 0
+        held = total = shards = 0
 
-        def close() -> None:
-            nonlocal held, total, shards, n_docs
+        def close() -> pa.RecordBatch:
+            nonlocal held, total, shards
             counts = [len(p) // 2 for p in parts]
-            put(folder, f"range-{part:07d}-{shards:06d}.rp", written(keys, counts, np.frombuffer(b"".join(parts), "<u2"), total, size))
-            total, shards, n_docs, held = total + held, shards + 1, n_docs + len(keys), 0
+            name, data = f"range-{part:07d}-{shards:06d}.rp", written(keys, counts, np.frombuffer(b"".join(parts), "<u2"), total, size)
+            put(folder, name, data)
+            row = pa.RecordBatch.from_pylist([{"name": name, "bytes": len(data), "sha256": fingerprint(data), "part": part, "before": total, "n_ids": held, "n_docs": len(keys)}])
+            total, shards, held = total + held, shards + 1, 0
             keys.clear()
             parts.clear()
+            return row
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -170,48 +200,48 @@ def write(docs: DataFrame, folder: str, vocabulary_file: str, kind: str = "byte_
                 parts.append(ids)
                 held += len(ids) // 2
                 if held >= shard_ids:
-                    close()
+                    yield close()
         if keys:
-            close()
-        if shards:
-            yield pa.record_batch([pa.array([x], pa.int64()) for x in (part, total, shards, n_docs)], names=["part", "n_ids", "n_shards", "n_docs"])
+            yield close()
+
+    # the row's number spreads identical rows, whose order doesn't matter
+    rows = texts(docs).withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ranged = rows.repartitionByRange(partitions_for(docs), "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "text")
+    return put_manifest(folder, map_arrow(ranged, run, FILES), {"vocabulary": kind, "end": end})
+
 
-    rows = texts(docs).withColumn("tie", F.xxhash64("text"))
-    ranged = rows.repartitionByRange(partitions_for(docs), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    # one small row for each range comes back, never one for each document
-    done = {r.part: (r.n_ids, r.n_shards, r.n_docs) for r in map_arrow(ranged, run, "part long, n_ids long, n_shards long, n_docs long").collect()}
-    put_manifest(folder, {"vocabulary": kind, "ranges": {str(k): v for k, v in sorted(done.items())}})
-    return done
+#: Of a shard's documents every so many-th is also read by its offset alone and must agree.
+PROBE = 64
 
 
-def read(spark, folder: str, ranges: dict[int, tuple[int, int, int]], with_ids: bool = False) -> DataFrame:
-    """Per document of the shards: doc_id, start (ids of all documents before it), n_tokens, ids_crc32; with_ids its ids."""
+def read(spark, folder: str, with_ids: bool = False) -> DataFrame:
+    """Per document of the shards that the manifest lists: doc_id, start (ids of all documents before it), n_tokens, ids_crc32; with_ids its ids."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    if not ranges:
-        return spark.createDataFrame([], schema)
+    files = contents(spark, folder, ".rp")
     starts, total = {}, 0
-    for part in sorted(ranges):
-        starts[part], total = total, total + ranges[part][0]
+    # one small row for each range comes here, never one for each document
+    for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
+        starts[r.part], total = total, total + r.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                shard = Shard(data.as_py())
-                part = int(path.rsplit("/", 1)[1].split("-")[1])
+            for content, name, size, digest, part in zip(batch.column(0), *(batch.column(c).to_pylist() for c in range(1, 5)), strict=True):
+                shard = Shard(intact(name, content.as_py(), size, digest))
                 ids = shard.all_ids().astype("<u4")
                 ends = np.cumsum(shard.counts.astype(np.int64))
                 begins = ends - shard.counts
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+                if any(zlib.crc32(shard.ids(k).astype("<u4")) != crc[k] for k in range(0, shard.docs, PROBE)):
+                    raise ValueError(f"a document doesn't decode alone: {name}")
                 columns = [pa.array(shard.keys, pa.int64(), mask=shard.nulls.astype(bool)), pa.array(begins + shard.before + starts[part]), pa.array(shard.counts.astype(np.int64)), pa.array(crc, pa.int64())]
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), ids.astype(np.int32)))
                 yield pa.record_batch(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.rp").load(folder).select("path", "content")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    return files.mapInArrow(run, schema)
+    return map_arrow(files.select("content", "name", "bytes", "sha256", "part"), run, schema, 8)
 
 
 def round_trip(docs: DataFrame, vocabulary_file: str) -> DataFrame:
     spark, folder = docs.sparkSession, scratch(docs.sparkSession)
-    return read(spark, folder, write(docs, folder, vocabulary_file))
+    write(docs, folder, vocabulary_file)
+    return read(spark, folder)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import hashlib
 import json
 import os
 import tempfile
@@ -15,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch. Texts can be long; a batch stays near this many average documents.
+#: Rows that a map is given at once. Texts can be long; Spark also limits a batch's bytes (arrow.maxBytesPerBatch, 64 MB).
 ARROW_ROWS = 1000
+#: Ids up to which a side of a join is broadcast (16 MB at most); larger ones are merged.
+BROADCAST_IDS = 1_000_000
 #: Parquet bytes of input for which one task is planned when an operator has to choose a partition count.
 TASK_BYTES = 8 << 20
 
@@ -26,9 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a folder of our own only where that is unset."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share; one of our own only on a local master."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = _own_folder()
     return f"{base.rstrip('/')}/tidemill-{uuid.uuid4().hex}"
 
@@ -38,12 +44,54 @@ def _own_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="tidemill-")
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (dots as double underscores) for a while; afterwards they are what they were."""
+    names = {k: k.replace("__", ".") for k in values}
+    before = {n: spark.conf.get(n, None) for n in names.values()}
+    try:
+        for k, v in values.items():
+            spark.conf.set(names[k], v)
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
 def stash(df: DataFrame) -> DataFrame:
-    """df, written as a table in the shared folder and read again: cuts the lineage and survives lost executors."""
+    """df, written as a table in the shared folder and read again: cuts the lineage and survives lost executors.
+
+    What the write has shuffled is given back with its end, since nothing reads it any more.
+    """
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that `stash` wrote and that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t._stashed)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of the shared store, by Spark's own file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def only(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of df whose key is among ids, a table from `stash` with one column of distinct numbers.
+
+    Few ids go to the rows by broadcast, after they have been counted; otherwise rows and ids are shuffled and merged.
+    """
+    ids = ids.select(F.col(ids.columns[0]).alias("only_"))
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if small else ids.hint("merge"), F.col(key) == F.col("only_"), "left_semi")
 
 
 def partitions_for(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:
@@ -53,10 +101,13 @@ def partitions_for(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, min(size // task_bytes + 1, 1_000_000))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with small batches, since a row can hold a whole book."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return df.mapInArrow(fn, schema)
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = ARROW_ROWS) -> DataFrame:
+    """mapInArrow with batches of at most so many rows, since a row can hold a whole book."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+
+    return df.mapInArrow(run, schema)
 
 
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -90,6 +141,45 @@ def put(folder: str, name: str, data: bytes) -> None:
     store.move(f"{base}/{temporary}", f"{base}/{name}")
 
 
-def put_manifest(folder: str, content: dict) -> None:
-    """The commit of a set of files: they count as written once this one is there."""
-    put(folder, "_MANIFEST.json", json.dumps(content, sort_keys=True).encode())
+def fingerprint(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
+
+
+def put_manifest(folder: str, files: DataFrame, content: dict) -> DataFrame:
+    """The commit of a set of files: they count as written once this one is there. Returns the table of files.
+
+    files (name, bytes, sha256, and more) can be many, so they are a table beside the manifest, which names that table.
+    Writing that table runs the task that writes the files, and holds the names of the attempts that counted only.
+    """
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema)
+    files.write.parquet(f"{folder}/files")
+    put(folder, "manifest.json", json.dumps(content | {"files": "files", "schema": schema}, sort_keys=True).encode())
+    return listed(files.sparkSession, folder)
+
+
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """The table of files that the folder's manifest names; a folder without one isn't complete and can't be read."""
+    found = json.loads(spark.read.text(f"{folder}/manifest.json", wholetext=True).first().value)
+    return spark.read.schema(found["schema"]).parquet(f"{folder}/{found['files']}")
+
+
+def contents(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
+    """(content, and the columns of `listed`) of the files that the manifest lists, and of no others.
+
+    The reader must hold each content against its digest with `intact`.
+    """
+    files = listed(spark, folder)
+    stored = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder)
+    stored = stored.select(F.element_at(F.split("path", "/"), -1).alias("stored_"), "content")
+    # the names go to the files by broadcast when they are few, so that no content is shuffled
+    n = files.count()
+    met = stored.join(F.broadcast(files) if n <= BROADCAST_IDS // 8 else files, F.col("stored_") == F.col("name")).drop("stored_")
+    if met.select("name").distinct().count() < n:
+        raise ValueError(f"files that the manifest lists are missing in {folder}")
+    return met
+
+
+def intact(name: str, content: bytes, size: int, digest: str) -> bytes:
+    if len(content) != size or fingerprint(content) != digest:
+        raise ValueError(f"a damaged file: {name}")
+    return content

@@ -2,12 +2,14 @@
 
 Records are range-sorted by page_id; a task writes its range as gzip members, rolls files by compressed size and makes
 every header anew: ids from page_id and digest, a fixed date, payload and block digests. Files appear under their names
-only when complete, and the set of files counts as written once the manifest is there. Equal input gives equal files.
+only when complete, and the set of files counts as written once the manifest is there, which lists each file with its bytes
+and digest; readers read these and no others. Equal input gives equal files.
 
 Of payloads of at least `least` bytes that are equal, the record with the smallest page_id is the response; the others are
 revisits without payload. Nulls: a null html is an empty payload, a null url leaves out the target; a null page_id is
 written without the id and is never a response that others refer to, unless no equal payload has an id: then all stay
-responses. Repeated rows of the smallest page_id are all responses. An empty table writes no file.
+responses. Repeated rows of the smallest page_id are all responses. A very long html is one record, in a file of its own
+length. Columns besides page_id, url and html play no part, however they are called. An empty table writes no file.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_arrow, partitions_for, put, put_manifest, scratch, stash
+from .shared import contents, discard, fingerprint, intact, map_arrow, partitions_for, put, put_manifest, scratch, stash
 
 LEAST = 100
 FILE_BYTES = 4 << 20
@@ -78,8 +80,11 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield head, block
 
 
-def write(pages: DataFrame, folder: str, least: int = LEAST, file_bytes: int = FILE_BYTES) -> int:
-    """Write the archives of pages (page_id, url, html) below folder; the number of records."""
+FILES = "name string, bytes long, sha256 string, records long"
+
+
+def write(pages: DataFrame, folder: str, least: int = LEAST, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Write the archives of pages (page_id, url, html) below folder; their table, which the manifest names."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     # of repeated payloads only; as a table its size is known when the join is planned, and hot payloads are one row
@@ -88,34 +93,32 @@ def write(pages: DataFrame, folder: str, least: int = LEAST, file_bytes: int = F
     rows = rows.join(first, F.col("digest") == F.col("d"), "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("d", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, members, held, files, n = TaskContext.get().partitionId(), [], 0, [], 0
+        part, members, held, n = TaskContext.get().partitionId(), [], 0, 0
 
-        def close() -> None:
-            nonlocal held
-            data = b"".join(members)
-            name = f"part-{part:07d}-{len(files):06d}.warc.gz"
+        def close() -> pa.RecordBatch:
+            nonlocal held, n
+            name, data = f"part-{part:07d}-{n:06d}.warc.gz", b"".join(members)
             put(folder, name, data)
-            files.append((name, len(members), len(data), hashlib.sha256(data).hexdigest()))
+            row = pa.RecordBatch.from_pylist([{"name": name, "bytes": len(data), "sha256": fingerprint(data), "records": len(members)}])
             members.clear()
-            held = 0
+            held, n = 0, n + 1
+            return row
 
         for batch in batches:
             for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 members.append(member(record(*x)))
                 held += len(members[-1])
-                n += 1
                 if held >= file_bytes:
-                    close()
+                    yield close()
         if members:
-            close()
-        if files:
-            yield pa.record_batch([pa.array([part], pa.int64()), pa.array([n], pa.int64()), pa.array([len(files)], pa.int64()), pa.array([hashlib.sha256(repr(files).encode()).hexdigest()])], names=["part", "n", "files", "sha256"])
+            yield close()
 
-    ordered = rows.repartitionByRange(partitions_for(pages), "page_id", "digest").sortWithinPartitions("page_id", "digest", "url")
-    # one small row for each range comes back, never one for each record
-    done = map_arrow(ordered.select("page_id", "url", "payload", "digest", "refers_to"), run, "part long, n long, files long, sha256 string").collect()
-    put_manifest(folder, {"ranges": {str(r.part): {"records": r.n, "files": r.files, "sha256": r.sha256} for r in done}})
-    return sum(r.n for r in done)
+    # the row's number spreads identical rows, whose order doesn't matter
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    ordered = rows.repartitionByRange(partitions_for(pages), "page_id", "digest", "url", "row").sortWithinPartitions("page_id", "digest", "url", "row")
+    out = put_manifest(folder, map_arrow(ordered.select("page_id", "url", "payload", "digest", "refers_to"), run, FILES), {})
+    discard(first)
+    return out
 
 
 SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -126,9 +129,9 @@ def read(spark, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0):
+            for content, name, size_, sha in zip(batch.column(0), *(batch.column(c).to_pylist() for c in range(1, 4)), strict=True):
                 rows = []
-                for head, block in records(gzip.decompress(data.as_py())):
+                for head, block in records(gzip.decompress(intact(name, content.as_py(), size_, sha))):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     digest, size = head["warc-payload-digest"].removeprefix("sha256:"), int(http.rpartition(b"Content-Length: ")[2])
                     if head["warc-type"] == "response" and (len(payload), hashlib.sha256(payload).hexdigest()) != (size, digest):
@@ -139,10 +142,10 @@ def read(spark, folder: str) -> DataFrame:
                 names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content").mapInArrow(run, SCHEMA)
+    return map_arrow(contents(spark, folder, ".warc.gz").select("content", "name", "bytes", "sha256"), run, SCHEMA, 4)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     spark, folder = pages.sparkSession, scratch(pages.sparkSession)
-    return read(spark, folder) if write(pages, folder) else spark.createDataFrame([], SCHEMA)
+    write(pages, folder)
+    return read(spark, folder)
