@@ -173,9 +173,8 @@ def links(distinct: DataFrame) -> DataFrame:
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = batch.column(0).to_numpy()
-            for at in range(0, len(f), 2000):
-                row, anchor = anchors(f[at : at + 2000].view(np.uint64))
-                yield pa.record_batch([pa.array(anchor.astype(np.int32)), pa.array(f[at + row])], names=["anchor", "fp"])
+            row, anchor = anchors(f.view(np.uint64))
+            yield pa.record_batch([pa.array(anchor.astype(np.int32)), pa.array(f[row])], names=["anchor", "fp"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(anchor: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
@@ -199,9 +198,8 @@ def links(distinct: DataFrame) -> DataFrame:
 
     spark = distinct.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    dealt = distinct.select("fp").mapInArrow(replicate, "anchor int, fp long").repartition(n, "anchor").sortWithinPartitions("anchor", "fp")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    dealt = map_arrow(distinct.select("fp"), replicate, "anchor int, fp long", 2000).repartition(n, "anchor").sortWithinPartitions("anchor", "fp")
+    return map_arrow(dealt, compare, "a long, b long", 10_000).distinct()
 
 
 def components(links_: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
