@@ -448,6 +448,80 @@ def test_chat(spark):
     assert chat.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def _linked(turns):
+    """The events of turns by comparing every event with every other of its conversation."""
+    events = [(c, t, n, *e) for c, t, role, text in turns for n, e in enumerate(chat.events_of(role, text or "", chat.TOOLS))]
+    before = lambda e: ((e[1] is not None, e[1] or 0), e[2])
+    out = []
+    for e in events:
+        conv, turn, seq, kind, call_id, _, status, line = e
+        if call_id is None or conv is None:
+            out.append((conv, turn, seq, kind, call_id, 0, status if kind == "message" or status != "ok" else "orphan" if kind == "result" else "unanswered", line))
+            continue
+        same_id = [x for x in events if x[0] == conv and x[4] == call_id]
+        calls, results = (sorted((x for x in same_id if x[3] == k), key=before) for k in ("call", "result"))
+        own = before(e) == before((calls if kind == "call" else results)[0])
+        answered = bool(calls and results) and before(results[0]) > before(calls[0])
+        firsts = defaultdict(list)
+        for x in sorted((x for x in events if x[0] == conv and x[3] == "call"), key=before):
+            if not firsts[x[4]] or before(firsts[x[4]][0]) == before(x):
+                firsts[x[4]].append(x)
+
+        def level(i, above=()):
+            if i in above:
+                return None
+            levels = [level(x, (*above, i)) for f in firsts[i] for x in f[5] if x in firsts]
+            return None if None in levels else max([-1, *levels]) + 1
+
+        n = level(call_id) if calls else None
+        if not own:
+            status = "duplicate"
+        elif kind == "result" and not (calls and answered):
+            status = "orphan"
+        elif kind == "call" and status != "ok":
+            pass
+        elif n is None:
+            status = "cyclic"
+        else:
+            status = "unanswered" if kind == "call" and not answered else "ok"
+        out.append((conv, turn, seq, kind, call_id, n, status, line))
+    return out
+
+
+def test_chat_against_brute_force(spark):
+    rng = random.Random(12)
+    call = lambda i, needs: "<tool_call>" + json.dumps({"id": i, "name": rng.choice(["search", "fly"]), "arguments": {"query": rng.choice(["q", ""])}, "depends_on": needs}) + "</tool_call>"
+    turns = []
+    for conv in (1, 2, 3, 4, None):
+        for turn in range(30):
+            if rng.random() < 0.5:
+                turns.append((conv, rng.choice([turn, turn, None]), "assistant", "said" + "".join(call(f"c{rng.randint(0, 14)}", [f"c{rng.randint(0, 16)}" for _ in range(rng.choice([0, 0, 1, 2]))]) for _ in range(rng.randint(0, 2)))))
+            else:
+                turns.append((conv, turn, "tool", json.dumps({"tool_call_id": f"c{rng.randint(0, 16)}", "content": turn})))
+    turns += [(7, t, "assistant", call(f"k{t}", [f"k{t - 1}"] if t else [])) for t in range(12)]  # a chain
+    turns += [(8, 0, "assistant", call("a", ["a"])), (8, 1, "assistant", call("b", ["a"])), (8, 2, "assistant", "x" * 3_000_000 + call("long", []))]
+    turns += [t for t in turns if rng.random() < 0.3]  # repeated rows, calls and results among them
+    df = spark.createDataFrame([(*t, "clash", "clash") for t in turns], "conv_id long, turn long, role string, text string, level string, c string")
+    want = _linked(turns)
+    assert {x[6] for x in want} >= {"ok", "cyclic", "duplicate", "orphan", "unanswered", "invalid", "unknown_tool"} and max(x[5] or 0 for x in want) == 11
+    for one_task in (chat.ONE_TASK, 8, 0):  # ordered by one task for each conversation, by rounds for the larger ones, for all
+        same(chat.link(df, one_task=one_task).collect(), want)
+
+
+def test_tool_turns(spark):
+    rows = chat.link(chat.with_tools(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet"))).collect()
+    found = Counter((r.kind, r.status) for r in rows)
+    assert {s for k, s in found if k == "call"} >= {"ok", "invalid", "unknown_tool", "unanswered", "cyclic", "duplicate"} and found["call", "ok"] > 100
+    assert {s for k, s in found if k == "result"} >= {"ok", "orphan", "duplicate"} and found["message", "malformed"] and max(r.level or 0 for r in rows) >= 2
+    turns = [(r.conv_id, r.turn, r.role, r.text) for r in chat.with_tools(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")).collect()]
+    by_conv = defaultdict(list)
+    for t in turns:
+        by_conv[t[0]].append(t)
+    same(rows, [x for ts in by_conv.values() for x in _linked(ts)])
+    odd = spark.createDataFrame([(None, None, None, None), (None, 1, "assistant", None), (1, None, "assistant", "x")], "conv_id long, turn long, role string, text string")
+    assert chat.link(chat.with_tools(odd)).count() >= 3
+
+
 def test_pipeline(spark, odd):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     good = corpus_pipeline.keep_good(spark, d, SF)

@@ -11,8 +11,10 @@ duplicate (not the first of its identifier), cyclic, unknown_tool, or invalid; o
 messages: ok, or malformed if a call's JSON can't be read (its text then stays in the message).
 
 Order by turn, then level, then seq for a training text. Nulls: a null text is an empty message; null conv_id, turn and
-role stay null; calls and results without conv_id or identifier aren't linked. Repeated rows give repeated events; of
-repeated identifiers the first by turn and seq counts. An empty table gives no events. No conversation is gathered.
+role stay null; calls and results without conv_id or identifier aren't linked. Repeated rows give as many repeated events,
+judged alike; of repeated identifiers the first by turn and seq counts, rows that tie there together. An empty table gives no events. Very long texts are
+read whole; columns besides the four play no part, however they are called. What one task gathers of a conversation are the
+dependences of its calls, up to ONE_TASK; larger conversations are ordered by rounds over all of them.
 """
 
 from __future__ import annotations
@@ -20,7 +22,9 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,33 +127,65 @@ def events(turns: DataFrame, tools: dict[str, dict] | None = None) -> DataFrame:
     return map_arrow(rows, run, EVENTS)
 
 
-def _levels(calls: DataFrame) -> DataFrame:
-    """(c, i, level) of calls that depend on nothing unmet; those missing lie on a cycle or behind one.
+#: Dependences of a conversation that one task orders; those of larger ones are ordered by rounds over all of them.
+ONE_TASK = 100_000
+
+
+def _ordered(edges: pd.DataFrame) -> pd.DataFrame:
+    """(c, i, level) of one conversation's calls that wait for others, level by level; calls on a cycle or behind one are missing."""
+    waits, behind = edges.groupby("call_id").need.count().to_dict(), edges.groupby("need").call_id.apply(list).to_dict()
+    at, level, out = [n for n in behind if n not in waits], 0, []
+    while at:
+        level, ready = level + 1, []
+        for n in at:
+            for call in behind.get(n, ()):
+                waits[call] -= 1
+                if not waits[call]:
+                    ready.append(call)
+        out += [(call, level) for call in ready]
+        at = ready
+    columns = {"c": ([int(edges.conv_id.iloc[0])] * len(out), "int64"), "i": ([i for i, _ in out], object), "level": ([n for _, n in out], "int32")}
+    return pd.DataFrame({k: pd.Series(v, dtype=t) for k, (v, t) in columns.items()})
+
+
+def _by_rounds(edges: DataFrame, free: DataFrame) -> DataFrame:
+    """The same for all calls at once, a round for each level: only what is still waiting and what became free last take part."""
+    node, spark = ["conv_id", "call_id"], edges.sparkSession
+    done, left, level = [], edges, 0
+    newest = stash(free.select(F.col("c").alias("conv_id"), F.col("i").alias("need")))
+    while True:
+        level += 1
+        met = left.join(newest, ["conv_id", "need"], "left_semi").select(*node).distinct()
+        still = stash(left.join(newest, ["conv_id", "need"], "left_anti"))
+        ready = stash(met.join(still, node, "left_anti"))
+        if ready.isEmpty():
+            break
+        done.append(ready.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"), F.lit(level).alias("level")))
+        newest, left = ready.select("conv_id", F.col("call_id").alias("need")), still
+        if len(done) > 50:  # a plan of bounded size, however long the chain
+            done = [stash(reduce(DataFrame.union, done))]
+    return reduce(DataFrame.union, done, spark.createDataFrame([], "c long, i string, level int"))
+
 
-    Dependences on identifiers that the conversation doesn't have are ignored. As many rounds as the longest chain.
+def _levels(calls: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """(c, i, level) of calls that depend on nothing unmet, one row each; those missing lie on a cycle or behind one.
+
+    Dependences on identifiers that the conversation doesn't have are ignored.
     """
-    first = calls.where(F.col("own")).select("conv_id", "call_id", "needs")
-    keys = first.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"))
-    wants = first.select("conv_id", "call_id", F.explode(F.array_distinct("needs")).alias("need"))
+    first = calls.where("own").select("conv_id", "call_id", "needs")
+    keys = first.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i")).distinct()
+    wants = first.select("conv_id", "call_id", F.explode("needs").alias("need")).distinct()
     wants = stash(wants.join(keys, (F.col("conv_id") == F.col("c")) & (F.col("need") == F.col("i"))).select("conv_id", "call_id", "need"))
-    levels = keys.join(wants.select(F.col("conv_id").alias("x"), F.col("call_id").alias("y")).distinct(), (F.col("c") == F.col("x")) & (F.col("i") == F.col("y")), "left_anti").withColumn("level", F.lit(0))
-    if wants.isEmpty():
-        return levels
-    levels = stash(levels)
-    known, total = levels.count(), wants.select("conv_id", "call_id").distinct().count()
-    while total:
-        met = wants.join(levels, (F.col("conv_id") == F.col("c")) & (F.col("need") == F.col("i")), "left")
-        ready = met.groupBy("conv_id", "call_id").agg(F.max("level").alias("m"), F.count_if(F.col("level").isNull()).alias("unmet")).where("unmet = 0")
-        done = stash(levels.where("level = 0").union(ready.select("conv_id", "call_id", (F.col("m") + 1).cast("int").alias("level"))))
-        n = done.count()
-        levels = done
-        if n == known:
-            break
-        known = n
-    return levels
+    waiting = wants.select(F.col("conv_id").alias("x"), F.col("call_id").alias("y")).distinct()
+    free = stash(keys.join(waiting, (F.col("c") == F.col("x")) & (F.col("i") == F.col("y")), "left_anti").withColumn("level", F.lit(0)))
+    large = stash(wants.groupBy(F.col("conv_id").alias("l")).count().where(F.col("count") > one_task).select("l"))
+    some = wants.join(large, F.col("conv_id") == F.col("l"), "left_anti").groupBy("conv_id").applyInPandas(_ordered, "c long, i string, level int")
+    rest = stash(wants.join(large, F.col("conv_id") == F.col("l"), "left_semi"))
+    levels = free.union(some)
+    return levels if rest.isEmpty() else levels.union(_by_rounds(rest, free.join(large, F.col("c") == F.col("l"), "left_semi")))
 
 
-def link(turns: DataFrame, tools: dict[str, dict] | None = None) -> DataFrame:
+def link(turns: DataFrame, tools: dict[str, dict] | None = None, one_task: int = ONE_TASK) -> DataFrame:
     """The events of turns with calls and results linked, ordered by level, and judged."""
     rows = stash(events(turns, tools))
     linked = rows.where("call_id is not null and conv_id is not null")
@@ -164,7 +200,7 @@ def link(turns: DataFrame, tools: dict[str, dict] | None = None) -> DataFrame:
     tied = tied.withColumn("own", F.when(F.col("kind") == "call", at == F.col("call_at")).otherwise(at == F.col("result_at")))
     answered = F.col("result_at").isNotNull() & (F.col("result_at") > F.col("call_at"))
     tied = stash(tied.select(*rows.columns, "own", F.col("call_at").isNotNull().alias("called"), F.coalesce(answered, F.lit(False)).alias("answered")))
-    levels = _levels(tied.where("kind = 'call'"))
+    levels = _levels(tied.where("kind = 'call'"), one_task)
     tied = tied.join(levels, (F.col("conv_id") == F.col("c")) & (F.col("call_id") == F.col("i")), "left")
     status = (
         F.when(~F.col("own"), "duplicate")
@@ -177,3 +213,29 @@ def link(turns: DataFrame, tools: dict[str, dict] | None = None) -> DataFrame:
     out = ["conv_id", "turn", "seq", "kind", "call_id", "level", "status", "json"]
     rest = rows.where("call_id is null or conv_id is null").withColumn("level", F.lit(0)).withColumn("status", F.when(F.col("kind") == "message", F.col("status")).when(F.col("kind") == "result", "orphan").otherwise(F.when(F.col("status") != "ok", F.col("status")).otherwise("unanswered")))
     return rest.select(*out).union(tied.withColumn("status", status).select(*out))
+
+
+def with_tools(turns: DataFrame) -> DataFrame:
+    """Turns of plain talk with calls and results put in, by fixed rules over conv_id (c) and turn (t).
+
+    Each assistant's turn asks for a search for its first 40 characters or, where t is a multiple of 3, for a calculation,
+    and depends on the call two turns before. The result follows as a turn of its own; turns are counted by halves.
+    Where a rule says so there are faults: no result (c + t a multiple of 11), a result that comes twice (7) or names another
+    call (13), a limit out of bounds (5), a tool nobody knows (17), a call that depends on its own successor (19), a call
+    that comes twice (23), and JSON that breaks off (29).
+    """
+    c, t, n = F.coalesce("conv_id", F.lit(0)).cast("long"), F.coalesce("turn", F.lit(0)).cast("long"), F.col("conv_id") + F.col("turn")
+    text, fault = F.coalesce("text", F.lit("")), lambda k: F.coalesce(n % k == 0, F.lit(False))
+    name = lambda k: F.concat(F.lit("call-"), (t + k).cast("string"))
+    query = F.to_json(F.struct(F.substring(text, 1, 40).alias("query"), F.when(fault(5), 0).otherwise(t % 100 + 1).alias("limit")))
+    arguments = F.when(t % 3 == 0, F.to_json(F.struct(F.concat(c.cast("string"), F.lit("+"), t.cast("string")).alias("expression")))).otherwise(query)
+    tool = F.when(fault(17), "fly").when(t % 3 == 0, "calculate").otherwise("search")
+    needs = F.to_json(F.when(fault(19), F.array(name(2), name(-2))).otherwise(F.array(name(-2))))
+    call = F.concat(F.lit('<tool_call>{"id": "'), name(0), F.lit('", "name": "'), tool, F.lit('", "arguments": '), arguments, F.lit(', "depends_on": '), needs, F.when(fault(29), "").otherwise("}"), F.lit("</tool_call>"))
+    asks = F.col("role").eqNullSafe("assistant")
+    said = F.when(asks, F.concat(text, call, F.when(fault(23), call).otherwise(""))).otherwise(F.col("text"))
+    result = F.to_json(F.struct(F.when(fault(13), name(1000)).otherwise(name(0)).alias("tool_call_id"), F.length(text).alias("content")))
+    answers = F.when(~asks | fault(11), F.array().cast("array<string>")).when(fault(7), F.array(result, result)).otherwise(F.array(result))
+    rows = turns.select("conv_id", (2 * F.col("turn")).alias("turn"), "role", said.alias("said"), answers.alias("answers"))
+    results = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit("tool").alias("role"), F.explode("answers").alias("text"))
+    return rows.select("conv_id", "turn", "role", F.col("said").alias("text")).union(results)

@@ -53,7 +53,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link(table(spark, sf_dir, "conversations"))
+    """The table's turns are plain talk: `with_tools` puts a call and its result into every exchange, which are then linked."""
+    return chat.link(chat.with_tools(table(spark, sf_dir, "conversations")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
