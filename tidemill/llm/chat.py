@@ -220,7 +220,7 @@ def with_tools(turns: DataFrame) -> DataFrame:
 
     Each assistant's turn asks for a search for its first 40 characters or, where t is a multiple of 3, for a calculation,
     and depends on the call two turns before. The result follows as a turn of its own; turns are counted by halves.
-    Where a rule says so there are faults: no result (c + t a multiple of 11), a result that comes twice (7) or names another
+    Where a rule says so there are faults: no result (c + t a multiple of 11), a result that comes again (7) or names another
     call (13), a limit out of bounds (5), a tool nobody knows (17), a call that depends on its own successor (19), a call
     that comes twice (23), and JSON that breaks off (29).
     """
@@ -237,5 +237,5 @@ def with_tools(turns: DataFrame) -> DataFrame:
     result = F.to_json(F.struct(F.when(fault(13), name(1000)).otherwise(name(0)).alias("tool_call_id"), F.length(text).alias("content")))
     answers = F.when(~asks | fault(11), F.array().cast("array<string>")).when(fault(7), F.array(result, result)).otherwise(F.array(result))
     rows = turns.select("conv_id", (2 * F.col("turn")).alias("turn"), "role", said.alias("said"), answers.alias("answers"))
-    results = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit("tool").alias("role"), F.explode("answers").alias("text"))
+    results = rows.select("conv_id", "turn", F.posexplode("answers").alias("again", "text")).select("conv_id", (F.col("turn") + 1 + F.col("again")).alias("turn"), F.lit("tool").alias("role"), "text")
     return rows.select("conv_id", "turn", "role", F.col("said").alias("text")).union(results)
