@@ -10,7 +10,8 @@ of a partition fewer tokens than one sequence are left; they are cut at powers o
 padding. So there is no shuffle, no group, no limit on equal lengths, and no padding.
 
 Nulls: a null text is empty and yields the end id alone; a null doc_id stays null. Repeated rows are separate documents.
-An empty table yields no rows.
+An empty table yields no rows. A very long text is cut into full sequences as it comes, in time that grows with its length.
+Columns besides doc_id and text play no part, however they are called.
 """
 
 from __future__ import annotations
@@ -32,17 +33,19 @@ CAPACITY = 4096
 #: Remainders at hand when sequences are filled, and left over when filling pauses.
 POOL, LOW = 768, 384
 END = 2
+#: Rows after which a batch is given away; a row holds at most a sequence.
+ROWS_OUT = 5000
 #: Sequence ids: the partition above this many bits, a counter below.
 COUNTER_BITS = 36
 
 
 @dataclass
 class Piece:
-    """A run of one document's tokens; ids are little-endian unsigned 16-bit."""
+    """A run of one document's tokens, a view of its ids (little-endian unsigned 16-bit): cutting copies nothing."""
 
     doc_id: int | None
     start: int
-    ids: bytes
+    ids: memoryview
     doc_tokens: int
 
     def __len__(self) -> int:
@@ -51,6 +54,10 @@ class Piece:
     def split(self, n: int) -> tuple[Piece, Piece]:
         return Piece(self.doc_id, self.start, self.ids[: 2 * n], self.doc_tokens), Piece(self.doc_id, self.start + n, self.ids[2 * n :], self.doc_tokens)
 
+    def alone(self) -> Piece:
+        """The piece with ids of its own, so that a short rest doesn't keep a whole book."""
+        return Piece(self.doc_id, self.start, memoryview(bytes(self.ids)), self.doc_tokens)
+
 
 def fill(counts: dict[int, int], room: int) -> dict[int, int]:
     """The multiset drawn from counts (length -> how many) whose sum comes closest to room from below."""
@@ -96,9 +103,11 @@ class Packer:
         return piece
 
     def add(self, piece: Piece) -> Iterator[list[Piece]]:
-        while len(piece) >= self.capacity:
-            head, piece = piece.split(self.capacity)
-            yield [head]
+        if len(piece) >= self.capacity:
+            while len(piece) >= self.capacity:
+                head, piece = piece.split(self.capacity)
+                yield [head]
+            piece = piece.alone()
         if len(piece):
             self.put(piece)
         if self.held >= POOL:
@@ -153,7 +162,7 @@ def pack(docs: DataFrame, vocabulary: str, kind: str = "word_bpe", capacity: int
                 offset = 0
                 for p in pieces:
                     crc = zlib.crc32(np.frombuffer(p.ids, "<u2").astype("<u4").tobytes())
-                    rows.append((p.doc_id, p.start, len(p), crc, p.doc_tokens, sequence, offset, p.ids)[: len(schema)])
+                    rows.append((p.doc_id, p.start, len(p), crc, p.doc_tokens, sequence, offset, bytes(p.ids))[: len(schema)])
                     offset += len(p)
                 sequence += 1
 
@@ -165,7 +174,9 @@ def pack(docs: DataFrame, vocabulary: str, kind: str = "word_bpe", capacity: int
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encode(text) + tail
-                rows_of(packer.add(Piece(doc_id, 0, ids, len(ids) // 2)))
+                rows_of(packer.add(Piece(doc_id, 0, memoryview(ids), len(ids) // 2)))
+                if len(rows) >= ROWS_OUT:
+                    yield out()
             if rows:
                 yield out()
         rows_of(packer.finish())
