@@ -180,6 +180,38 @@ def test_quality_against_labels(spark):
     assert good > 0.99 and bad < 0.2
 
 
+def _em(patterns, rounds):
+    """(share, chances of bad and good votes over good, over bad documents) by expectation-maximisation, one document after the other."""
+    share, good, bad = 0.9, [(0.02, 0.98)] * 6, [(0.5, 0.5)] * 6
+    for _ in range(rounds):
+        weights = []
+        for v in patterns:
+            g, b = share, 1 - share
+            for j, x in enumerate(v):
+                if x:
+                    g, b = g * good[j][x > 0], b * bad[j][x > 0]
+            weights.append(g / (g + b))
+        share = (sum(weights) + 18) / (len(weights) + 20)
+        for table, ws in ((good, weights), (bad, [1 - w for w in weights])):
+            for j in range(6):
+                n = [1 + sum(w for w, v in zip(ws, patterns, strict=True) if v[j] == x) for x in (-1, 1)]
+                table[j] = (n[0] / sum(n), n[1] / sum(n))
+    return share, good, bad
+
+
+def test_quality_estimates(spark):
+    rng = random.Random(3)
+    for share in (0.9, 0.2):  # mostly good, mostly bad
+        patterns = []
+        for _ in range(400):
+            good = rng.random() < share
+            patterns.append([0 if rng.random() < 0.3 else (1 if (rng.random() < 0.9) == good else -1) for _ in range(6)])
+        model = quality.fit(spark.createDataFrame([(v,) for v in [*patterns, None]], "votes array<int>"))
+        want = _em(patterns, 25)
+        assert model.share == pytest.approx(want[0]) and abs(model.share - share) < 0.1
+        assert [(r[0], r[2]) for r in model.good] == [pytest.approx(x) for x in want[1]] and [(r[0], r[2]) for r in model.bad] == [pytest.approx(x) for x in want[2]]
+
+
 def test_pieces(docs, rows):
     lib = sentencepiece.SentencePieceProcessor(model_file=queries.PIECE_BPE)
     want = []

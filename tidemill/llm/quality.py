@@ -6,8 +6,11 @@ accuracy and the share of good documents without labels, in one SQL fold over th
 the posterior probability of good, given its votes, is at least `bar`, and if no base rule fails. One bad vote doesn't
 reject by itself unless its rule has proved to be nearly always right.
 
-Nulls: a null text has no words (so the base rule fails); a null doc_id stays null. Repeated rows are judged alike. An
-empty table gives an empty result.
+Windows are compared by 64-bit hashes: of n windows two unlike ones are taken for equal with a chance of n^2 / 2^65.
+
+Nulls: a null text has no words (so the base rule fails); a null doc_id stays null. Repeated rows are judged alike. A
+probability equal to the bar keeps. An empty table gives an empty result. Very long texts are counted whole. Columns besides
+doc_id and text play no part in `judge`, however they are called; `keep_good` keeps them.
 """
 
 from __future__ import annotations
@@ -92,10 +95,10 @@ def votes(f: Column) -> Column:
     stop = f["n_stop"] / words
     return F.array(
         _vote(f["n_words"] < 15, f["n_words"] >= 30),
-        _vote((length < 2.5) | (length > 14), length.between(3.0, 11.0)),
+        _vote((length < 3.5) | (length > 7.5), length.between(4.2, 6.8)),
         _vote(symbols > 0.3, symbols < 0.1),
         _vote(doubled > 0.3, doubled < 0.1),
-        _vote(repeats > 0.2, repeats < 0.05),
+        _vote(repeats > 0.1, repeats < 0.03),
         _vote((stop < 0.01) & (f["n_words"] >= 40), (stop > 0.06) & (f["n_words"] >= 40)),
     )
 
@@ -106,6 +109,8 @@ RULES = ("length", "word_length", "symbols", "doubled_lines", "repeats", "freque
 # Where the estimation starts. Chances of a rule's votes (bad, abstain, good) over bad and over good documents;
 # an abstention says nothing, so it counts as 1 everywhere.
 _START_BAD, _START_GOOD, _START_SHARE = (0.5, 1.0, 0.5), (0.02, 1.0, 0.98), 0.9
+#: What is known of the share of good documents before any is seen: as if so many of so many had been good.
+PRIOR_GOOD, PRIOR_ALL = 18.0, 20.0
 
 
 @dataclass
@@ -143,8 +148,8 @@ def _total(values: Column) -> Column:
 def fit(voted: DataFrame, column: str = "votes", rounds: int = 25) -> LabelModel:
     """Estimate from how often each vote pattern occurs in all of voted; the patterns, not the documents, are gathered.
 
-    Rows without votes (null) don't count. The start holds that bad votes are commoner over bad documents; counts are smoothed by one, and the share of good
-    documents stays within 0.5 and 0.99, so that good remains what most documents are.
+    Rows without votes (null) don't count. The start holds that bad votes are commoner over bad documents, which tells the
+    two classes apart; counts are smoothed by one, the share by PRIOR_GOOD of PRIOR_ALL. A corpus may well be mostly bad.
     """
     m = len(RULES)
     patterns = voted.groupBy(column).count()
@@ -161,7 +166,7 @@ def fit(voted: DataFrame, column: str = "votes", rounds: int = 25) -> LabelModel
                 return each_rule(chances)
 
             n, good = (_total(F.transform(scored, w)) for w in (lambda x: x["n"], lambda x: x["n"] * x["q"]))
-            share = F.least(F.greatest(good / n, F.lit(0.5)), F.lit(0.99))
+            share = (good + PRIOR_GOOD) / (n + PRIOR_ALL)
             return F.struct(share.alias("share"), tables(lambda x: x["n"] * x["q"]).alias("good"), tables(lambda x: x["n"] * (1 - x["q"])).alias("bad"))
 
         return let(F.transform(F.col("all"), lambda x: F.struct(x["v"].alias("v"), x["n"].alias("n"), _posterior(x["v"], state["share"], state["good"], state["bad"]).alias("q"))), estimate)
