@@ -452,28 +452,66 @@ def test_word_pieces(docs, rows):
     same(wordpiece.count_tokens(docs, queries.PIECE_BPE).collect(), want)
 
 
+def _nearest(rows, k=5):
+    """{id of a query: its k nearest by comparing every row} and the share of them that is found in out."""
+    usable = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    best = {}
+    for i, v in usable:
+        if i % 50 == 0:
+            scores = {}
+            for j, w in usable:
+                if j != i and len(w) == len(v):
+                    a, b = v / np.abs(v).max(), w / np.abs(w).max()
+                    scores[j] = max(scores.get(j, -2), round(float(a @ b / np.sqrt((a @ a) * (b @ b))), 12))
+            best[i] = sorted(scores, key=lambda j: (-scores[j], j))[:k]
+    return best
+
+
 def test_neighbours(spark):
     data = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     v0 = data.where("vec_id = 3").first().embedding
-    extra = [(1000 + i, v0) for i in range(9)] + [(2000, None), (2001, [0.0] * 64), (2002, [float("nan")] * 64), (2003, [None] * 64), (2050, [1e200] * 64), (2004, [])]
-    rows = data.union(spark.createDataFrame(extra, data.schema))
+    huge = [float(x) * 1e200 for x in range(1, 65)]
+    extra = [(1000 + i, v0) for i in range(9)] + [(2000, None), (2001, [0.0] * 64), (2002, [float("nan")] * 64), (2003, [None] * 64), (2050, huge), (2051, [x / 1e200 for x in huge]), (2052, [x * 1e-100 for x in v0]), (2004, []), (None, v0)]
+    extra += [(3000, [1.0, 2.0, 3.0]), (3001, [1.0, 2.0, 3.5]), (3001, [1.0, 2.0, 3.5]), (3050, [5.0]), (1000, v0), (1001, v0)]  # other lengths, repeated rows
+    rows = data.union(spark.createDataFrame(extra, data.schema)).withColumns({"dim": F.lit("clash"), "cell": F.lit("clash"), "score": F.lit("clash")})
     out = defaultdict(list)
     for r in neighbours.search(rows, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
         out[r.query_id].append((r.vec_id, r.score))
-    usable = [(r.vec_id, np.array(r.embedding)) for r in rows.collect() if r.embedding and all(x is not None and np.isfinite(x) for x in r.embedding) and any(r.embedding)]
-    ids, m = np.array([i for i, _ in usable]), np.stack([v / np.abs(v).max() for _, v in usable])
-    m /= np.sqrt((m * m).sum(axis=1, keepdims=True))
-    hit = total = 0
-    for k, i in enumerate(ids):
-        if i % 50:
-            continue
-        s = m @ m[k]
-        best = [ids[j] for j in np.lexsort((ids, -np.round(s, 12))) if ids[j] != i][:5]
-        assert len(out[i]) == 5
-        hit += len({x for x, _ in out[i]} & set(best))
-        total += 5
-    assert hit / total >= 0.9
-    assert [x for x, _ in out[1000]] == [3, 1001, 1002, 1003, 1004] or [x for x, _ in out[1000]][1:] == [1001, 1002, 1003, 1004]
+    want = _nearest([(r.vec_id, r.embedding) for r in rows.collect()])
+    assert {i: len(x) for i, x in out.items()} == {i: len(best) for i, best in want.items() if best}
+    assert sum(len({x for x, _ in out[i]} & set(best)) for i, best in want.items()) >= 0.9 * sum(map(len, want.values()))
+    assert [x for x, _ in out[1000]] == want[1000] and out[1000][0] == (3, 1.0)
+    assert out[2050][0] == (2051, 1.0) and [x for x, _ in out[3000]] == [3001] and 3050 not in out
+
+
+def test_neighbours_stop_early(spark):
+    """By cells, and with the test: recall against all rows, with under half of the vectors verified."""
+    e = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
+    found = neighbours.found(e, F.col("vec_id") % 50 == 0)
+    rows = neighbours.usable(e).toPandas()
+    ids, unit = rows.vec_id.to_numpy(), neighbours.units(np.stack(rows.embedding.to_numpy()))
+    asked = np.flatnonzero(ids % 50 == 0)
+    assert found.agg(F.sum("verified")).first()[0] < 0.5 * len(ids) * len(asked)
+    got = neighbours.search(e, F.col("vec_id") % 50 == 0).groupBy("query_id").agg(F.collect_set("vec_id").alias("v"))
+    by = {r.query_id: set(r.v) for r in got.collect()}
+    hit = 0
+    for q in asked:
+        s = unit @ unit[q]
+        s[ids == ids[q]] = -9
+        hit += len(by[ids[q]] & set(ids[np.argpartition(-s, 5)[:5]].tolist()))
+    assert hit / (5 * len(asked)) >= 0.9
+
+
+def test_cells_are_boxes():
+    """A point lies in the box of its cell, and what is near it in open cells."""
+    rng = np.random.default_rng(4)
+    points = np.concatenate([rng.standard_normal((700, neighbours.DIRECTIONS)), np.zeros((50, neighbours.DIRECTIONS))])
+    cells = neighbours.Cells(points[::3], 16)
+    of = cells.of(points)
+    assert len(set(of.tolist())) == 16 and all((cells.low[c] <= p).all() and (p <= cells.high[c]).all() for c, p in zip(of, points, strict=True))
+    for p in points[:20]:
+        reach = ((points - p) ** 2).sum(axis=1)
+        assert set(of[reach <= 40.0]) <= set(cells.open(p, 40.0).tolist())
 
 
 def test_warc(spark):

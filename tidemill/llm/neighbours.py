@@ -1,19 +1,25 @@
-"""Approximate nearest neighbours by cosine: stable projections in kd-trees, with a chi-square stopping test.
+"""Approximate nearest neighbours by cosine: stable projections in a kd-tree, with a chi-square stopping test.
 
-Unit vectors are projected onto a few Gaussian directions; over a distance d the squared projected distance divided by
-d^2 is chi-square distributed. Rows are dealt into shards, each with a kd-tree over its projected vectors. A query takes
-a shard's leaves in the order of their distance from the projected query and verifies their vectors exactly, until the
-test holds: a vector nearer than the k-th found so far would, with probability `sure`, have been met before the next
-leaf. Each shard gives its k nearest, the k best of all shards are the result. Queries and shards meet in blocks.
+Unit vectors are projected onto DIRECTIONS Gaussian directions; over a distance d the squared projected distance divided by
+d^2 is chi-square distributed. A kd-tree over the projections of a bounded sample (SAMPLE rows for each cell, CELLS cells at
+most) divides the space into cells; every vector goes to its own, and large cells are dealt into shards of SHARD_ROWS.
+
+A query first asks one shard of its home cell, which gives it a k-th distance. Then it goes to those cells alone that the test
+leaves open: a vector nearer than the k-th found would, with probability SURE, have a projection nearer than the cell's
+border. In a shard, vectors are taken in the order of their projected distance and verified exactly, in steps, until the test
+holds for the next one. The k best of all shards are the result.
 
 Vectors that are null, empty, zero or hold a null or a non-finite component take no part, nor do rows without a vec_id.
-Only vectors of equal length are compared. Equal scores go to the smaller vec_id; equal vectors are held once in a tree,
-with all their ids. Repeated rows of one vec_id are one candidate, no vector is its own neighbour.
+Only vectors of equal length are compared. Equal scores go to the smaller vec_id. Of equal vectors only the k + 1 smallest
+ids can be among anyone's k nearest; the others stay behind before anything is dealt. Repeated rows are one candidate, no
+vector is its own neighbour; a vec_id with several vectors counts with its best. An empty table gives an empty result, and
+columns besides vec_id and embedding play no part, however they are called.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -22,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import stash
+from .shared import discard, stash
 
-DIRECTIONS = 8
-LEAF = 16
-SURE = 0.99
-SHARD_ROWS, QUERY_ROWS, LEAST_SHARDS = 8192, 4096, 24
+DIRECTIONS, SEED = 32, 11
+SURE = 0.92
+SHARD_ROWS, QUERY_ROWS = 8192, 4096
+CELLS, SAMPLE = 4096, 32
+#: Vectors verified before the test is asked again.
+STEP = 64
 
 
 @cache
@@ -46,77 +54,93 @@ def chi_square_quantile(p: float, degrees: int) -> float:
     return high
 
 
-class Tree:
-    """A kd-tree over the projections of distinct vectors; leaves as slices with bounding boxes."""
-
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, directions: int = DIRECTIONS, leaf: int = LEAF, seed: int = 11) -> None:
-        vectors, where = np.unique(vectors, axis=0, return_inverse=True)
-        order = np.lexsort((ids, where.ravel()))
-        self.ids, bounds = ids[order], np.searchsorted(where.ravel()[order], np.arange(len(vectors) + 1))
-        self.begin, self.end = bounds[:-1], bounds[1:]
-        # divided by the largest component first: squares neither overflow nor vanish
-        unit = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-        unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
-        self.gauss = np.random.default_rng(seed).standard_normal((vectors.shape[1], directions))
-        projected = unit @ self.gauss
-        order, leaves, todo = np.arange(len(vectors)), [], [(0, len(vectors))]
-        while todo:
-            a, b = todo.pop()
-            if b - a <= leaf:
-                leaves.append((a, b))
-                continue
-            part = projected[order[a:b]]
-            axis, mid = int(np.argmax(part.max(axis=0) - part.min(axis=0))), (b - a) // 2
-            order[a:b] = order[a:b][np.argpartition(part[:, axis], mid)]
-            todo += [(a, a + mid), (a + mid, b)]
-        leaves.sort()
-        self.first = np.array([a for a, _ in leaves])
-        self.last = np.array([b for _, b in leaves])
-        projected = projected[order]
-        self.low, self.high = np.minimum.reduceat(projected, self.first), np.maximum.reduceat(projected, self.first)
-        self.unit, self.vectors, self.begin, self.end = unit[order], vectors[order], self.begin[order], self.end[order]
-
-    def nearest(self, query: np.ndarray, own: int, k: int, sure: float = SURE) -> list[tuple[float, int]]:
-        """(score, id) of the k nearest by cosine, other than the id own."""
-        unit = query / np.abs(query).max()
-        unit = unit / math.sqrt((unit * unit).sum())
-        at = unit @ self.gauss
-        gap = np.maximum(np.maximum(self.low - at, at - self.high), 0.0)
-        reach = (gap * gap).sum(axis=1)
-        order = np.argsort(reach, kind="stable")
-        stop = chi_square_quantile(sure, self.gauss.shape[1])
-        found_at, found, ids, kth, done, step = [], [], 0, math.inf, 0, 4
-        while done < len(order) and reach[order[done]] <= stop * kth:
-            rows = np.concatenate([np.arange(self.first[x], self.last[x]) for x in order[done : done + step]])
-            done += step
-            found_at.append(rows)
-            found.append(self.unit[rows] @ unit)
-            ids += len(rows)
-            if ids > k:
-                best = np.concatenate(found)
-                # own vector counts among the found, so one more than k
-                kth = max(0.0, 2 - 2 * np.partition(best, -(k + 1))[-(k + 1)])
-        rows, near = np.concatenate(found_at), np.concatenate(found)
-        # rounding may part equal scores here: take all within a margin, then measure exactly
-        bar = np.partition(near, -(k + 1))[-(k + 1)] - 1e-9 if len(near) > k else -np.inf
-        rows = rows[near >= bar]
-        scores = cosine(self.vectors[rows], query)
-        out: list[tuple[float, int]] = []
-        for score, row in sorted(zip(scores.tolist(), rows.tolist(), strict=True), key=lambda x: -x[0]):
-            if len(out) > k and score < out[k - 1][0]:
-                break
-            # ids are ascending: of equal vectors the first k besides the query's own suffice, repeated ones once
-            distinct = dict.fromkeys(i for i in self.ids[self.begin[row] : self.end[row]].tolist() if i != own)
-            out += [(score, i) for i, _ in zip(distinct, range(k), strict=False)]
-        return sorted(out, key=lambda x: (-x[0], x[1]))[:k]
+@cache
+def directions(dim: int, n: int = DIRECTIONS) -> np.ndarray:
+    return np.random.default_rng([SEED, dim]).standard_normal((dim, n))
+
+
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, which change no digit, so that squares neither overflow nor vanish."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
+
+
+def units(rows: np.ndarray) -> np.ndarray:
+    rows = scaled(rows)
+    return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
 def cosine(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Row by row in the same order of additions, so that equal vectors have equal scores everywhere."""
+    """Row by row with exact sums, so that equal vectors have equal scores everywhere."""
+    rows, query = scaled(rows), scaled(query[None, :])[0]
     dot = np.array([math.fsum(r) for r in rows * query])
     return dot / (np.sqrt([math.fsum(r) for r in rows * rows]) * math.sqrt(math.fsum(query * query)))
 
 
+class Cells:
+    """A kd-tree of 2^depth cells: each inner node splits a direction, each cell is a box."""
+
+    def __init__(self, projected: np.ndarray, cells: int) -> None:
+        self.depth = max(0, math.ceil(math.log2(cells))) if len(projected) else 0
+        inner = (1 << self.depth) - 1
+        self.axis, self.at = np.zeros(inner, np.int64), np.zeros(inner)
+        self.low = np.full((1 << self.depth, DIRECTIONS), -np.inf)
+        self.high = -self.low
+        parts = {0: projected}
+        for node in range(inner):
+            part = parts.pop(node)
+            if len(part):
+                self.axis[node] = np.argmax(part.max(axis=0) - part.min(axis=0))
+                self.at[node] = np.median(part[:, self.axis[node]])
+            left = part[:, self.axis[node]] < self.at[node]
+            parts[2 * node + 1], parts[2 * node + 2] = part[left], part[~left]
+            level = (node + 1).bit_length() - 1
+            width = 1 << self.depth - level
+            first = (node + 1 - (1 << level)) * width
+            a, b, axis = slice(first, first + width // 2), slice(first + width // 2, first + width), self.axis[node]
+            self.high[a, axis] = np.minimum(self.high[a, axis], self.at[node])
+            self.low[b, axis] = np.maximum(self.low[b, axis], self.at[node])
+
+    def of(self, projected: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(projected), np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (projected[np.arange(len(node)), self.axis[node]] >= self.at[node])
+        return node - (1 << self.depth) + 1
+
+    def open(self, projected: np.ndarray, reach: float) -> np.ndarray:
+        """The cells that come within a squared distance of reach of the point."""
+        gap = np.maximum(np.maximum(self.low - projected, projected - self.high), 0.0)
+        return np.flatnonzero((gap * gap).sum(axis=1) <= reach)
+
+
+def nearest(data: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], query: np.ndarray, own: int, k: int, bound: float = math.inf, sure: float = SURE) -> tuple[list[tuple[float, int]], int]:
+    """(score, id) of the k nearest by cosine that lie within the squared distance bound, other than the id own; and how many were verified.
+
+    data: ids, vectors, their units and their projections.
+    """
+    ids, vectors, unit, projected = data
+    q = units(query[None, :])[0]
+    apart = projected - q @ directions(len(q))
+    reach = np.einsum("ij,ij->i", apart, apart)
+    stop = chi_square_quantile(sure, DIRECTIONS)
+    order = np.flatnonzero((reach <= stop * bound) & (ids != own))
+    order = order[np.argsort(reach[order], kind="stable")]
+    near, best, done, kth = [], np.zeros(0), 0, bound
+    while done < len(order) and reach[order[done]] <= stop * kth:
+        near.append(unit[order[done : done + STEP]] @ q)
+        done += len(near[-1])
+        best = np.concatenate([best, near[-1]])
+        if len(best) >= k:
+            best = np.partition(best, -k)[-k:]
+            kth = min(bound, max(0.0, 2 - 2 * best[0]))
+    # rounding may part equal scores here: take all within a margin, then measure exactly
+    rows = order[:done][np.concatenate([np.zeros(0), *near]) >= 1 - kth / 2 - 1e-9]
+    found = zip(cosine(vectors[rows], query).tolist(), ids[rows].tolist(), strict=True) if len(rows) else ()
+    scores: dict[int, float] = {}
+    for score, i in found:
+        scores[i] = max(score, scores.get(i, -2.0))
+    return sorted(((s, i) for i, s in scores.items()), key=lambda x: (-x[0], x[1]))[:k], done
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     v = F.col("embedding")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -124,25 +148,105 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & sound)
 
 
-def search(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest of every row that is_query (a condition on vec_id) selects."""
-    rows = stash(usable(vectors).withColumn("dim", F.size("embedding")))
-    queries = rows.where(is_query)
-    counts = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
-    shards, blocks = max(LEAST_SHARDS, -(-counts.n // SHARD_ROWS)), max(1, -(-counts.q // QUERY_ROWS))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int")).withColumn("block", each(blocks))
-    right = queries.withColumn("block", F.pmod(F.xxhash64("embedding", "vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", each(shards))
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy())
+
+
+def _celled(rows: DataFrame, trees: dict[int, Cells]) -> DataFrame:
+    """rows with their cell."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            cell = np.zeros(len(part), np.int32)
+            for dim, at in part.groupby("dim").indices.items():
+                if dim in trees:
+                    cell[at] = trees[dim].of(units(_matrix(part.embedding.iloc[at])) @ directions(dim))
+            yield part.assign(cell=cell)
+
+    return rows.mapInPandas(run, "vec_id long, embedding array<double>, dim int, cell int")
+
+
+def _asked(shards: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score, verified) of queries (dim, cell, shard, query_id, asked: vector, bound); vec_id is null in the rows that count the verified."""
 
     def meet(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, float]] = []
+        out: list[tuple[int, int | None, float, int]] = []
         if len(data) and len(asked):
-            tree = Tree(np.stack(data.embedding.to_numpy()), data.vec_id.to_numpy())
-            for own, query in zip(asked.vec_id.tolist(), asked.embedding, strict=True):
-                out += [(own, i, score) for score, i in tree.nearest(np.asarray(query), own, k)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            vectors = _matrix(data.embedding)
+            unit = units(vectors)
+            held = data.vec_id.to_numpy(), vectors, unit, unit @ directions(vectors.shape[1])
+            for own, query, bound in zip(asked.query_id.tolist(), asked.asked, asked.bound.tolist(), strict=True):
+                found, verified = nearest(held, np.asarray(query), own, k, bound)
+                out += [(own, i, score, 0) for score, i in found]
+                out.append((own, None, 0.0, verified))
+        out = pd.DataFrame(out, columns=["query_id", "vec_id", "score", "verified"])
+        return out.astype({"query_id": "int64", "vec_id": "Int64", "score": "float64", "verified": "int64"})
+
+    keys = ["dim", "cell", "shard", "block"]
+    # a query goes to one block of its shard, so that many queries of one shard are many tasks
+    left = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return left.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double, verified long")
+
+
+def found(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
+    """All that shards give for the queries, and how many vectors they verified for it: see `_asked`."""
+    spark = vectors.sparkSession
+    rows = usable(vectors).withColumn("dim", F.size("embedding")).distinct()
+    of_equal = Window.partitionBy("embedding").orderBy("vec_id")
+    queries = rows.where(is_query)
+    rows = rows.withColumn("n", F.row_number().over(of_equal)).where(F.col("n") <= k + 1).drop("n")
+    rows = stash(rows)
+    sizes = {r.dim: r.n for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    wanted = {d: min(CELLS, 1 << max(0, math.ceil(math.log2(n / SHARD_ROWS)))) for d, n in sizes.items()}
+    total, several = sum(sizes.values()), {d: c for d, c in wanted.items() if c > 1}
+    trees = {}
+    if several:
+        share = min(1.0, SAMPLE * sum(several.values()) / total)
+        # a hash of the vector chooses the sample; it is bounded by SAMPLE rows for each of CELLS cells of a length
+        some = rows.where(F.col("dim").isin(*several) & (F.pmod(F.xxhash64("embedding", "vec_id"), F.lit(1_000_003)) < F.lit(int(1_000_003 * share) + 1))).toPandas()
+        trees = {d: Cells(units(_matrix(part.embedding)) @ directions(d), several[d]) for d, part in some.groupby("dim")}
+    celled = stash(_celled(rows, trees))
+    counts = celled.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).collect()  # a row for each cell
+    shards = {(r.dim, r.cell): -(-r.n // SHARD_ROWS) for r in counts}
+    n_queries = {d: sum(r.q for r in counts if r.dim == d) for d in sizes}
+    # queries of a shard are at most those of its length; blocks of them are counted for the open cells, where they are most
+    blocks = {d: max(1, -(-n // QUERY_ROWS)) for d, n in n_queries.items()}
+
+    def dealt(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            n = np.array([shards[d, c] for d, c in zip(part.dim, part.cell, strict=True)], np.int64)
+            yield part.assign(shard=(part.vec_id.to_numpy() * 0x9E3779B1 % (1 << 31) % n).astype(np.int32), blocks=np.array([blocks[d] for d in part.dim], np.int32))
+
+    held = celled.mapInPandas(dealt, "vec_id long, embedding array<double>, dim int, cell int, shard int, blocks int")
+    queries = _celled(queries, trees).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"), "dim", "cell")
+    block = lambda d: F.pmod(F.xxhash64("query_id", "asked"), d).cast("int").alias("block")
+    table = F.create_map(*(F.lit(x) for d, n in blocks.items() for x in (d, n))) if blocks else F.lit(None)
+    some = "query_id", "asked", "dim"
+    home = queries.where(F.col("dim").isin(*sizes)).select(*some, "cell", F.lit(0).alias("shard"), F.lit(math.inf).alias("bound"), block(table[F.col("dim")]) if blocks else F.lit(0).alias("block"))
+    first = stash(_asked(held.where("shard = 0"), home, k))
+    kth = first.where("vec_id is not null").groupBy("query_id").agg(F.count("*").alias("met"), F.max(2 - 2 * F.col("score")).alias("worst"))
+    bounds = kth.select(F.col("query_id").alias("b"), F.when(F.col("met") >= k, F.col("worst")).alias("bound"))
+
+    def opened(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stop, names = chi_square_quantile(SURE, DIRECTIONS), ["query_id", "asked", "dim", "cell", "shard", "bound", "block"]
+        for part in parts:
+            out = []
+            for query, asked, dim, cell, bound, block_ in part[["query_id", "asked", "dim", "cell", "bound", "block"]].itertuples(index=False):
+                at, reach = np.asarray(asked), math.inf if bound is None or math.isnan(bound) else max(bound, 0.0) + 1e-9
+                there = trees[dim].open(units(at[None, :])[0] @ directions(dim), stop * reach).tolist() if dim in trees else [0]
+                out += [(query, asked, dim, c, s, reach, block_) for c in there for s in range(shards.get((dim, c), 0)) if (c, s) != (cell, 0)]
+            yield pd.DataFrame(out, columns=names).astype({"query_id": "int64", "dim": "int32", "cell": "int32", "shard": "int32", "bound": "float64", "block": "int32"})
+
+    again = home.drop("bound", "shard").join(bounds, F.col("query_id") == F.col("b"), "left").drop("b")
+    rest = again.mapInPandas(opened, "query_id long, asked array<double>, dim int, cell int, shard int, bound double, block int")
+    second = stash(_asked(held, rest, k)) if sum(shards.values()) > len(sizes) else spark.createDataFrame([], first.schema)
+    out = stash(first.union(second))
+    discard(rows, celled, first)
+    return out
+
 
-    keys = ["dim", "shard", "block"]
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double").distinct()
+def search(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest of every row that is_query (a condition on vec_id) selects."""
+    near = found(vectors, is_query, k).where("vec_id is not null").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
