@@ -21,10 +21,10 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -131,9 +131,11 @@ def events(turns: DataFrame, tools: dict[str, dict] | None = None) -> DataFrame:
 ONE_TASK = 100_000
 
 
-def _ordered(edges: pd.DataFrame) -> pd.DataFrame:
-    """(c, i, level) of one conversation's calls that wait for others, level by level; calls on a cycle or behind one are missing."""
-    waits, behind = edges.groupby("call_id").need.count().to_dict(), edges.groupby("need").call_id.apply(list).to_dict()
+def _ordered(edges: list[dict[str, str]]) -> list[tuple[str, int]]:
+    """(call_id, level) of one conversation's calls that wait for others, level by level; calls on a cycle or behind one are missing."""
+    waits, behind = Counter(e["call_id"] for e in edges), {}
+    for e in edges:
+        behind.setdefault(e["need"], []).append(e["call_id"])
     at, level, out = [n for n in behind if n not in waits], 0, []
     while at:
         level, ready = level + 1, []
@@ -144,8 +146,19 @@ def _ordered(edges: pd.DataFrame) -> pd.DataFrame:
                     ready.append(call)
         out += [(call, level) for call in ready]
         at = ready
-    columns = {"c": ([int(edges.conv_id.iloc[0])] * len(out), "int64"), "i": ([i for i, _ in out], object), "level": ([n for _, n in out], "int32")}
-    return pd.DataFrame({k: pd.Series(v, dtype=t) for k, (v, t) in columns.items()})
+    return out
+
+
+def _by_conversation(edges: DataFrame) -> DataFrame:
+    """(c, i, level) of conversations with few dependences: each one's are a row, which one task orders."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(c, i, n) for c, own in zip(*(x.to_pylist() for x in batch.columns), strict=True) for i, n in _ordered(own)]
+            yield pa.record_batch([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int32()))], names=["c", "i", "level"])
+
+    one = edges.groupBy("conv_id").agg(F.collect_list(F.struct("call_id", "need")).alias("edges"))
+    return map_arrow(one, run, "c long, i string, level int", 100)
 
 
 def _by_rounds(edges: DataFrame, free: DataFrame) -> DataFrame:
@@ -179,7 +192,7 @@ def _levels(calls: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     waiting = wants.select(F.col("conv_id").alias("x"), F.col("call_id").alias("y")).distinct()
     free = stash(keys.join(waiting, (F.col("c") == F.col("x")) & (F.col("i") == F.col("y")), "left_anti").withColumn("level", F.lit(0)))
     large = stash(wants.groupBy(F.col("conv_id").alias("l")).count().where(F.col("count") > one_task).select("l"))
-    some = wants.join(large, F.col("conv_id") == F.col("l"), "left_anti").groupBy("conv_id").applyInPandas(_ordered, "c long, i string, level int")
+    some = _by_conversation(wants.join(large, F.col("conv_id") == F.col("l"), "left_anti"))
     rest = stash(wants.join(large, F.col("conv_id") == F.col("l"), "left_semi"))
     levels = free.union(some)
     return levels if rest.isEmpty() else levels.union(_by_rounds(rest, free.join(large, F.col("c") == F.col("l"), "left_semi")))
