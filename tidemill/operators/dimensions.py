@@ -21,7 +21,11 @@ def upserted(old: DataFrame, new: DataFrame, key: str, honour_deletes: bool = Fa
 
 
 def one_for_each(dim: DataFrame, key: list[str]) -> DataFrame:
-    return dim.dropDuplicates(key)
+    """One row for each key, the smallest by its other columns in their order: the same in every run."""
+    rest = [c for c in dim.columns if c not in key]
+    if not rest:
+        return dim.distinct()
+    return dim.groupBy(*key).agg(F.min(F.struct(*rest)).alias("row_")).select(*key, "row_.*").select(*dim.columns)
 
 
 def look_up(rows: DataFrame, dim: DataFrame, on: dict[str, str], take: dict[str, Column], unique: bool = False) -> DataFrame:
@@ -32,7 +36,10 @@ def look_up(rows: DataFrame, dim: DataFrame, on: dict[str, str], take: dict[str,
     """
     d = dim if unique else one_for_each(dim, list(on.values()))
     d = d.select(*(F.col(k).alias(f"key_{i}_") for i, k in enumerate(on.values())), *(c.alias(f"take_{i}_") for i, c in enumerate(take.values())), F.lit(True).alias("met_"))
-    same = [F.col(c).cast("string") == F.col(f"key_{i}_").cast("string") if str(rows.schema[c].dataType) != str(d.schema[f"key_{i}_"].dataType) else F.col(c) == F.col(f"key_{i}_") for i, c in enumerate(on)]
+    kind = lambda c: rows.schema[c].dataType
+    # a key of another type is made the rows' type once, in the dimension; what isn't such a value matches nothing
+    d = d.withColumns({f"key_{i}_": F.col(f"key_{i}_").try_cast(kind(c)) for i, c in enumerate(on) if d.schema[f"key_{i}_"].dataType != kind(c)})
+    same = [F.col(c) == F.col(f"key_{i}_") for i, c in enumerate(on)]
     joined = rows.join(d, same, "left")
     new = {n: F.when(F.col("met_"), F.col(f"take_{i}_")).otherwise(F.col(n)) if n in rows.columns else F.col(f"take_{i}_") for i, n in enumerate(take)}
     return joined.withColumns(new).select(*rows.columns, *(n for n in new if n not in rows.columns))

@@ -30,19 +30,26 @@ def explode_displays(page: DataFrame) -> DataFrame:
     return rows.select("d.*", "page_id", "ts")
 
 
-def repair_is_new(logs: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Batch form: a visitor claimed new on another day than the visitor's first such day isn't new."""
-    first = Window.partitionBy("common.mid", "common.is_new")
-    new = F.col("common.is_new") == "1"
-    repaired = F.when(new & (day(F.col("ts")) != day(F.min("ts").over(first))), "0").otherwise(F.col("common.is_new"))
-    return logs.withColumn("common", F.col("common").withField("is_new", repaired))
+def repair_is_new(logs: DataFrame) -> DataFrame:
+    """Batch form: a visitor claimed new on another day than the visitor's first such day isn't new.
+
+    The first days are aggregated before they are shuffled, and a small table beside the logs.
+    """
+    mid, new = F.col("common.mid"), F.col("common.is_new") == "1"
+    first = logs.where(new & mid.isNotNull()).groupBy(mid.alias("mid_")).agg(day(F.min("ts")).alias("first_"))
+    rows = logs.join(first, mid == F.col("mid_"), "left")
+    repaired = F.when(new & (day(F.col("ts")) != F.col("first_")), "0").otherwise(F.col("common.is_new"))
+    return rows.withColumn("common", F.col("common").withField("is_new", repaired)).select(*logs.columns)
 
 
 def unique_visits(page: DataFrame, order: list[str]) -> DataFrame:
-    """Batch form: the first entry page of each visitor and day, by ts and then the columns of order."""
+    """Batch form: the first entry page of each visitor and day, by ts and then the columns of order.
+
+    The whole row goes along with the least (ts, order), so a busy visitor is combined before the shuffle.
+    """
     entries = page.where(is_entry(F.col("page.last_page_id")) & F.col("common.mid").isNotNull())
-    first = Window.partitionBy("common.mid", day(F.col("ts"))).orderBy("ts", *order)
-    return entries.withColumn("row_", F.row_number().over(first)).where("row_ = 1").drop("row_")
+    first = entries.groupBy(F.col("common.mid").alias("mid_"), day(F.col("ts")).alias("day_")).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in page.columns)), F.struct("ts", *order)).alias("row_"))
+    return first.select("row_.*")
 
 
 def bounces(page: DataFrame, order: list[str], gap_ms: int = 10_000) -> DataFrame:

@@ -1,7 +1,7 @@
 """Tumbling-window statistics by visitor, product, province and keyword. Works on streams with a watermark on the time.
 
-Sums ignore nulls; rows without a product are left out. `exact` counts distinct orders on streams by collected sets,
-which Spark allows there, and by count_distinct on batches. Dimensions are joined after the aggregation.
+Sums ignore nulls; rows without a product are left out. Distinct orders are exact: on streams by collected sets, which
+Spark allows there, on batches by a first aggregation for each order. Dimensions are joined after the aggregation.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.keywords import exploded
 from ..functions.scalars import is_entry, window_text
 from ..schemas import APPRAISE_GOOD, KEYWORD_SEARCH
+from .dimensions import look_up
 
 VISITOR_KEYS = ["vc", "ch", "ar", "is_new"]
 VISITOR_MEASURES = ["uv_ct", "pv_ct", "sv_ct", "uj_ct", "dur_sum"]
@@ -44,7 +45,7 @@ def visitor_stats(measures: DataFrame, time: str, width: str = "10 seconds") ->
 def product_measures(**sources: DataFrame) -> DataFrame:
     """Rows of equal columns from any of page, favor, cart, order, payment, refund and comment.
 
-    page has the columns of a log; the others sku_id, time, and order: order_id, sku_num, amount; payment: order_id,
+    page has the columns of a log, and time; the others sku_id, time, and order: order_id, sku_num, amount; payment: order_id,
     amount; refund: order_id, refund_amount; comment: appraise.
     """
     types = {m: "long" for m in PRODUCT_SUMS} | {"order_amount": "decimal(16,2)", "payment_amount": "decimal(16,2)", "refund_amount": "decimal(16,2)"}
@@ -69,11 +70,25 @@ def product_measures(**sources: DataFrame) -> DataFrame:
 
 
 def product_stats(measures: DataFrame, width: str = "10 seconds", time: str = "time") -> DataFrame:
-    stream = measures.isStreaming
-    rows = measures.groupBy(F.window(time, width), "sku_id").agg(*(F.sum(m).alias(m) for m in PRODUCT_SUMS), *(distinct_count(i, stream).alias(n) for n, i in PRODUCT_ORDERS.items()))
+    """Sums and distinct orders by product. The order ids of one row are those of one order, or null."""
+    keys, sums = [F.window(time, width), "sku_id"], [F.sum(m).alias(m) for m in PRODUCT_SUMS]
+    if measures.isStreaming:
+        rows = measures.groupBy(*keys).agg(*sums, *(distinct_count(i, True).alias(n) for n, i in PRODUCT_ORDERS.items()))
+    else:
+        each = measures.groupBy(*keys, F.coalesce(*PRODUCT_ORDERS.values()).alias("order_")).agg(*sums, *(F.max(F.when(F.col(i).isNotNull(), 1).otherwise(0)).alias(n) for n, i in PRODUCT_ORDERS.items()))
+        rows = each.groupBy("window", "sku_id").agg(*sums, *(F.sum(n).cast("long").alias(n) for n in PRODUCT_ORDERS))
     return rows.select(*window_text(), "sku_id", *PRODUCT_SUMS, *PRODUCT_ORDERS)
 
 
+def with_product_dimensions(rows: DataFrame, sku: DataFrame, spu: DataFrame, category3: DataFrame, trademark: DataFrame, unique: bool = False) -> DataFrame:
+    """Product statistics with their four dimensions; the later three join on keys that sku brings. unique: keys don't repeat."""
+    c, long = F.col, lambda n: F.col(n).try_cast("long")
+    rows = look_up(rows, sku, {"sku_id": "id"}, {"sku_name": c("sku_name"), "sku_price": c("price").try_cast("decimal(16,2)"), "category3_id": long("category3_id"), "spu_id": long("spu_id"), "tm_id": long("tm_id")}, unique)
+    rows = look_up(rows, spu, {"spu_id": "id"}, {"spu_name": c("spu_name")}, unique)
+    rows = look_up(rows, category3, {"category3_id": "id"}, {"category3_name": c("name")}, unique)
+    return look_up(rows, trademark, {"tm_id": "id"}, {"tm_name": c("tm_name")}, unique)
+
+
 def province_stats(wide: DataFrame, keys: list[str], time: str, width: str = "10 seconds", amount: str = "split_total_amount", order: str = "order_id") -> DataFrame:
     rows = wide.groupBy(F.window(time, width), *keys).agg(distinct_count(order, wide.isStreaming).alias("order_count"), F.sum(amount).alias("order_amount"))
     return rows.select(*window_text(), *keys, "order_amount", "order_count")

@@ -43,15 +43,15 @@ def order_wide(orders: DataFrame, details: DataFrame, low: str = "-5 seconds", h
     return rows.select(*map(filled, ORDER_WIDE[: ORDER_WIDE.index("province_name")]), "order_time")
 
 
-def with_dimensions(rows: DataFrame, user: DataFrame, province: DataFrame, sku: DataFrame, spu: DataFrame, category3: DataFrame, trademark: DataFrame, as_of: Column) -> DataFrame:
-    """Order-wide rows with their six dimensions; the later three join on keys that sku brings."""
+def with_dimensions(rows: DataFrame, user: DataFrame, province: DataFrame, sku: DataFrame, spu: DataFrame, category3: DataFrame, trademark: DataFrame, as_of: Column, unique: bool = False) -> DataFrame:
+    """Order-wide rows with their six dimensions; the later three join on keys that sku brings. unique: keys don't repeat."""
     c = F.col
-    rows = look_up(rows, user, {"user_id": "id"}, {"user_age": age(c("birthday"), as_of), "user_gender": c("gender")})
-    rows = look_up(rows, province, {"province_id": "id"}, {"province_name": c("name"), "province_area_code": c("area_code"), "province_iso_code": c("iso_code"), "province_3166_2_code": c("iso_3166_2")})
-    rows = look_up(rows, sku, {"sku_id": "id"}, {"sku_name": c("sku_name"), "category3_id": c("category3_id").try_cast("long"), "spu_id": c("spu_id").try_cast("long"), "tm_id": c("tm_id").try_cast("long")})
-    rows = look_up(rows, spu, {"spu_id": "id"}, {"spu_name": c("spu_name")})
-    rows = look_up(rows, category3, {"category3_id": "id"}, {"category3_name": c("name")})
-    rows = look_up(rows, trademark, {"tm_id": "id"}, {"tm_name": c("tm_name")})
+    rows = look_up(rows, user, {"user_id": "id"}, {"user_age": age(c("birthday"), as_of), "user_gender": c("gender")}, unique)
+    rows = look_up(rows, province, {"province_id": "id"}, {"province_name": c("name"), "province_area_code": c("area_code"), "province_iso_code": c("iso_code"), "province_3166_2_code": c("iso_3166_2")}, unique)
+    rows = look_up(rows, sku, {"sku_id": "id"}, {"sku_name": c("sku_name"), "category3_id": c("category3_id").try_cast("long"), "spu_id": c("spu_id").try_cast("long"), "tm_id": c("tm_id").try_cast("long")}, unique)
+    rows = look_up(rows, spu, {"spu_id": "id"}, {"spu_name": c("spu_name")}, unique)
+    rows = look_up(rows, category3, {"category3_id": "id"}, {"category3_name": c("name")}, unique)
+    rows = look_up(rows, trademark, {"tm_id": "id"}, {"tm_name": c("tm_name")}, unique)
     return rows.select(*ORDER_WIDE, "order_time")
 
 

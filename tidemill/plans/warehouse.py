@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.keywords import exploded
+from ..functions.keywords import exploded, register
 from ..functions.scalars import FORMAT
 from ..operators import changes, dimensions, logs, stats, wide
-from ..schemas import CONFIG
+from ..schemas import CONFIG, CONFIG_CHANGE
+from ..sources import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
 MONEY = "decimal(16,2)"
@@ -114,7 +115,7 @@ def q05_config_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q06_dim_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.lit("none").alias("status"))
+    old = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("none").alias("status"))
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("status"), F.lit("update").alias("kind_"), "o_orderdate", "o_orderkey")
     return dimensions.upserted(old, dimensions.latest(o, ["id"], ["o_orderdate", "o_orderkey"]), "id")
 
@@ -133,10 +134,10 @@ def _order_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _orders_and_details(spark, sf_dir)
     c = F.col
     birthday = F.date_format(F.date_sub(F.lit("1990-01-01"), (c("c_custkey") % 9000).cast("int")), "yyyy-MM-dd")
-    user = table(spark, sf_dir, "customer").select("*", birthday.alias("birthday")).where("c_custkey % 7 <> 0")
-    rows = dimensions.look_up(rows, user, {"o_custkey": "c_custkey"}, {"user_segment": c("c_mktsegment"), "province_id": c("c_nationkey"), "user_age": wide.age(c("birthday"), F.lit("2020-01-01").cast("date"))})
-    rows = dimensions.look_up(rows, table(spark, sf_dir, "nation"), {"province_id": "n_nationkey"}, {"province_name": c("n_name")})
-    return dimensions.look_up(rows, table(spark, sf_dir, "part"), {"l_partkey": "p_partkey"}, {"sku_name": c("p_name"), "tm_name": c("p_brand"), "category3_name": c("p_type")})
+    user = table(spark, sf_dir, "customer").select("*", birthday.alias("birthday"))
+    rows = dimensions.look_up(rows, user, {"o_custkey": "c_custkey"}, {"user_segment": c("c_mktsegment"), "province_id": c("c_nationkey"), "user_age": wide.age(c("birthday"), F.lit("2020-01-01").cast("date"))}, unique=True)
+    rows = dimensions.look_up(rows, table(spark, sf_dir, "nation"), {"province_id": "n_nationkey"}, {"province_name": c("n_name")}, unique=True)
+    return dimensions.look_up(rows, table(spark, sf_dir, "part"), {"l_partkey": "p_partkey"}, {"sku_name": c("p_name"), "tm_name": c("p_brand"), "category3_name": c("p_type")}, unique=True)
 
 
 def q08_order_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,30 +174,44 @@ def q13_user_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _product_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("sku_id"), F.col("l_shipdate").alias("time"), F.col("l_orderkey").alias("order_id"), F.col("l_quantity").alias("sku_num"), amount("l_extendedprice").alias("amount"), "l_returnflag", "l_linestatus")
+    """All seven sources: events for page logs, favorites (sign-ups) and carts (clicks), line items for the others."""
+    page, e = page_log(spark, sf_dir).withColumn("time", F.timestamp_millis("ts")), table(spark, sf_dir, "events")
+    chosen = e.select(F.get_json_object("props", "$.k").alias("sku_id"), F.col("ts").cast("timestamp").alias("time"), "event_type")
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("sku_id"), F.col("l_shipdate").cast("timestamp").alias("time"), F.col("l_orderkey").alias("order_id"), F.col("l_quantity").alias("sku_num"), amount("l_extendedprice").alias("amount"), "l_returnflag", "l_linestatus")
     refund = l.where("l_returnflag = 'R'").withColumn("refund_amount", F.col("amount"))
     comment = l.where("l_linestatus = 'F'").withColumn("appraise", F.when(F.col("sku_num") > 25, "1201").otherwise("1202"))
-    return stats.product_stats(stats.product_measures(order=l, payment=l.where("l_linestatus = 'O'"), refund=refund, comment=comment), "30 days")
+    measures = stats.product_measures(page=logs.split_log(page).page, favor=chosen.where("event_type = 'signup'"), cart=chosen.where("event_type = 'click'"), order=l, payment=l.where("l_linestatus = 'O'"), refund=refund, comment=comment)
+    return stats.product_stats(measures, "30 days")
 
 
-_PRODUCT = ["stt", "edt", "sku_id", "order_sku_num", "order_ct", "paid_order_ct", "refund_order_ct", "comment_ct", "good_comment_ct"]
+_PRODUCT = ["stt", "edt", "sku_id", "display_ct", "click_ct", "favor_ct", "cart_ct", "order_sku_num", "order_ct", "paid_order_ct", "refund_order_ct", "comment_ct", "good_comment_ct"]
 
 
 def q14_product_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _product_stats(spark, sf_dir).select(*_PRODUCT, number("order_amount"), number("payment_amount"), number("refund_amount"))
 
 
+def _product_dimensions(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """part as products, its sizes as their groups (named by the part of that number), its types as categories, its brands as trademarks; ids are text, keys unique."""
+    p = table(spark, sf_dir, "part")
+    text = lambda c: F.col(c).cast("string")
+    number_of = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    kinds = p.groupBy("p_type").agg(F.count("*")).select(F.crc32("p_type").cast("string").alias("id"), F.col("p_type").alias("name"))
+    brands = p.groupBy("p_brand").agg(F.count("*")).select(number_of("p_brand").alias("id"), F.col("p_brand").alias("tm_name"))
+    sku = p.select(text("p_partkey").alias("id"), F.col("p_name").alias("sku_name"), text("p_retailprice").alias("price"), text("p_size").alias("spu_id"), F.crc32("p_type").cast("string").alias("category3_id"), number_of("p_brand").alias("tm_id"))
+    return {"sku": sku, "spu": p.select(text("p_partkey").alias("id"), F.col("p_name").alias("spu_name")), "category3": kinds, "trademark": brands}
+
+
 def q15_product_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col
-    rows = dimensions.look_up(_product_stats(spark, sf_dir), table(spark, sf_dir, "part").where("p_partkey % 5 <> 0"), {"sku_id": "p_partkey"}, {"sku_name": c("p_name"), "sku_price": c("p_retailprice"), "tm_name": c("p_brand"), "category3_name": c("p_type")})
-    return rows.select("stt", "sku_id", "sku_name", "sku_price", "tm_name", "category3_name", "order_ct", number("order_amount"))
+    rows = stats.with_product_dimensions(_product_stats(spark, sf_dir), **_product_dimensions(spark, sf_dir), unique=True)
+    return rows.select("stt", "sku_id", "sku_name", number("sku_price"), "spu_id", "spu_name", "tm_id", "tm_name", "category3_name", "order_ct", number("order_amount"))
 
 
 def q16_province_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", amount("o_totalprice").alias("o_totalprice"), "o_orderdate")
     c = F.col
-    rows = dimensions.look_up(o, table(spark, sf_dir, "customer"), {"o_custkey": "c_custkey"}, {"province_id": c("c_nationkey")})
-    rows = dimensions.look_up(rows, table(spark, sf_dir, "nation"), {"province_id": "n_nationkey"}, {"province_name": c("n_name"), "area_code": c("n_regionkey")})
+    rows = dimensions.look_up(o, table(spark, sf_dir, "customer"), {"o_custkey": "c_custkey"}, {"province_id": c("c_nationkey")}, unique=True)
+    rows = dimensions.look_up(rows, table(spark, sf_dir, "nation"), {"province_id": "n_nationkey"}, {"province_name": c("n_name"), "area_code": c("n_regionkey")}, unique=True)
     out = stats.province_stats(rows, ["province_id", "province_name", "area_code"], "o_orderdate", "30 days", "o_totalprice", "o_orderkey")
     return out.select("stt", "edt", "province_id", "province_name", "area_code", "order_count", number("order_amount"))
 
@@ -210,6 +225,65 @@ def q18_keyword_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.keyword_stats(page, "fullword", "time", "1 day")
 
 
+def _order_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """orders and lineitem as order and detail records; a detail's time is its order's."""
+    c, none = F.col, F.lit(None).cast(MONEY)
+    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    province = (c("o_custkey") % 30).cast("long")  # five of which no nation has
+    orders = o.select(c("o_orderkey").alias("id"), province.alias("province_id"), c("o_orderstatus").alias("order_status"), c("o_custkey").alias("user_id"), amount("o_totalprice").alias("total_amount"), *(none.alias(n) for n in ("activity_reduce_amount", "coupon_reduce_amount", "original_total_amount", "feight_fee")), day_text("o_orderdate").alias("create_time"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("create_date"))
+    when = o.select(c("o_orderkey").alias("k"), c("o_orderdate").alias("at"))
+    late = F.timestamp_seconds(F.unix_timestamp("at") + c("l_linenumber"))  # up to seven seconds, of which five count
+    details = l.join(when, c("l_orderkey") == c("k")).select((10 * c("l_orderkey") + c("l_linenumber")).alias("id"), c("l_orderkey").alias("order_id"), c("l_partkey").alias("sku_id"), amount("l_extendedprice").alias("order_price"), c("l_quantity").cast("long").alias("sku_num"), F.lit("ordered").alias("sku_name"), F.date_format(late, FORMAT).alias("create_time"), amount("l_extendedprice").alias("split_total_amount"), none.alias("split_activity_amount"), none.alias("split_coupon_amount"))
+    return orders, details
+
+
+def _whole_order_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, details = _order_sources(spark, sf_dir)
+    rows = wide.order_wide(wide.timed(orders, "order_time"), wide.timed(details, "detail_time"))
+    c = F.col
+    birthday = F.date_format(F.date_sub(F.lit("1990-01-01"), (c("c_custkey") % 9000).cast("int")), "yyyy-MM-dd")
+    user = table(spark, sf_dir, "customer").select(c("c_custkey").cast("string").alias("id"), F.when(c("c_custkey") % 2 == 0, "F").otherwise("M").alias("gender"), birthday.alias("birthday"))
+    n = c("n_nationkey").cast("string")
+    province = table(spark, sf_dir, "nation").select(n.alias("id"), c("n_name").alias("name"), c("n_regionkey").cast("string").alias("area_code"), F.concat(F.lit("I"), n).alias("iso_code"), F.concat(F.lit("P"), n).alias("iso_3166_2"))
+    return wide.with_dimensions(rows, user, province, **_product_dimensions(spark, sf_dir), as_of=F.lit("2020-01-01").cast("date"), unique=True)
+
+
+def q19_order_wide_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole order-wide records with their six dimensions; money that is always null is left out."""
+    names = ["detail_id", "order_id", "sku_id", "sku_num", "sku_name", "province_id", "order_status", "user_id", "create_time", "create_date", "province_name", "province_area_code", "province_iso_code", "province_3166_2_code", "user_age", "user_gender", "spu_id", "tm_id", "spu_name", "tm_name", "category3_name"]
+    return _whole_order_wide(spark, sf_dir).select(*names, number("order_price"), number("total_amount"), number("split_total_amount"))
+
+
+def q20_payment_wide_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payments of orders, half of them too late, over the order-wide records; the payment's user is unknown where the order's is even."""
+    c = F.col
+    later = F.when(c("o_orderkey") % 2 == 0, 1800).otherwise(1801)
+    paid = F.date_format(F.timestamp_seconds(F.unix_timestamp("o_orderdate") + later), FORMAT)
+    pay = table(spark, sf_dir, "orders").select((c("o_orderkey") + 7).alias("id"), c("o_orderkey").alias("order_id"), F.when(c("o_custkey") % 2 == 1, c("o_custkey")).alias("user_id"), amount("o_totalprice").alias("total_amount"), c("o_orderpriority").alias("subject"), F.lit("card").alias("payment_type"), paid.alias("create_time"), paid.alias("callback_time"))
+    rows = wide.payment_wide(wide.timed(pay, "pay_time"), _whole_order_wide(spark, sf_dir))
+    names = ["payment_id", "subject", "payment_type", "payment_create_time", "callback_time", "detail_id", "order_id", "sku_id", "sku_name", "user_id", "order_create_time", "province_name", "user_age", "tm_name"]
+    return rows.select(*names, number("total_amount"), number("split_total_amount"))
+
+
+def q21_config_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Config changes as JSON lines, made from part: the routing table after them, and the dimension tables that it asks for."""
+    c = F.col
+    p = table(spark, sf_dir, "part")
+    kind = F.element_at(F.array(*map(F.lit, ("insert", "update", "delete"))), (c("p_partkey") % 3 + 1).cast("int"))
+    data = F.struct(F.concat(F.lit("t"), c("p_size")).alias("source_table"), F.when(c("p_partkey") % 2 == 0, "insert").otherwise("update").alias("operate_type"), F.when(c("p_size") % 2 == 0, "hbase").otherwise("kafka").alias("sink_type"), F.concat(F.lit("dim_"), c("p_size")).alias("sink_table"), F.lit("id,name").alias("sink_columns"), F.when(c("p_size") % 3 == 0, "name").otherwise("").alias("sink_pk"), F.lit(None).cast("string").alias("sink_extend"))
+    lines = p.select(F.to_json(F.struct(F.lit("d").alias("database"), F.lit("table_process").alias("table"), kind.alias("type"), data.alias("data"), c("p_partkey").alias("seq"))).alias("value"))
+    config = changes.current_config(inputs.parsed(lines, CONFIG_CHANGE + ", seq bigint"), ["seq"])
+    asked = changes.new_dimensions(config).select(F.lit("dimension").alias("what"), "sink_table", "sink_pk", F.lit(None).cast("string").alias("operate_type"))
+    return config.select(F.lit("route").alias("what"), "sink_table", "sink_pk", "operate_type").unionByName(asked)
+
+
+def q22_keyword_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords by a Python table function in a lateral join, where q17 has Spark's own functions."""
+    register(spark, str.split)
+    inputs.as_view(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "named_parts")
+    return spark.sql("SELECT p_partkey, word FROM named_parts, LATERAL analyze_words(p_name)")
+
+
 def order_to_province(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: orders and details by interval join, with dimensions, as statistics by province and 30 days."""
     out = stats.province_stats(_order_wide(spark, sf_dir), ["province_id", "province_name"], "o_orderdate", "30 days", "l_extendedprice", "o_orderkey")
@@ -219,7 +293,7 @@ def order_to_province(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     q01_json_parse, q02_log_split, q02b_is_new_repair, q03_explode_display, q04_cdc_filter, q05_config_route, q06_dim_upsert, q07_interval_join, q08_order_wide,
     q09_unique_visit, q10_payment_wide, q11_visitor_measures, q12_visitor_stats, q13_user_jump, q14_product_stats, q15_product_dims, q16_province_stats,
-    q17_keyword_lateral, q18_keyword_stats, order_to_province,
+    q17_keyword_lateral, q18_keyword_stats, q19_order_wide_records, q20_payment_wide_records, q21_config_changes, q22_keyword_udtf, order_to_province,
 )
 
 
@@ -253,12 +327,25 @@ _JOINED = """joined AS (SELECT o_orderkey, o_custkey, o_totalprice::DECIMAL(16,2
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_shipdate BETWEEN o_orderdate - INTERVAL 30 DAY AND o_orderdate + INTERVAL 30 DAY)"""
 _WIDE = f"""{_JOINED}, wide AS (SELECT j.*, p_name AS sku_name, p_brand AS tm_name, p_type AS category3_name, c_mktsegment AS user_segment, c_nationkey AS province_id, n_name AS province_name,
   (date_diff('day', DATE '1990-01-01' - (c_custkey % 9000)::INTEGER, DATE '2020-01-01') // 365)::INTEGER AS user_age
-  FROM joined j LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 7 <> 0) ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN part ON l_partkey = p_partkey)"""
-_PRODUCTS = f"""product AS (SELECT {_window('l_shipdate', '30 days')}, l_partkey AS sku_id, sum(l_quantity)::BIGINT AS order_sku_num, count(DISTINCT l_orderkey) AS order_ct,
+  FROM joined j LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN part ON l_partkey = p_partkey)"""
+_PRODUCTS = f"""{_LOG}, measure AS (
+  SELECT l_shipdate AS t, l_partkey AS sku_id, 0 AS display_ct, 0 AS click_ct, 0 AS favor_ct, 0 AS cart_ct, l_quantity, l_extendedprice::DECIMAL(16,2) AS amount, l_orderkey, l_linestatus, l_returnflag FROM lineitem
+  UNION ALL SELECT epoch_ms(ms), item::BIGINT, (event_type = 'view')::INT, (event_type = 'purchase')::INT, (event_type = 'signup')::INT, (event_type = 'click')::INT, 0, 0, NULL, NULL, NULL
+    FROM log WHERE event_type <> 'error' AND item IS NOT NULL),
+product AS (SELECT {_window('t', '30 days')}, sku_id, sum(display_ct)::BIGINT AS display_ct, sum(click_ct)::BIGINT AS click_ct, sum(favor_ct)::BIGINT AS favor_ct, sum(cart_ct)::BIGINT AS cart_ct,
+  sum(l_quantity)::BIGINT AS order_sku_num, count(DISTINCT l_orderkey) AS order_ct,
   count(DISTINCT l_orderkey) FILTER (WHERE l_linestatus = 'O') AS paid_order_ct, count(DISTINCT l_orderkey) FILTER (WHERE l_returnflag = 'R') AS refund_order_ct,
   count(*) FILTER (WHERE l_linestatus = 'F') AS comment_ct, count(*) FILTER (WHERE l_linestatus = 'F' AND l_quantity > 25) AS good_comment_ct,
-  sum(l_extendedprice::DECIMAL(16,2))::DOUBLE AS order_amount, coalesce(sum(l_extendedprice::DECIMAL(16,2)) FILTER (WHERE l_linestatus = 'O'), 0)::DOUBLE AS payment_amount,
-  coalesce(sum(l_extendedprice::DECIMAL(16,2)) FILTER (WHERE l_returnflag = 'R'), 0)::DOUBLE AS refund_amount FROM lineitem GROUP BY 1, 2, 3)"""
+  sum(amount)::DOUBLE AS order_amount, coalesce(sum(amount) FILTER (WHERE l_linestatus = 'O'), 0)::DOUBLE AS payment_amount,
+  coalesce(sum(amount) FILTER (WHERE l_returnflag = 'R'), 0)::DOUBLE AS refund_amount FROM measure GROUP BY 1, 2, 3)"""
+_GOODS = """sku AS (SELECT p_partkey AS sku, p_name AS sku_name, p_retailprice::DECIMAL(16,2)::DOUBLE AS sku_price, p_size::BIGINT AS spu_id, regexp_replace(p_brand, '[^0-9]', '', 'g')::BIGINT AS tm_id, p_brand AS tm_name,
+  p_type AS category3_name FROM part), goods AS (SELECT sku.*, spu.p_name AS spu_name FROM sku LEFT JOIN part AS spu ON spu_id = spu.p_partkey)"""
+_RECORDS = f"""{_GOODS}, record AS (SELECT 10 * l_orderkey + l_linenumber AS detail_id, o_orderkey AS order_id, l_partkey AS sku_id, l_quantity::BIGINT AS sku_num, coalesce(sku_name, 'ordered') AS sku_name,
+  o_custkey % 30 AS province_id, o_orderstatus AS order_status, o_custkey AS user_id, {_TEXT.format(x='o_orderdate')} AS create_time, strftime(o_orderdate, '%Y-%m-%d') AS create_date, n_name AS province_name,
+  n_regionkey::VARCHAR AS province_area_code, 'I' || n_nationkey AS province_iso_code, 'P' || n_nationkey AS province_3166_2_code,
+  (date_diff('day', DATE '1990-01-01' - (c_custkey % 9000)::INTEGER, DATE '2020-01-01') // 365)::INTEGER AS user_age, CASE WHEN c_custkey % 2 = 0 THEN 'F' WHEN c_custkey % 2 = 1 THEN 'M' END AS user_gender, spu_id, tm_id,
+  spu_name, tm_name, category3_name, l_extendedprice::DECIMAL(16,2)::DOUBLE AS order_price, o_totalprice::DECIMAL(16,2)::DOUBLE AS total_amount, l_extendedprice::DECIMAL(16,2)::DOUBLE AS split_total_amount, o_orderdate
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber <= 5 LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON o_custkey % 30 = n_nationkey LEFT JOIN goods ON l_partkey = sku)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -273,7 +360,7 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN tab = 'region' THEN 'dwd_region' WHEN kind = 'insert' THEN 'dim_nation' ELSE 'dwd_nation' END AS sink_table,
             CASE WHEN tab = 'nation' AND kind = 'insert' THEN key::VARCHAR END AS key, name, CASE WHEN tab = 'nation' AND kind = 'insert' THEN 2 ELSE 1 END::INTEGER AS n_columns FROM change""",
         "q06_dim_upsert": """WITH new AS (SELECT o_custkey AS id, o_orderstatus AS status FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
-            SELECT id, status FROM new UNION ALL SELECT c_custkey, 'none' FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey NOT IN (SELECT id FROM new)""",
+            SELECT id, status FROM new UNION ALL SELECT c_custkey, 'none' FROM customer WHERE c_custkey NOT IN (SELECT id FROM new)""",
         "q07_interval_join": f"WITH {_JOINED} SELECT l_orderkey, l_linenumber, l_partkey, o_custkey, {_TEXT.format(x='o_orderdate')} AS o_orderdate, {_TEXT.format(x='l_shipdate')} AS l_shipdate, l_extendedprice::DOUBLE AS l_extendedprice FROM joined",
         "q08_order_wide": f"WITH {_WIDE} SELECT l_orderkey, l_linenumber, l_partkey, sku_name, tm_name, category3_name, o_custkey, user_segment, user_age, province_id, province_name, l_extendedprice::DOUBLE AS l_extendedprice, o_totalprice::DOUBLE AS o_totalprice FROM wide",
         "q09_unique_visit": f"WITH {_LOG} SELECT event_id, mid, ms AS ts FROM log WHERE event_type = 'signup' QUALIFY row_number() OVER (PARTITION BY mid, ts::DATE ORDER BY ms, event_id) = 1",
@@ -283,9 +370,18 @@ def oracle_sql() -> dict[str, str]:
         "q12_visitor_stats": f"WITH {_MEASURES} SELECT {_window('make_timestamp(ts * 1000)', '1 hour')}, vc, ch, ar, is_new, sum(uv_ct)::BIGINT AS uv_ct, sum(pv_ct)::BIGINT AS pv_ct, sum(sv_ct)::BIGINT AS sv_ct, sum(uj_ct)::BIGINT AS uj_ct, sum(dur_sum)::BIGINT AS dur_sum FROM measure GROUP BY ALL",
         "q13_user_jump": f"WITH {_LOG}, nxt AS (SELECT *, lead(ms) OVER (PARTITION BY mid ORDER BY ms, event_id) AS nx FROM log) SELECT event_id, mid, ms AS ts FROM nxt WHERE event_type = 'signup' AND (nx IS NULL OR nx - ms >= 3600000)",
         "q14_product_stats": f"WITH {_PRODUCTS} SELECT * FROM product",
-        "q15_product_dims": f"WITH {_PRODUCTS} SELECT stt, sku_id, p_name AS sku_name, p_retailprice AS sku_price, p_brand AS tm_name, p_type AS category3_name, order_ct, order_amount FROM product LEFT JOIN (SELECT * FROM part WHERE p_partkey % 5 <> 0) ON sku_id = p_partkey",
+        "q15_product_dims": f"WITH {_PRODUCTS}, {_GOODS} SELECT stt, sku_id, sku_name, sku_price, spu_id, spu_name, tm_id, tm_name, category3_name, order_ct, order_amount FROM product LEFT JOIN goods ON sku_id = sku",
         "q16_province_stats": f"SELECT {_window('o_orderdate', '30 days')}, c_nationkey AS province_id, n_name AS province_name, n_regionkey AS area_code, count(DISTINCT o_orderkey) AS order_count, sum(o_totalprice::DECIMAL(16,2))::DOUBLE AS order_amount FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL",
         "q17_keyword_lateral": "SELECT p_partkey, unnest(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+')) AS keyword FROM part",
         "q18_keyword_stats": f"WITH {_LOG} SELECT item AS keyword, count(*) AS ct, 'SEARCH' AS source, {_window('date_trunc(' + chr(39) + 'second' + chr(39) + ', ts)', '1 day')} FROM log WHERE page_id = 'good_list' AND item IS NOT NULL GROUP BY ALL",
+        "q19_order_wide_records": f"WITH {_RECORDS} SELECT * EXCLUDE (o_orderdate) FROM record",
+        "q20_payment_wide_records": f"""WITH {_RECORDS} SELECT order_id + 7 AS payment_id, o_orderpriority AS subject, 'card' AS payment_type, {_TEXT.format(x="r.o_orderdate + INTERVAL 1800 SECOND")} AS payment_create_time,
+            {_TEXT.format(x="r.o_orderdate + INTERVAL 1800 SECOND")} AS callback_time, detail_id, order_id, sku_id, sku_name, CASE WHEN user_id % 2 = 1 THEN user_id END AS user_id, create_time AS order_create_time,
+            province_name, user_age, tm_name, total_amount, split_total_amount FROM record r JOIN orders ON order_id = o_orderkey WHERE order_id % 2 = 0""",
+        "q21_config_changes": """WITH config AS (SELECT * FROM (SELECT p_partkey % 3 AS kind, p_size, CASE WHEN p_partkey % 2 = 0 THEN 'insert' ELSE 'update' END AS operate_type, CASE WHEN p_size % 3 = 0 THEN 'name' ELSE '' END AS pk
+            FROM part QUALIFY row_number() OVER (PARTITION BY p_size, p_partkey % 2 ORDER BY p_partkey DESC) = 1) WHERE kind <> 2)
+            SELECT 'route' AS what, 'dim_' || p_size AS sink_table, pk AS sink_pk, operate_type FROM config
+            UNION ALL SELECT 'dimension', 'dim_' || p_size, CASE WHEN pk = '' THEN 'id' ELSE pk END, NULL FROM config WHERE p_size % 2 = 0 AND operate_type = 'insert'""",
+        "q22_keyword_udtf": "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part",
         "order_to_province": f"WITH {_WIDE} SELECT {_window('o_orderdate', '30 days')}, province_id, province_name, count(DISTINCT o_orderkey) AS order_count, sum(l_extendedprice)::DOUBLE AS order_amount FROM wide GROUP BY ALL",
     }

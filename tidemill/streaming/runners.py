@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.changes import route, sane
+from ..functions.scalars import seconds_of
+from ..operators import stats, wide
+from ..operators.changes import current_config, new_dimensions, route, sane
 from ..operators.logs import split_log
+from ..schemas import KEYWORD_STATS, PRODUCT_STATS, PROVINCE_STATS, VISITOR_STATS
 from ..sources.outputs import Batch, DimensionTable, routed_sink, table_sink
 from . import stateful
 
+#: Reads dimension tables by name: each batch calls it anew, so that it sees what has changed.
+Dimensions = Callable[[], dict[str, DataFrame]]
+
 
 def start(df: DataFrame, sink: Batch, checkpoint: str, **trigger: object) -> StreamingQuery:
     """Every batch through sink; finished input ends the query with availableNow=True (the default)."""
@@ -57,3 +64,49 @@ def visit_layer(page: DataFrame, out: str, checkpoint: str, **trigger: object) -
 
 def bounce_layer(page: DataFrame, out: str, checkpoint: str, gap_ms: int = 10_000, **trigger: object) -> StreamingQuery:
     return start(stateful.bounces(stateful.with_event_time(page), gap_ms), table_sink(f"{out}/user_jump"), checkpoint, **trigger)
+
+
+def config_dimensions(spark: SparkSession, changes: DataFrame, order: list[str], path: str) -> tuple[DataFrame, dict[str, DimensionTable]]:
+    """The current routing table of config changes, and the dimension tables it asks for, by name."""
+    config = current_config(changes, order)
+    # a row for each dimension table
+    wanted = new_dimensions(config).collect()
+    return config, {r.sink_table: DimensionTable(spark, f"{path}/{r.sink_table}", r.sink_columns, r.sink_pk) for r in wanted}
+
+
+def order_wide_layer(orders: DataFrame, details: DataFrame, dims: Dimensions, as_of: Column, out: str, checkpoint: str, **trigger: object) -> StreamingQuery:
+    """Orders and details that come within five seconds of each other, with their six dimensions. Both have create_time."""
+    rows = wide.order_wide(wide.timed(orders, "order_time"), wide.timed(details, "detail_time"))
+    sink = table_sink(out)
+    return start(rows, lambda df, batch: sink(wide.with_dimensions(df, **dims(), as_of=as_of), batch), checkpoint, **trigger)
+
+
+def payment_wide_layer(payments: DataFrame, orders: DataFrame, out: str, checkpoint: str, delay: str = "3 seconds", **trigger: object) -> StreamingQuery:
+    """Payments with the order-wide rows (with order_time) of the half hour before."""
+    return start(wide.payment_wide(wide.timed(payments, "pay_time"), orders.withWatermark("order_time", delay)), table_sink(out), checkpoint, **trigger)
+
+
+def visitor_layer(page: DataFrame, visits: DataFrame, jumps: DataFrame, out: str, checkpoint: str, delay: str = "3 seconds", **trigger: object) -> StreamingQuery:
+    """Visitor statistics of page views, unique visits and bounces, watermarked after their union."""
+    measures = stats.visitor_measures(page, visits, jumps).withColumn("time", F.timestamp_millis("ts")).withWatermark("time", delay)
+    return start(stats.stamped(stats.visitor_stats(measures, "time")).select(*VISITOR_STATS), table_sink(out), checkpoint, **trigger)
+
+
+def product_layer(dims: Dimensions, out: str, checkpoint: str, delay: str = "3 seconds", **sources: DataFrame) -> StreamingQuery:
+    """Product statistics of any of the seven sources (each with time), with their four dimensions joined after the aggregation."""
+    sink = table_sink(out)
+    rows = stats.product_stats(stats.product_measures(**sources).withWatermark("time", delay))
+    return start(rows, lambda df, batch: sink(stats.stamped(stats.with_product_dimensions(df, **dims())).select(*PRODUCT_STATS), batch), checkpoint)
+
+
+def province_layer(orders: DataFrame, out: str, checkpoint: str, delay: str = "3 seconds", **trigger: object) -> StreamingQuery:
+    """Statistics by province of order-wide rows."""
+    keys = {"province_id": "province_id", "province_name": "province_name", "area_code": "province_area_code", "iso_code": "province_iso_code", "iso_3166_2": "province_3166_2_code"}
+    rows = orders.select(*(F.col(c).alias(k) for k, c in keys.items()), "order_id", "split_total_amount", "order_time").withWatermark("order_time", delay)
+    return start(stats.stamped(stats.province_stats(rows, list(keys), "order_time")).select(*PROVINCE_STATS), table_sink(out), checkpoint, **trigger)
+
+
+def keyword_layer(page: DataFrame, out: str, checkpoint: str, delay: str = "3 seconds", **trigger: object) -> StreamingQuery:
+    """Statistics of searched keywords; times are cut to seconds."""
+    rows = stats.searched(page).withColumn("time", seconds_of(F.col("ts"))).withWatermark("time", delay)
+    return start(stats.stamped(stats.keyword_stats(rows, "fullword", "time")).select(*KEYWORD_STATS), table_sink(out), checkpoint, **trigger)
