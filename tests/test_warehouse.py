@@ -12,11 +12,13 @@ from tidemill.sources import inputs
 from tidemill.sources.outputs import DimensionTable, dimension_schema, table_sink
 from tidemill.streaming import runners, stateful
 
-JUMPS = [
-    '{"common":{"mid":"101"},"page":{"page_id":"home"},"ts":10000}',
-    '{"common":{"mid":"102"},"page":{"page_id":"home"},"ts":12000}',
-    '{"common":{"mid":"102"},"page":{"page_id":"good_list","last_page_id":"home"},"ts":15000}',
-    '{"common":{"mid":"102"},"page":{"page_id":"good_list","last_page_id":"detail"},"ts":30000}',
+#: A visit of one page, one that goes on after 4 s and later still, and a page that follows nothing of its own.
+VISITS = [
+    '{"common":{"mid":"ann"},"page":{"page_id":"start"},"ts":2000}',
+    '{"common":{"mid":"bob"},"page":{"page_id":"offers","last_page_id":""},"ts":7000}',
+    '{"common":{"mid":"bob"},"page":{"page_id":"shoes","last_page_id":"offers"},"ts":11000}',
+    '{"common":{"mid":"bob"},"page":{"page_id":"basket","last_page_id":"shoes"},"ts":90000}',
+    '{"common":{"mid":"cyd"},"page":{"page_id":"shoes","last_page_id":"offers"},"ts":5000}',
 ]
 
 
@@ -30,12 +32,12 @@ def log(spark, rows):
     return (df,)
 
 
-def test_jump_fixture(spark):
-    page = logs.split_log(inputs.parsed(inputs.literals(spark, JUMPS), LOG)).page
-    assert at(logs.bounces(page, [])) == [("101", 10000)]
-    assert at(logs.unique_visits(page, [])) == [("101", 10000), ("102", 12000)]
+def test_visits(spark):
+    page = logs.split_log(inputs.parsed(inputs.literals(spark, VISITS), LOG)).page
+    assert at(logs.bounces(page, [])) == [("ann", 2000)]  # nothing follows; bob's entry is followed within ten seconds
+    assert at(logs.unique_visits(page, [])) == [("ann", 2000), ("bob", 7000)]  # cyd never entered
     m = stats.visitor_measures(page, logs.unique_visits(page, []), logs.bounces(page, [])).agg(F.sum("pv_ct"), F.sum("sv_ct"), F.sum("uj_ct")).first()
-    assert tuple(m) == (4, 2, 1)
+    assert tuple(m) == (5, 2, 1)
 
 
 def test_jump_rules(spark):
@@ -116,11 +118,13 @@ def test_streams_equal_batches(spark, tmp_path):
     out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
     for q in (runners.visit_layer(stream, out, f"{ck}/v"), runners.bounce_layer(stream, out, f"{ck}/b", 2000)):
         q.awaitTermination()
-    assert len(at(spark.read.parquet(f"{out}/unique_visit"))) == len(at(logs.unique_visits(batch, [])))
+    by_day = lambda r: sorted((x.common.mid, x.ts // 86_400_000) for x in r.collect())
+    assert by_day(spark.read.parquet(f"{out}/unique_visit")) == by_day(logs.unique_visits(batch, []))
     assert at(spark.read.parquet(f"{out}/user_jump")) == at(logs.bounces(batch, [], 2000))
     q = runners.log_layer(stream, f"{out}/log", f"{ck}/l")
     q.awaitTermination()
-    assert spark.read.parquet(f"{out}/log/page").count() == 261
+    claims = lambda r: sorted((x.common.mid, x.ts, x.common.is_new, x.page.page_id) for x in r.collect())
+    assert claims(spark.read.parquet(f"{out}/log/page")) == claims(logs.repair_is_new(batch))
     windowed = stats.keyword_stats(stateful.with_event_time(stream).withColumn("w", F.col("page.page_id")), "w", "event_time")
     q = runners.start(windowed, table_sink(f"{out}/kw"), f"{ck}/k")
     q.awaitTermination()

@@ -27,7 +27,12 @@ def kafka(spark: SparkSession, servers: str, topics: str, stream: bool = True, l
 
 def parsed(df: DataFrame, schema: str, value: str = "value") -> DataFrame:
     """JSON lines as columns of schema; lines that aren't such objects are dropped."""
-    return df.select(F.from_json(value, schema).alias("r")).where("r is not null").select("r.*")
+    return _objects(df, value).select(F.from_json(value, schema).alias("r")).select("r.*")
+
+
+def _objects(df: DataFrame, value: str) -> DataFrame:
+    """Rows whose value is a JSON object; from_json alone makes a row of nulls of anything else."""
+    return df.where(F.json_object_keys(value).isNotNull())
 
 
 def as_view(df: DataFrame, name: str, time: str | None = None, delay: str = "3 seconds") -> DataFrame:
@@ -40,7 +45,7 @@ def as_view(df: DataFrame, name: str, time: str | None = None, delay: str = "3 s
 
 def changes(df: DataFrame, value: str = "value") -> DataFrame:
     """Debezium change records as database, table, type, data; data holds the row after the change and is empty on deletes."""
-    r = df.select(F.from_json(value, DEBEZIUM).alias("r")).where("r is not null").select("r.*")
+    r = _objects(df, value).select(F.from_json(value, DEBEZIUM).alias("r")).select("r.*")
     return r.select(F.col("source.db").alias("database"), F.col("source.table").alias("table"), operation(F.col("op")).alias("type"), F.coalesce("after", F.create_map().cast("map<string,string>")).alias("data"))
 
 

@@ -108,5 +108,5 @@ def province_layer(orders: DataFrame, out: str, checkpoint: str, delay: str = "3
 
 def keyword_layer(page: DataFrame, out: str, checkpoint: str, delay: str = "3 seconds", **trigger: object) -> StreamingQuery:
     """Statistics of searched keywords; times are cut to seconds."""
-    rows = stats.searched(page).withColumn("time", seconds_of(F.col("ts"))).withWatermark("time", delay)
+    rows = stats.searched(page.withColumn("time", seconds_of(F.col("ts"))).withWatermark("time", delay))
     return start(stats.stamped(stats.keyword_stats(rows, "fullword", "time")).select(*KEYWORD_STATS), table_sink(out), checkpoint, **trigger)

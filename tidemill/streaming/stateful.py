@@ -94,23 +94,36 @@ class Bounce(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "ts long, entry boolean, record string")
+        self.due = handle.getValueState("due", "at long")
+
+    def _wait(self, at: int) -> None:
+        """One timer for each visitor, at the time the earliest record is due."""
+        known = self.due.get()[0] if self.due.exists() else None
+        if known is not None and known <= at:
+            return
+        if known is not None:
+            self.handle.deleteTimer(known)
+        self.handle.registerTimer(at)
+        self.due.update((at,))
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        for r in rows:
-            self.waiting.appendValue((r.ts, r.entry, r.record))
-            self.handle.registerTimer(r.ts + self.gap)
+        new = [(r.ts, r.entry, r.record) for r in rows]
+        self.waiting.appendList(new)
+        self._wait(min(new)[0] + self.gap)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
+        # all that the watermark has passed by now is judged at once, so a record is sorted few times
+        at = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         rows = sorted(tuple(r) for r in self.waiting.get())
-        due = [i for i, r in enumerate(rows) if r[0] + self.gap <= at]
-        for i in due:
+        due = sum(r[0] + self.gap <= at for r in rows)
+        self.due.clear()
+        for i in range(due):
             if rows[i][1] and (i + 1 == len(rows) or rows[i + 1][0] - rows[i][0] >= self.gap):
                 yield Row(record=rows[i][2])
-        left = rows[len(due) :]
-        if left:
-            self.waiting.put(left)
+        if rows[due:]:
+            self.waiting.put(rows[due:])
+            self._wait(rows[due][0] + self.gap)
         else:
             self.waiting.clear()
 
