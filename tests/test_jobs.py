@@ -112,7 +112,7 @@ END = 100_000
 
 
 def test_visitor_and_keyword_jobs(spark, tmp_path):
-    rows = [*page_rows(120), {"common": {"mid": "z"}, "page": {"page_id": "home", "last_page_id": "x"}, "ts": 1_704_067_200_000 + 1000 * END}]
+    rows = [*page_rows(120), {"common": {"mid": "z"}, "page": {"page_id": "good_list", "last_page_id": "x", "item": "end"}, "ts": 1_704_067_200_000 + 1000 * END}]
     page, pages = stream_of(spark, tmp_path / "page", rows, LOG)
     visits, jumps = logs.unique_visits(pages, []), logs.bounces(pages, [], 3000)
     parts = {}
