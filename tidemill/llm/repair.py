@@ -19,6 +19,7 @@ empty table writes no shard.
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -38,7 +39,7 @@ END = 2
 #: Ids after which a shard is closed; a longer document makes a longer shard.
 SHARD_IDS = 2_000_000
 #: Pairs that a round replaces at most, and the least count of a pair: a rule costs as much as four symbols.
-RULES_A_ROUND, LEAST = 1024, 8
+RULES_A_ROUND, LEAST = 4096, 8
 _BUCKET_BITS = 18
 
 
@@ -158,15 +159,17 @@ class Shard:
             raise ValueError("a shard file of a wrong length")
         rules, self.lengths, self.keys, self.nulls, self.offsets, self.counts, self.symbols = parts
         self.rules = rules.reshape(-1, 2).astype(np.int64)
-        self._known: tuple[np.ndarray, np.ndarray] | None = None
 
     def ids(self, k: int) -> np.ndarray:
         """Ids of the shard's document k alone."""
-        self._known = self._known or expansions(self.rules, self.vocabulary)
-        return expand(self.symbols[self.offsets[k] : self.offsets[k + 1]], self.rules, self.vocabulary, self._known)
+        return expand(self.symbols[self.offsets[k] : self.offsets[k + 1]], self.rules, self.vocabulary, self.known)
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.vocabulary)
+        return expand(self.symbols, self.rules, self.vocabulary, self.known)
+
+    @functools.cached_property
+    def known(self) -> tuple[np.ndarray, np.ndarray]:
+        return expansions(self.rules, self.vocabulary)
 
 
 FILES = "name string, bytes long, sha256 string, part long, before long, n_ids long, n_docs long"
