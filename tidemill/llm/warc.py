@@ -14,7 +14,6 @@ length. Columns besides page_id, url and html play no part, however they are cal
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import uuid
 import zlib
@@ -62,6 +61,20 @@ def member(data: bytes) -> bytes:
     return c.compress(data) + c.flush()
 
 
+def decompressed(data: bytes) -> bytes:
+    """All members of a gzip file, in time that grows with its length however many members it has."""
+    view, at, out = memoryview(data), 0, []
+    while at < len(view):
+        member_ = zlib.decompressobj(31)
+        while not member_.eof:
+            if at >= len(view):
+                raise ValueError("a gzip member that breaks off")
+            part = view[at : at + (1 << 14)]
+            out.append(member_.decompress(part))
+            at += len(part) - len(member_.unused_data)
+    return b"".join(out)
+
+
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers by lower-case name, block) of each record of an uncompressed archive; digests are checked."""
     at = 0
@@ -131,7 +144,7 @@ def read(spark, folder: str) -> DataFrame:
         for batch in batches:
             for content, name, size_, sha in zip(batch.column(0), *(batch.column(c).to_pylist() for c in range(1, 4)), strict=True):
                 rows = []
-                for head, block in records(gzip.decompress(intact(name, content.as_py(), size_, sha))):
+                for head, block in records(decompressed(intact(name, content.as_py(), size_, sha))):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     digest, size = head["warc-payload-digest"].removeprefix("sha256:"), int(http.rpartition(b"Content-Length: ")[2])
                     if head["warc-type"] == "response" and (len(payload), hashlib.sha256(payload).hexdigest()) != (size, digest):
