@@ -12,7 +12,8 @@ again. Links then become components by alternating star contractions, distribute
 folder.
 
 Nulls: a null text is empty (fingerprint zero); a null doc_id stays null and counts for no component's smallest id, a
-component with null ids only has a null id. Repeated rows are kept. An empty table yields no rows.
+component with null ids only has a null id. Repeated rows are kept. An empty table yields no rows. Very long texts count
+whole. Columns besides doc_id and text play no part, however they are called.
 """
 
 from __future__ import annotations
