@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemill.llm import chat, neighbours, packing, pieces, quality, queries, repair, secrets, simhash, similar, warc, wordpiece
+from tidemill.llm import chat, neighbours, packing, pieces, quality, queries, repair, secrets, shared, simhash, similar, warc, wordpiece
 from tidemill.llm.words import WordIds
 
 SF = "/root/testdata/sf0.001"
@@ -318,7 +318,8 @@ def test_simhash(docs, rows):
     same(simhash.near_duplicates(docs).collect(), [(i, f"{f:016x}", least.get(root[f])) for i, f in prints])
 
 
-def test_anchors_lose_no_link():
+@pytest.mark.parametrize("codes", [(simhash.GOLAY, simhash.GOLAY), (simhash.GOLAY, simhash.GOLAY, simhash.HAMMING)])
+def test_anchors_lose_no_link(codes):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, 150, dtype=np.int64).view(np.uint64)
     fs = [base]
@@ -330,7 +331,8 @@ def test_anchors_lose_no_link():
         fs.append(g)
     near = base[:1] ^ np.unique(np.array([0] + [1 << a | 1 << b for a in range(64) for b in range(8)], np.uint64))
     f = np.unique(np.concatenate([*fs, near]))
-    row, anchor = simhash.anchors(f)
+    row, anchor = simhash.anchors(f, codes)
+    assert len(np.unique(np.stack([row, anchor]), axis=1).T) == len(row)
     order = np.lexsort((f[row], anchor))
     a, b = simhash.forest(anchor[order], f[row][order])
     assert (np.bitwise_count(a ^ b) <= 3).all()
@@ -347,6 +349,26 @@ def test_anchors_lose_no_link():
     assert len(set(want.values())) == len({find(x) for x in got})
 
 
+def test_simhash_with_a_third_block(docs, monkeypatch):
+    want = simhash.near_duplicates(docs).collect()
+    monkeypatch.setattr(simhash, "TWO_BLOCKS", 0)
+    same(simhash.near_duplicates(docs).collect(), [tuple(r) for r in want])
+
+
+def test_meet_spreads_a_hot_key(spark):
+    rows = [(7 if i % 3 else i, i) for i in range(600)] + [(None, 1), (5, None), (5, None)]
+    side = [(7, "hot"), *((i, str(i)) for i in range(0, 300, 3)), (5, "five"), (9999, "none")]
+    out = shared.meet(spark.createDataFrame(rows, "k long, v long"), spark.createDataFrame(side, "k long, name string"), "k", "v")
+    assert out.columns == ["k", "v", "name"]
+    same([tuple(r) for r in out.collect()], [(k, v, dict(side)[k]) for k, v in rows if k in dict(side)])
+
+
+def test_components_of_no_links_and_of_stars(spark):
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    stars = spark.createDataFrame([(1, x) for x in range(2, 9)] + [(10, 11), (11, 10), (12, 12)], "a long, b long")
+    same([tuple(r) for r in simhash.components(stars).collect()], [(x, 1) for x in range(1, 9)] + [(10, 10), (11, 10)])
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randint(100, 160), rng.randint(100, 160)) for _ in range(40)] + [(500, x) for x in range(501, 560)]

@@ -94,6 +94,20 @@ def only(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return df.join(F.broadcast(ids) if small else ids.hint("merge"), F.col(key) == F.col("only_"), "left_semi")
 
 
+def meet(rows: DataFrame, side: DataFrame, key: str, by: str) -> DataFrame:
+    """rows with the other columns of side, which has one row for each key (not null); rows without one go.
+
+    A key may hold any share of rows: these are dealt to salts by column by, and side's row goes to each salt its key has
+    rows in. Keys and salts combine before they are shuffled, so a hot key stays a few rows there.
+    """
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # even a key with a third of all rows then gives no task more than about three times its share
+    dealt = rows.withColumn("salt_", F.pmod(F.xxhash64(by), F.lit(n // 8 + 1)))
+    copies = dealt.select(key, "salt_").distinct().join(side, key)
+    return dealt.join(copies, [key, "salt_"]).drop("salt_")
+
+
 def partitions_for(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:
     """Partitions by the optimizer's estimate of df's bytes, at least the session's parallelism."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

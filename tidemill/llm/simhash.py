@@ -4,7 +4,9 @@ Anchors are the words of a covering code: two blocks of 23 bits each carry the p
 3 bits of exactly one code word), the other 18 bits are free. Fingerprints at 3 or fewer differing bits have a point
 between them within 1 bit of one and 2 of the other, and the anchor of that point is within the covering radius plus 2
 of both. So a fingerprint goes to every pair of code words whose distance beyond the radius is at most 2 over both
-blocks (about 60), and fingerprints of one anchor are compared on all 64 bits. That finds every link.
+blocks (about 60), and fingerprints of one anchor are compared on all 64 bits. That finds every link. The 2^24 anchors
+get crowded with many distinct fingerprints; then 15 of the free bits carry a Hamming code as a third block, which makes
+2^35 anchors. The argument holds for any number of blocks, so the links are the same.
 
 Only distinct fingerprints take part, so copies cost nothing. Within an anchor the links found are a spanning forest, not
 all pairs: an anchor with many close fingerprints is searched breadth first, and what has been reached is not compared
@@ -19,6 +21,7 @@ whole. Columns besides doc_id and text play no part, however they are called.
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_arrow, stash, texts
+from .shared import discard, map_arrow, meet, stash, texts
 
 WORDS_A_SHINGLE = 3
 SEED = 42
@@ -76,56 +79,69 @@ def _majority(h: np.ndarray, begin: np.ndarray, counts: np.ndarray) -> np.ndarra
     return out
 
 
-# Fixed value: the generator polynomial of the binary Golay code of length 23.
-_GOLAY, _GOLAY_BITS = 0b101011100011, 23
-_BLOCK = (1 << _GOLAY_BITS) - 1
+# Generator polynomial, length and covering radius of two perfect binary codes, Golay's and Hamming's.
+GOLAY, HAMMING = (0b101011100011, 23, 3), (0b10011, 15, 1)
+Code = tuple[int, int, int]
+#: Distinct fingerprints up to which anchors of two blocks are roomy; above, a third block parts them. Links are the same.
+TWO_BLOCKS = 30_000_000
 
 
-def _remainder(x: int) -> int:
-    for bit in range(_GOLAY_BITS - 1, 10, -1):
+def _remainder(x: int, code: Code) -> int:
+    generator, length, _ = code
+    check = generator.bit_length() - 1
+    for bit in range(length - 1, check - 1, -1):
         if x >> bit & 1:
-            x ^= _GOLAY << (bit - 11)
+            x ^= generator << (bit - check)
     return x
 
 
 @functools.cache
-def _code() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _tables(code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(remainders of single bits' bytes, error of each remainder, and by remainder the code words near its error and how far beyond the radius)."""
-    bytes_ = np.array([[_remainder(v << 8 * b) if v << 8 * b <= _BLOCK else 0 for v in range(256)] for b in range(3)], np.int64)
-    words = np.array([(m << 11) ^ _remainder(m << 11) for m in range(1 << 12)], np.int64)
-    points = [0] + [1 << a for a in range(23)]
-    points += [1 << a | 1 << b for a in range(23) for b in range(a)]
-    points += [1 << a | 1 << b | 1 << c for a in range(23) for b in range(a) for c in range(b)]
-    error = np.zeros(1 << 11, np.int64)
-    for p in points:
-        error[_remainder(p)] = p
+    generator, length, radius = code
+    check = generator.bit_length() - 1
+    bytes_ = np.array([[_remainder(v << 8 * b, code) if v << 8 * b < 1 << length else 0 for v in range(256)] for b in range(-(-length // 8))], np.int64)
+    words = np.array([(m << check) ^ _remainder(m << check, code) for m in range(1 << length - check)], np.int64)
+    error = np.zeros(1 << check, np.int64)
+    for weight in range(1, radius + 1):
+        for bits in itertools.combinations(range(length), weight):
+            p = sum(1 << b for b in bits)
+            error[_remainder(p, code)] = p
     near, beyond = [], []
     for e in error:
         distance = np.bitwise_count(words ^ e).astype(np.int64)
-        at = np.flatnonzero(distance <= 3 + 2)
+        at = np.flatnonzero(distance < radius + LINK_BITS)
         near.append(words[at])
-        beyond.append(np.maximum(distance[at] - 3, 0))
+        beyond.append(np.maximum(distance[at] - radius, 0))
     width = max(map(len, near))
     fill = lambda rows, v: np.array([np.pad(r, (0, width - len(r)), constant_values=v) for r in rows])
     return bytes_, error, fill(near, 0), fill(beyond, 9)
 
 
-def _near(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers (12 bits) of the code words near each block, and how far beyond the radius; 9 for none."""
-    bytes_, error, near, beyond = _code()
-    s = bytes_[0][block & 255] ^ bytes_[1][block >> 8 & 255] ^ bytes_[2][block >> 16]
+def _near(block: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the code words near each block, and how far beyond the radius; 9 for none."""
+    bytes_, error, near, beyond = _tables(code)
+    s = np.zeros_like(block)
+    for b, remainders in enumerate(bytes_):
+        s ^= remainders[block >> 8 * b & 255]
     home = block ^ error[s]
     # block = home + error, so a code word w near the error gives home + w near the block
-    return (home[:, None] ^ near[s]) >> 11, beyond[s]
+    return (home[:, None] ^ near[s]) >> code[0].bit_length() - 1, beyond[s]
 
 
-def anchors(fingerprint: np.ndarray, beyond: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """(row, anchor) for every anchor of every fingerprint: code words at most so far beyond the radius."""
-    f = fingerprint.astype(np.uint64)
-    low, mid = (f & np.uint64(_BLOCK)).astype(np.int64), (f >> np.uint64(_GOLAY_BITS) & np.uint64(_BLOCK)).astype(np.int64)
-    (a, x), (b, y) = _near(low), _near(mid)
-    row, i, j = np.nonzero(x[:, :, None] + y[:, None, :] <= beyond)
-    return row, a[row, i] << 12 | b[row, j]
+def anchors(fingerprint: np.ndarray, codes: tuple[Code, ...] = (GOLAY, GOLAY)) -> tuple[np.ndarray, np.ndarray]:
+    """(row, anchor) for every anchor of every fingerprint: a code word for each block, together less than LINK_BITS beyond the radius."""
+    f, at = fingerprint.astype(np.uint64), 0
+    row = np.arange(len(f))
+    anchor, over = np.zeros(len(f), np.int64), np.zeros(len(f), np.int64)
+    for code in codes:
+        generator, length, _ = code
+        word, beyond = _near((f >> np.uint64(at) & np.uint64((1 << length) - 1)).astype(np.int64), code)
+        i, j = np.nonzero(over[:, None] + beyond[row] < LINK_BITS)
+        anchor = anchor[i] << length - (generator.bit_length() - 1) | word[row[i], j]
+        over = over[i] + beyond[row[i], j]
+        row, at = row[i], at + length
+    return row, anchor
 
 
 def forest(anchor: np.ndarray, fingerprint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,12 +186,13 @@ def forest(anchor: np.ndarray, fingerprint: np.ndarray) -> tuple[np.ndarray, np.
 
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b), a > b as signed numbers: links between the distinct fingerprints fp that connect all there is to connect."""
+    codes = (GOLAY, GOLAY) if distinct.count() <= TWO_BLOCKS else (GOLAY, GOLAY, HAMMING)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = batch.column(0).to_numpy()
-            row, anchor = anchors(f.view(np.uint64))
-            yield pa.record_batch([pa.array(anchor.astype(np.int32)), pa.array(f[row])], names=["anchor", "fp"])
+            row, anchor = anchors(f.view(np.uint64), codes)
+            yield pa.record_batch([pa.array(anchor), pa.array(f[row])], names=["anchor", "fp"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(anchor: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
@@ -199,29 +216,32 @@ def links(distinct: DataFrame) -> DataFrame:
 
     spark = distinct.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    dealt = map_arrow(distinct.select("fp"), replicate, "anchor int, fp long", 2000).repartition(n, "anchor").sortWithinPartitions("anchor", "fp")
+    dealt = map_arrow(distinct.select("fp"), replicate, "anchor long, fp long", 2000).repartition(n, "anchor").sortWithinPartitions("anchor", "fp")
     return map_arrow(dealt, compare, "a long, b long", 10_000).distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node is a centre, or has one edge and that to a centre."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).union(edges.select("v", F.lit(0)))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.count("*").alias("n")).where("up > 0 and n > 1").isEmpty()
+
+
 def components(links_: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of the links; root is its component's smallest node.
 
-    Alternates two contractions until nothing changes: each node's larger neighbours go to its smallest neighbour, then
+    Alternates two contractions until only stars are left: each node's larger neighbours go to its smallest neighbour, then
     each node and its smaller neighbours go to the smallest of these. Rounds grow with the logarithm of the nodes.
     """
     edges = stash(links_.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    while True:
+    while not _stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stash(large)
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = stash(meet(both.where("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        down = large.join(least.withColumnRenamed("u", "x"), F.col("u") == F.col("x")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = stash(down.union(least.select("u", F.col("m").alias("v"))).distinct())
-        before, after = (x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (edges, small))
+        down = meet(large, least, "u", "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = stash(down.union(least).distinct())
+        discard(edges, large)
         edges = small
-        if before == after:
-            break
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 
@@ -244,5 +264,5 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     linked = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     linked = stash(linked)
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = linked.join(smallest.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
-    return rows.join(of, F.col("fp") == F.col("f")).select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of = linked.join(smallest.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select("fp", "component_id")
+    return meet(rows, of, "fp", key).select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
