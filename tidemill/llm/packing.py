@@ -35,6 +35,8 @@ POOL, LOW = 768, 384
 END = 2
 #: Rows after which a batch is given away; a row holds at most a sequence.
 ROWS_OUT = 5000
+#: Words whose ids a Python worker keeps: fewer than elsewhere, since pools stand beside them and other stages follow.
+CACHE_WORDS = 200_000
 #: Sequence ids: the partition above this many bits, a counter below.
 COUNTER_BITS = 36
 
@@ -151,7 +153,7 @@ def pack(docs: DataFrame, vocabulary: str, kind: str = "word_bpe", capacity: int
     schema = _ARROW.append(pa.field("ids", pa.binary())) if with_ids else _ARROW
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = word_ids(vocabulary, kind).ids, Packer(capacity)
+        encode, packer = word_ids(vocabulary, kind, CACHE_WORDS).ids, Packer(capacity)
         tail = end.to_bytes(2, "little")
         sequence = TaskContext.get().partitionId() << COUNTER_BITS
         rows: list[tuple] = []

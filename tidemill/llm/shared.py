@@ -116,10 +116,16 @@ def partitions_for(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = ARROW_ROWS) -> DataFrame:
-    """mapInArrow with batches of at most so many rows, since a row can hold a whole book."""
+    """mapInArrow with batches of at most so many rows, since a row can hold a whole book.
+
+    Spark keeps its Python workers: what Arrow has taken goes back at a task's end, so that a later stage doesn't add to it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return fn(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+        try:
+            yield from fn(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+        finally:
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -32,11 +32,11 @@ _FOREIGN = re.compile("[^\x00-įı-ſ]")
 class WordIds:
     """ids(text) as little-endian unsigned 16-bit bytes. kind: 'word_bpe' (lower case, white space dropped) or 'byte_bpe'."""
 
-    def __init__(self, path: str, kind: str) -> None:
+    def __init__(self, path: str, kind: str, cache_words: int = CACHE_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         from tokenizers import Tokenizer
 
-        self.kind, self.cache = kind, {}
+        self.kind, self.cache, self.cache_words = kind, {}, cache_words
         self.tokenizer = Tokenizer.from_file(path)
         specials = [x["content"] for x in json.loads(self.tokenizer.to_str())["added_tokens"]]
         # the string of an added token in a text is that token for the library
@@ -73,7 +73,7 @@ class WordIds:
             return b"".join(map(cache.__getitem__, words))
         except KeyError:
             pass
-        if len(cache) > CACHE_WORDS:
+        if len(cache) > self.cache_words:
             cache.clear()
         self.learn([w for w in set(words) if w not in cache])
         return b"".join(map(cache.__getitem__, words))
@@ -127,6 +127,6 @@ def _piece_encoder(path: str, kind: str) -> Callable[[str], list[int] | None] |
 
 
 @functools.cache
-def word_ids(path: str, kind: str) -> WordIds:
+def word_ids(path: str, kind: str, cache_words: int = CACHE_WORDS) -> WordIds:
     """One per Python worker."""
-    return WordIds(path, kind)
+    return WordIds(path, kind, cache_words)
