@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, neighbours, packing, pieces, quality, repair, secrets, simhash, warc, wordpiece
+from . import chat, merkle, neighbours, packing, pieces, quality, repair, secrets, simhash, warc, wordpiece
 from .shared import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -57,8 +57,12 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link(chat.with_tools(table(spark, sf_dir, "conversations")))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_secrets, op2_packing, op3_quality, op4_pieces, op5_token_files, op6_simhash, op7_token_counts, op8_neighbours, op9_warc, op10_tool_calls)
+    found = (op1_secrets, op2_packing, op3_quality, op4_pieces, op5_token_files, op6_simhash, op7_token_counts, op8_neighbours, op9_warc, op10_tool_calls, op11_merkle)
     return {f.__name__: f for f in found}
 
 

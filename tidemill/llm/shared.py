@@ -84,6 +84,26 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder partition by partition: unlike `stash`, every partition stays what it is."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(scratch(df.sparkSession))
+    return df.checkpoint()
+
+
+def ranged(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """df in ascending order of keys (nulls first) over n partitions, checkpointed: with part_ and the place in it, pos_.
+
+    Rows that are equal in all keys are told apart by a number, so any share of such rows spreads over partitions.
+    """
+    rows = df.withColumn("tie_", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(n, *keys, "tie_").sortWithinPartitions(*keys, "tie_").drop("tie_")
+    at = F.col("at_")
+    rows = checkpointed(rows.withColumn("at_", F.monotonically_increasing_id()))
+    return rows.withColumns({"part_": F.shiftright(at, 33).cast("int"), "pos_": at.bitwiseAND(F.lit((1 << 33) - 1))}).drop("at_")
+
+
 def only(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Rows of df whose key is among ids, a table from `stash` with one column of distinct numbers.
 
@@ -115,6 +135,15 @@ def partitions_for(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, min(size // task_bytes + 1, 1_000_000))
 
 
+def range_partitions(df: DataFrame, task_bytes: int) -> int:
+    """Partitions for a range sort of df: by its estimated bytes, or as the session shuffles where Spark can't estimate them."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a frame made of an RDD is taken for the largest number there is
+    return max(spark.sparkContext.defaultParallelism, size // task_bytes + 1 if size < 1 << 50 else usual)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = ARROW_ROWS) -> DataFrame:
     """mapInArrow with batches of at most so many rows, since a row can hold a whole book.
 
