@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, merkle, neighbours, packing, pieces, quality, repair, secrets, simhash, warc, wordpiece
+from . import chat, merkle, neighbours, packing, pieces, private, quality, repair, resample, secrets, simhash, warc, wordpiece
 from .shared import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -61,8 +61,16 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.scan(table(spark, sf_dir, "documents"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_secrets, op2_packing, op3_quality, op4_pieces, op5_token_files, op6_simhash, op7_token_counts, op8_neighbours, op9_warc, op10_tool_calls, op11_merkle)
+    found = (op1_secrets, op2_packing, op3_quality, op4_pieces, op5_token_files, op6_simhash, op7_token_counts, op8_neighbours, op9_warc, op10_tool_calls, op11_merkle, op12_private, op13_resample)
     return {f.__name__: f for f in found}
 
 
