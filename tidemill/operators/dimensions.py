@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+
+def last_rows(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key by order (a total one, for a repeatable result).
+
+    Rows are combined before the shuffle, so a key with many changes stays one row of each task there.
+    """
+    rest = [c for c in rows.columns if c not in key]
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("row_"))
+    return last.select(*key, "row_.*").select(*rows.columns)
 
 
 def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key by order (a total one, for a repeatable result)."""
-    last = Window.partitionBy(*key).orderBy(*(F.desc(o) for o in order))
-    return rows.withColumn("row_", F.row_number().over(last)).where("row_ = 1").drop("row_", *order)
+    """The same without the columns of order."""
+    return last_rows(rows, key, order).drop(*order)
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str, honour_deletes: bool = False) -> DataFrame:

@@ -1,13 +1,18 @@
-"""Click logs: split, displays, repaired visitor flags, unique visits, bounces. Rows have the columns of schemas.LOG."""
+"""Click logs: split, displays, repaired visitor flags, unique visits, bounces. Rows have the columns of schemas.LOG.
+
+Rows may have a column record beside these, the log as it came (inputs.open_logs): it goes along, is repaired alike, and
+displays are then whole records as well.
+"""
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import records
 from ..functions.scalars import day, is_entry
 
 
@@ -25,7 +30,12 @@ def split_log(logs: DataFrame) -> Split:
 
 
 def explode_displays(page: DataFrame) -> DataFrame:
-    """A row for each display, with its page's id and time."""
+    """A row for each display, with its page's id and time; of open logs the whole display, these two put into its record."""
+    if "record" in page.columns:
+        shown = page.select(F.explode(records.field(F.col("record"), "displays", "array<variant>")).alias("v"), F.col("page.page_id").alias("page_id"), "ts")
+        shown = shown.select(F.try_variant_get("v", "$", records.RECORD).alias("d"), "page_id", "ts").where("d is not null")
+        whole = records.put(F.col("d"), ts=F.col("ts"), page_id=F.col("page_id"))
+        return shown.select(*(records.field(F.col("d"), c, "string").alias(c) for c in ("item_type", "item")), "page_id", "ts", whole.alias("record"))
     rows = page.select(F.explode("displays").alias("d"), F.col("page.page_id").alias("page_id"), "ts")
     return rows.select("d.*", "page_id", "ts")
 
@@ -38,8 +48,15 @@ def repair_is_new(logs: DataFrame) -> DataFrame:
     mid, new = F.col("common.mid"), F.col("common.is_new") == "1"
     first = logs.where(new & mid.isNotNull()).groupBy(mid.alias("mid_")).agg(day(F.min("ts")).alias("first_"))
     rows = logs.join(first, mid == F.col("mid_"), "left")
-    repaired = F.when(new & (day(F.col("ts")) != F.col("first_")), "0").otherwise(F.col("common.is_new"))
-    return rows.withColumn("common", F.col("common").withField("is_new", repaired)).select(*logs.columns)
+    return not_new(rows, F.coalesce(new & (day(F.col("ts")) != F.col("first_")), F.lit(False))).select(*logs.columns)
+
+
+def not_new(logs: DataFrame, where: Column) -> DataFrame:
+    """logs whose flag is taken back where it is wrong, in their record too."""
+    out = {"common": F.when(where, F.col("common").withField("is_new", F.lit("0"))).otherwise(F.col("common"))}
+    if "record" in logs.columns:
+        out["record"] = F.when(where, records.put_in(F.col("record"), "common", "is_new", F.lit("0"))).otherwise(F.col("record"))
+    return logs.withColumns(out)
 
 
 def unique_visits(page: DataFrame, order: list[str]) -> DataFrame:

@@ -8,6 +8,8 @@ LOG = (
     "start map<string,string>, displays array<struct<item_type:string,item:string>>, ts bigint"
 )
 CHANGE = "`table` string, type string, data map<string,string>"
+#: Changes with rows of any fields, their values as they came.
+OPEN_CHANGE = "`table` string, type string, data map<string,variant>"
 CONFIG = "source_table string, operate_type string, sink_type string, sink_table string, sink_columns string, sink_pk string, sink_extend string"
 CONFIG_CHANGE = f"database string, `table` string, type string, data struct<{', '.join(f'{n}:{t}' for n, t in (x.split() for x in CONFIG.split(', ')))}>"
 DEBEZIUM = "op string, source struct<db:string,`table`:string>, after map<string,string>"

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import records
 from ..functions.scalars import operation, topic_parts
-from ..schemas import CONFIG_CHANGE, DEBEZIUM
+from ..schemas import CONFIG_CHANGE, DEBEZIUM, LOG
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -35,6 +36,17 @@ def _objects(df: DataFrame, value: str) -> DataFrame:
     return df.where(F.json_object_keys(value).isNotNull())
 
 
+def open_records(df: DataFrame, value: str = "value") -> DataFrame:
+    """JSON lines as open records (functions.records), column record; lines that aren't objects are dropped."""
+    return df.select(records.record(F.col(value)).alias("record")).where("record is not null")
+
+
+def open_logs(df: DataFrame, value: str = "value") -> DataFrame:
+    """Click logs with the columns of schemas.LOG, and the whole record with every field it came with, column record."""
+    both = df.select(F.from_json(value, LOG).alias("log"), records.record(F.col(value)).alias("record"))
+    return both.where("record is not null").select("log.*", "record")
+
+
 def as_view(df: DataFrame, name: str, time: str | None = None, delay: str = "3 seconds") -> DataFrame:
     """A named view for SQL, with a watermark on its time column on streams."""
     if time and df.isStreaming:
@@ -43,10 +55,13 @@ def as_view(df: DataFrame, name: str, time: str | None = None, delay: str = "3 s
     return df
 
 
-def changes(df: DataFrame, value: str = "value") -> DataFrame:
-    """Debezium change records as database, table, type, data; data holds the row after the change and is empty on deletes."""
-    r = _objects(df, value).select(F.from_json(value, DEBEZIUM).alias("r")).select("r.*")
-    return r.select(F.col("source.db").alias("database"), F.col("source.table").alias("table"), operation(F.col("op")).alias("type"), F.coalesce("after", F.create_map().cast("map<string,string>")).alias("data"))
+def changes(df: DataFrame, value: str = "value", values: str = "string") -> DataFrame:
+    """Debezium change records as database, table, type, data; data holds the row after the change and is empty on deletes.
+
+    values: the type of data's values; with variant they are what they were.
+    """
+    r = _objects(df, value).select(F.from_json(value, DEBEZIUM.replace("map<string,string>", f"map<string,{values}>")).alias("r")).select("r.*")
+    return r.select(F.col("source.db").alias("database"), F.col("source.table").alias("table"), operation(F.col("op")).alias("type"), F.coalesce("after", F.create_map().cast(f"map<string,{values}>")).alias("data"))
 
 
 def changes_of_topics(df: DataFrame, topic: str = "topic", op: str = "op", after: str = "after") -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Callable, Iterable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .keyed import KeyedTable as DimensionTable
+from .keyed import dimension_schema
+
+__all__ = ["Batch", "DimensionTable", "console_sink", "dimension_schema", "jdbc_sink", "json_lines", "kafka_sink", "record_sink", "routed_sink", "table_sink"]
+
 Batch = Callable[[DataFrame, int], None]
 
 
@@ -22,6 +24,11 @@ def table_sink(path: str) -> Batch:
     return lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
+def record_sink(path: str, record: str = "record") -> Batch:
+    """Open records as JSON lines, a folder for each batch."""
+    return lambda df, batch: df.select(F.to_json(record).alias("value")).where("value is not null").write.mode("overwrite").text(f"{path}/batch={batch}")
+
+
 def routed_sink(path: str, route: str = "sink_table", payload: str = "data") -> Batch:
     """Each record's payload below the folder of its own route."""
 
@@ -53,46 +60,3 @@ def console_sink(tag: str, rows: int = 20) -> Batch:
         df.show(rows, truncate=False)
 
     return write
-
-
-def dimension_schema(columns: str, key: str | None = None) -> str:
-    """DDL of a dimension table from its comma-separated columns: all strings, the key (id by default) not null."""
-    names = columns.split(",")
-    if any(not re.fullmatch(r"\w+", n) for n in names):
-        raise ValueError(f"not column names: {columns!r}")
-    return ", ".join(f"{n} string" + " not null" * (n == (key or "id")) for n in names)
-
-
-class DimensionTable:
-    """A dimension of string columns: versions as Parquet folders and a pointer to the current one.
-
-    A new version is written whole before the pointer moves, so readers never see half of it; readers open the version
-    anew for each batch, which also is what invalidates anything cached of an older one.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, columns: str, key: str | None = None) -> None:
-        self.spark, self.path, self.columns, self.key = spark, path, columns.split(","), key or "id"
-        self.schema = dimension_schema(columns, key).replace(" not null", "")
-
-    def _current(self) -> str | None:
-        try:
-            rows = self.spark.read.text(f"{self.path}/pointer").collect()
-        except AnalysisException:
-            return None
-        return max((r.value for r in rows), key=lambda v: int(v.split("-")[0]), default=None)
-
-    def read(self) -> DataFrame:
-        at = self._current()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{at}") if at else self.spark.createDataFrame([], self.schema)
-
-    def upsert(self, changed: DataFrame, order: list[str], data: str = "data", kind: str = "type", honour_deletes: bool = False) -> None:
-        """Put the last change of each key, by the columns of order, in place of what is there. Deletes are upserts unless honoured."""
-        from ..operators.dimensions import latest, upserted
-
-        rows = changed.select(*(F.col(data)[c].alias(c) for c in self.columns), F.col(kind).alias("kind_"), *(F.col(o).alias(f"order_{i}_") for i, o in enumerate(order)))
-        rows = latest(rows.where(F.col(self.key).isNotNull()), [self.key], [f"order_{i}_" for i in range(len(order))])
-        new = upserted(self.read(), rows.select(*self.columns, "kind_"), self.key, honour_deletes)
-        at = self._current()
-        version = f"{int(at.split('-')[0]) + 1 if at else 1:012d}-{uuid.uuid4().hex[:8]}"
-        new.write.parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/pointer")

@@ -25,9 +25,9 @@ def start(df: DataFrame, sink: Batch, checkpoint: str, **trigger: object) -> Str
     return df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def log_layer(logs: DataFrame, out: str, checkpoint: str, **trigger: object) -> StreamingQuery:
-    """Repaired logs into start, page and display tables, all in one pass over a batch."""
-    sinks = {n: table_sink(f"{out}/{n}") for n in ("start", "page", "display")}
+def log_layer(logs: DataFrame, out: str, checkpoint: str, sink: Callable[[str], Batch] = table_sink, **trigger: object) -> StreamingQuery:
+    """Repaired logs into start, page and display tables, all in one pass over a batch; open logs into such, or by record_sink."""
+    sinks = {n: sink(f"{out}/{n}") for n in ("start", "page", "display")}
 
     def write(df: DataFrame, batch: int) -> None:
         df.persist()
@@ -40,9 +40,12 @@ def log_layer(logs: DataFrame, out: str, checkpoint: str, **trigger: object) ->
     return start(stateful.repair_is_new(stateful.with_event_time(logs)), write, checkpoint, **trigger)
 
 
-def change_layer(changes: DataFrame, config: Callable[[], DataFrame], out: str, checkpoint: str, dims: Callable[[str], DimensionTable], order: list[str], **trigger: object) -> StreamingQuery:
-    """Changes to dimension tables and per-record topics; config is read anew for each batch."""
-    facts = routed_sink(f"{out}/facts")
+def change_layer(changes: DataFrame, config: Callable[[], DataFrame], out: str, checkpoint: str, dims: Callable[[str], DimensionTable], order: list[str], facts: Batch | None = None, name: str = "changes", **trigger: object) -> StreamingQuery:
+    """Changes to dimension tables and per-record topics; config is read anew for each batch.
+
+    A repeated batch changes nothing: dimensions know the last batch of each job by its name, topics replace or know theirs.
+    """
+    facts = facts or routed_sink(f"{out}/facts")
 
     def write(df: DataFrame, batch: int) -> None:
         df.persist()
@@ -51,7 +54,7 @@ def change_layer(changes: DataFrame, config: Callable[[], DataFrame], out: str,
             facts(routed.fact, batch)
             # as many names as the routing table has
             for row in routed.dimension.select("sink_table").distinct().collect():
-                dims(row.sink_table).upsert(routed.dimension.where(routed.dimension.sink_table == row.sink_table), order)
+                dims(row.sink_table).upsert(routed.dimension.where(routed.dimension.sink_table == row.sink_table), order, batch=(name, batch))
         finally:
             df.unpersist()
 

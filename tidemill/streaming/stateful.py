@@ -5,7 +5,6 @@ Rows must have a watermarked timestamp column event_time besides the columns of
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.scalars import day, is_entry
-from ..schemas import LOG
+from ..operators.logs import not_new
 
 DAY_MS = 24 * 3600 * 1000
 
@@ -24,13 +23,9 @@ def with_event_time(logs: DataFrame, delay: str = "3 seconds") -> DataFrame:
 
 
 def _flat(logs: DataFrame) -> DataFrame:
-    """Key, time and the record as JSON: what state has to hold."""
-    names = [x for x in ("common", "page", "start", "displays", "ts")]
-    return logs.select(F.col("common.mid").alias("mid"), F.col("common.is_new").alias("is_new"), day(F.col("ts")).alias("day"), is_entry(F.col("page.last_page_id")).alias("entry"), "ts", F.to_json(F.struct(*names)).alias("record"), "event_time").where("mid is not null")
-
-
-def _records(df: DataFrame) -> DataFrame:
-    return df.select(F.from_json("record", LOG).alias("r")).select("r.*")
+    """Key, time and the whole row as JSON: what state has to hold."""
+    names = [F.col(f"`{c}`") for c in logs.columns if c != "event_time"]
+    return logs.select(F.col("common.mid").alias("mid"), F.col("common.is_new").alias("is_new"), day(F.col("ts")).alias("day"), is_entry(F.col("page.last_page_id")).alias("entry"), "ts", F.to_json(F.struct(*names)).alias("row"), "event_time").where("mid is not null")
 
 
 class RepairNew(StatefulProcessor):
@@ -42,16 +37,10 @@ class RepairNew(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         known = self.first.get()[0] if self.first.exists() else None
         for r in sorted(rows, key=lambda r: r.ts):
-            record = r.record
-            if r.is_new == "1":
-                if known is None:
-                    known = r.day
-                    self.first.update((known,))
-                elif known != r.day:
-                    changed = json.loads(record)
-                    changed["common"]["is_new"] = "0"
-                    record = json.dumps(changed, ensure_ascii=False)
-            yield Row(record=record)
+            if r.is_new == "1" and known is None:
+                known = r.day
+                self.first.update((known,))
+            yield Row(row=r.row, wrong=r.is_new == "1" and known != r.day)
 
     def close(self) -> None:
         pass
@@ -69,7 +58,7 @@ class DailyUnique(StatefulProcessor):
             if not self.days.containsKey((r.day,)):
                 self.days.updateValue((r.day,), (r.ts,))
                 self.handle.registerTimer(r.ts + 2 * DAY_MS)
-                yield Row(record=r.record)
+                yield Row(row=r.row, wrong=False)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         at = expiredTimerInfo.getExpiryTimeInMs()
@@ -93,7 +82,7 @@ class Bounce(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts long, entry boolean, record string")
+        self.waiting = handle.getListState("waiting", "ts long, entry boolean, row string")
         self.due = handle.getValueState("due", "at long")
 
     def _wait(self, at: int) -> None:
@@ -107,7 +96,7 @@ class Bounce(StatefulProcessor):
         self.due.update((at,))
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        new = [(r.ts, r.entry, r.record) for r in rows]
+        new = [(r.ts, r.entry, r.row) for r in rows]
         self.waiting.appendList(new)
         self._wait(min(new)[0] + self.gap)
         return iter(())
@@ -120,7 +109,7 @@ class Bounce(StatefulProcessor):
         self.due.clear()
         for i in range(due):
             if rows[i][1] and (i + 1 == len(rows) or rows[i + 1][0] - rows[i][0] >= self.gap):
-                yield Row(record=rows[i][2])
+                yield Row(row=rows[i][2], wrong=False)
         if rows[due:]:
             self.waiting.put(rows[due:])
             self._wait(rows[due][0] + self.gap)
@@ -132,18 +121,20 @@ class Bounce(StatefulProcessor):
 
 
 def _run(logs: DataFrame, processor: StatefulProcessor) -> DataFrame:
-    out = _flat(logs).groupBy("mid").transformWithState(statefulProcessor=processor, outputStructType="record string", outputMode="Append", timeMode="EventTime")
-    return _records(out)
+    """The rows that the processor lets pass, with all their columns but event_time; wrong: the flag that a visitor is new is."""
+    out = _flat(logs).groupBy("mid").transformWithState(statefulProcessor=processor, outputStructType="row string, wrong boolean", outputMode="Append", timeMode="EventTime")
+    kind = logs.drop("event_time").schema
+    return out.select(F.from_json("row", kind).alias("r"), "wrong").select("r.*", "wrong")
 
 
 def repair_is_new(logs: DataFrame) -> DataFrame:
-    return _run(logs, RepairNew())
+    return not_new(_run(logs, RepairNew()), F.col("wrong")).drop("wrong")
 
 
 def unique_visits(page: DataFrame) -> DataFrame:
-    return _run(page, DailyUnique())
+    return _run(page, DailyUnique()).drop("wrong")
 
 
 def bounces(page: DataFrame, gap_ms: int = 10_000) -> DataFrame:
     """Rows carry the time of the page that bounced, which lies behind the watermark: write them before windowing them."""
-    return _run(page, Bounce(gap_ms))
+    return _run(page, Bounce(gap_ms)).drop("wrong")
