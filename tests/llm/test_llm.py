@@ -508,7 +508,7 @@ def test_neighbours(spark):
 
 def test_neighbours_stop_early(spark):
     """By cells, and with the test: recall against all rows, with under half of the vectors verified."""
-    e = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     found = neighbours.found(e, F.col("vec_id") % 50 == 0)
     rows = neighbours.usable(e).toPandas()
     ids, unit = rows.vec_id.to_numpy(), neighbours.units(np.stack(rows.embedding.to_numpy()))

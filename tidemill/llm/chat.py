@@ -8,7 +8,8 @@ shares its call's), and every event is serialised as canonical JSON (sorted keys
 
 Per event: conv_id, turn, seq (within the turn), kind, call_id, level, status, json. Status of calls: ok, unanswered,
 duplicate (not the first of its identifier), cyclic, unknown_tool, or invalid; of results: ok, orphan, duplicate; of
-messages: ok, or malformed if a call's JSON can't be read (its text then stays in the message).
+messages: ok, or malformed if a call's JSON can't be read or isn't text (half a surrogate pair); it then stays in the message.
+A schema with a keyword that isn't obeyed is refused.
 
 Order by turn, then level, then seq for a training text. Nulls: a null text is an empty message; null conv_id, turn and
 role stay null; calls and results without conv_id or identifier aren't linked. Repeated rows give as many repeated events,
@@ -44,21 +45,47 @@ def canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
-def valid(value: object, schema: dict) -> bool:
-    """Whether value meets the schema: type, enum, properties, required, additionalProperties, items, lengths and bounds."""
+# The keywords of a schema that `valid` obeys, and those that only describe.
+_KEYWORDS = set("type enum const properties required additionalProperties items minLength maxLength minimum maximum minItems maxItems title description default examples".split())
+
+
+def obeyed(schema: object) -> None:
+    """A ValueError if a schema holds a keyword or type that `valid` doesn't know, so that none is passed over in silence."""
+    if isinstance(schema, bool):
+        return
+    if not isinstance(schema, dict) or schema.keys() - _KEYWORDS:
+        raise ValueError(f"not a schema that is understood: {schema!r}")
+    kinds = schema.get("type", [])
+    if any(k not in _TYPES for k in ([kinds] if isinstance(kinds, str) else kinds)):
+        raise ValueError(f"unknown type: {kinds!r}")
+    for part in (*schema.get("properties", {}).values(), *(schema[k] for k in ("items", "additionalProperties") if k in schema)):
+        obeyed(part)
+
+
+def _is(value: object, kind: str) -> bool:
+    if isinstance(value, bool):
+        return kind == "boolean"
+    if kind == "integer" and isinstance(value, float):
+        return value.is_integer()  # 1.0 is a whole number
+    return isinstance(value, _TYPES[kind])
+
+
+def valid(value: object, schema: dict | bool) -> bool:
+    """Whether value meets the schema, by the keywords that `obeyed` lets pass."""
+    if isinstance(schema, bool):
+        return schema
     kinds = schema.get("type")
-    if kinds is not None:
-        kinds = [kinds] if isinstance(kinds, str) else kinds
-        if not any(isinstance(value, _TYPES[k]) and not (isinstance(value, bool) and k in ("integer", "number")) for k in kinds):
-            return False
-    if "enum" in schema and value not in schema["enum"]:
+    if kinds is not None and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
+        return False
+    # as canonical JSON, in which true isn't 1
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]) or "const" in schema and canonical(value) != canonical(schema["const"]):
         return False
     if isinstance(value, str) and not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
         return False
     if isinstance(value, (int, float)) and not isinstance(value, bool) and not schema.get("minimum", value) <= value <= schema.get("maximum", value):
         return False
     if isinstance(value, list):
-        return all(valid(x, schema.get("items", {})) for x in value)
+        return schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)) and all(valid(x, schema.get("items", {})) for x in value)
     if isinstance(value, dict):
         known, extra = schema.get("properties", {}), schema.get("additionalProperties", True)
         if any(k not in value for k in schema.get("required", ())):
@@ -72,7 +99,10 @@ def _refuse(name: str) -> None:
 
 
 def _load(text: str) -> object:
-    return json.loads(text, parse_constant=_refuse)
+    value = json.loads(text, parse_constant=_refuse)
+    if "\\u" in text:
+        canonical(value).encode()  # an escaped half of a surrogate pair is no text: a ValueError
+    return value
 
 
 def events_of(role: str | None, text: str, tools: dict[str, dict]) -> list[tuple[str, str | None, list[str], str, str]]:
@@ -114,6 +144,8 @@ EVENTS = "conv_id long, turn long, seq int, kind string, call_id string, needs a
 
 def events(turns: DataFrame, tools: dict[str, dict] | None = None) -> DataFrame:
     tools = TOOLS if tools is None else tools
+    for schema in tools.values():
+        obeyed(schema)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
     names = ["conv_id", "turn", "seq", "kind", "call_id", "needs", "status", "json"]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string()]
