@@ -1,7 +1,8 @@
 """Tumbling-window statistics by visitor, product, province and keyword. Works on streams with a watermark on the time.
 
-Sums ignore nulls; rows without a product are left out. Distinct orders are exact: on streams by collected sets, which
-Spark allows there, on batches by a first aggregation for each order. Dimensions are joined after the aggregation.
+Sums ignore nulls; rows without a product are left out. Distinct orders are exact, without sets: a first aggregation has a
+row for each window, key and order, a second one counts these, on streams with a state for each that ends with the window.
+Dimensions are joined after the aggregation.
 """
 
 from __future__ import annotations
@@ -22,10 +23,6 @@ PRODUCT_SUMS = ["display_ct", "click_ct", "favor_ct", "cart_ct", "order_sku_num"
 PRODUCT_ORDERS = {"order_ct": "order_id", "paid_order_ct": "paid_order_id", "refund_order_ct": "refund_order_id"}
 
 
-def distinct_count(c: str, stream: bool) -> Column:
-    return (F.size(F.collect_set(c)) if stream else F.count_distinct(c)).cast("long")
-
-
 def visitor_measures(page: DataFrame, visits: DataFrame, jumps: DataFrame) -> DataFrame:
     """Page views, unique visits and bounces as rows of equal columns, with ts."""
 
@@ -69,14 +66,17 @@ def product_measures(**sources: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).where("sku_id is not null")
 
 
+def _again(rows: DataFrame, width: str) -> Column:
+    """The window of rows that have one already; a stream's watermark follows the window's time into a second aggregation."""
+    return F.window(F.window_time("window"), width).alias("window") if rows.isStreaming else F.col("window")
+
+
 def product_stats(measures: DataFrame, width: str = "10 seconds", time: str = "time") -> DataFrame:
     """Sums and distinct orders by product. The order ids of one row are those of one order, or null."""
-    keys, sums = [F.window(time, width), "sku_id"], [F.sum(m).alias(m) for m in PRODUCT_SUMS]
-    if measures.isStreaming:
-        rows = measures.groupBy(*keys).agg(*sums, *(distinct_count(i, True).alias(n) for n, i in PRODUCT_ORDERS.items()))
-    else:
-        each = measures.groupBy(*keys, F.coalesce(*PRODUCT_ORDERS.values()).alias("order_")).agg(*sums, *(F.max(F.when(F.col(i).isNotNull(), 1).otherwise(0)).alias(n) for n, i in PRODUCT_ORDERS.items()))
-        rows = each.groupBy("window", "sku_id").agg(*sums, *(F.sum(n).cast("long").alias(n) for n in PRODUCT_ORDERS))
+    sums = [F.sum(m).alias(m) for m in PRODUCT_SUMS]
+    each = measures.groupBy(F.window(time, width), "sku_id", F.coalesce(*PRODUCT_ORDERS.values()).alias("order_"))
+    each = each.agg(*sums, *(F.max(F.when(F.col(i).isNotNull(), 1).otherwise(0)).alias(n) for n, i in PRODUCT_ORDERS.items()))
+    rows = each.groupBy(_again(each, width), "sku_id").agg(*sums, *(F.sum(n).cast("long").alias(n) for n in PRODUCT_ORDERS))
     return rows.select(*window_text(), "sku_id", *PRODUCT_SUMS, *PRODUCT_ORDERS)
 
 
@@ -90,7 +90,9 @@ def with_product_dimensions(rows: DataFrame, sku: DataFrame, spu: DataFrame, cat
 
 
 def province_stats(wide: DataFrame, keys: list[str], time: str, width: str = "10 seconds", amount: str = "split_total_amount", order: str = "order_id") -> DataFrame:
-    rows = wide.groupBy(F.window(time, width), *keys).agg(distinct_count(order, wide.isStreaming).alias("order_count"), F.sum(amount).alias("order_amount"))
+    """Amount and distinct orders by window and keys; rows without an order count with their amount only."""
+    each = wide.groupBy(F.window(time, width), *keys, F.col(order).alias("order_")).agg(F.sum(amount).alias("order_amount"))
+    rows = each.groupBy(_again(each, width), *keys).agg(F.count("order_").alias("order_count"), F.sum("order_amount").alias("order_amount"))
     return rows.select(*window_text(), *keys, "order_amount", "order_count")
 
 

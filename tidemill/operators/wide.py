@@ -11,11 +11,34 @@ from .dimensions import look_up
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: Column, left_time: str, right_time: str, low: str, high: str) -> DataFrame:
-    """Inner equi-join with right_time within [left_time + low, left_time + high], both ends included."""
+    """Inner equi-join with right_time within [left_time + low, left_time + high], both ends included.
+
+    For streams, and keys with few rows each; batches whose keys have many rows by `band_join`.
+    """
     bounds = F.expr(f"{right_time} >= {left_time} + interval {low}") & F.expr(f"{right_time} <= {left_time} + interval {high}")
     return left.join(right, on & bounds)
 
 
+def band_join(left: DataFrame, right: DataFrame, keys: dict[str, str], left_time: str, right_time: str, low_s: int, high_s: int, salts: int = 1) -> DataFrame:
+    """The same for batches, with keys (left column -> right column) and the interval in seconds: only times near each other are compared.
+
+    Times fall into bins as wide as the interval. A right row is in its own bin; a left row goes to the two bins that its
+    interval can touch, so a key's rows meet those of two bins, not all of the key's. Rows without a time meet nothing. salts:
+    over how many parts the right rows of one key and bin are dealt; left rows go to all of them.
+    """
+    width = max(high_s - low_s, 1)
+    bin_of = lambda t, shift: F.floor((F.unix_micros(F.col(t).cast("timestamp")) + shift * 1_000_000) / (width * 1_000_000))
+    bins = F.array_distinct(F.array(bin_of(left_time, low_s), bin_of(left_time, high_s)))
+    l = left.where(F.col(left_time).isNotNull()).withColumn("bin_", F.explode(bins)).withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    r = right.where(F.col(right_time).isNotNull()).withColumns({"bin_r_": bin_of(right_time, 0), "salt_r_": F.pmod(F.xxhash64(right_time, *keys.values()), F.lit(salts)).cast("int")})
+    # a condition on both, so that Spark plans it by the keys and the bin
+    on = (F.col("bin_") == F.col("bin_r_")) & (F.col("salt_") == F.col("salt_r_"))
+    for a, b in keys.items():
+        on = on & (F.col(a) == F.col(b))
+    near = F.expr(f"{right_time} >= {left_time} + interval {low_s} seconds") & F.expr(f"{right_time} <= {left_time} + interval {high_s} seconds")
+    return l.join(r, on & near).drop("bin_", "bin_r_", "salt_", "salt_r_")
+
+
 def timed(rows: DataFrame, name: str, text: str = "create_time", delay: str = "3 seconds") -> DataFrame:
     """rows with their time from text, watermarked on streams."""
     rows = rows.withColumn(name, time_of(F.col(text)))

@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import records
 from ..functions.keywords import exploded, register
 from ..functions.scalars import FORMAT
-from ..operators import changes, dimensions, logs, stats, wide
-from ..schemas import CONFIG, CONFIG_CHANGE
-from ..sources import inputs
+from ..operators import arrivals, changes, dimensions, logs, patterns, stats, wide
+from ..schemas import CONFIG, CONFIG_CHANGE, OPEN_CHANGE
+from ..sources import cdc, inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
 MONEY = "decimal(16,2)"
@@ -153,7 +154,7 @@ def q10_payment_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     paid = e.where("event_type = 'purchase'").select(F.col("event_id").alias("payment_id"), F.col("user_id").alias("p_user"), F.col("ts").alias("pay_time"), F.col("value").alias("amount"))
     seen = e.where("event_type = 'view'").select(F.col("event_id").alias("order_id"), "user_id", F.col("ts").alias("order_time"))
-    return wide.interval_join(paid, seen, F.col("p_user") == F.col("user_id"), "pay_time", "order_time", "-1 day", "0 days").select("payment_id", "order_id", "user_id", "amount")
+    return wide.band_join(paid, seen, {"p_user": "user_id"}, "pay_time", "order_time", -86_400, 0).select("payment_id", "order_id", "user_id", "amount")
 
 
 def _visitor_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,6 +285,72 @@ def q22_keyword_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT p_partkey, word FROM named_parts, LATERAL analyze_words(p_name)")
 
 
+def _open_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of part as JSON lines, with fields that no schema lists: nested ones, numbers, truth values."""
+    c = F.col
+    row = F.struct(c("p_name").alias("tm_name"), F.concat(F.lit("logo/"), c("p_size")).alias("logo_url"), c("p_partkey").alias("id"), F.split("p_type", " ").alias("tags"), F.struct((c("p_size") > 25).alias("large"), c("p_brand").alias("brand")).alias("more"), F.lit(None).cast("string").alias("none"))
+    kind = F.when(c("p_partkey") % 2 == 0, "bootstrap-insert").otherwise("update")
+    return table(spark, sf_dir, "part").select(F.to_json(F.struct(F.lit("part").alias("table"), kind.alias("type"), row.alias("data")), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def q23_open_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes with rows of any fields, routed by config: the listed fields come out as they went in, and typed."""
+    rows = [("part", "insert", "hbase", "dim_part", "id,tm_name", "id", ""), ("part", "update", "kafka", "dwd_part", "tags,more,id,none", "", "")]
+    changed = inputs.parsed(_open_changes(spark, sf_dir), OPEN_CHANGE)
+    routed = changes.route(changes.sane(changed), spark.createDataFrame(rows, CONFIG))
+    d = F.col("data")
+    out = [records.field(d, "id", "bigint").alias("id"), records.field(d, "more.large", "boolean").alias("large"), F.size(records.field(d, "tags", "array<variant>")).alias("n_tags"), records.text(d).alias("value")]
+    return routed.dimension.unionByName(routed.fact).select("sink_table", *out)
+
+
+def q24_open_displays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs with unlisted fields from events: the displays of pages as whole records, after the split."""
+    e, c = table(spark, sf_dir, "events"), F.col
+    display = "struct<item_type:string,item:bigint,pos:struct<x:bigint>,paid:boolean>"  # nulls don't become fields
+    none = F.lit(None)
+    one = F.struct(F.lit("sku_id").alias("item_type"), F.get_json_object("props", "$.k").cast("long").alias("item"), F.struct(c("user_id").alias("x")).alias("pos"), none.alias("paid")).cast(display)
+    shown = F.array(one, F.struct(F.lit("ad").alias("item_type"), none.alias("item"), none.alias("pos"), F.lit(True).alias("paid")).cast(display))
+    log = F.struct(F.struct(c("user_id").cast("string").alias("mid"), F.lit("1").alias("is_new"), F.lit("x").alias("os")).alias("common"), F.struct(c("event_type").alias("page_id")).alias("page"), F.when(c("event_type") == "error", F.struct(F.lit(5).alias("ms"))).alias("start"), F.when(c("event_type").isin("view", "error"), shown).alias("displays"), F.unix_millis(c("ts").cast("timestamp")).alias("ts"))
+    logs_ = inputs.open_logs(e.select(F.to_json(log).alias("value")))
+    return logs.split_log(logs_).display.select("item_type", "item", records.text(c("record")).alias("value"))
+
+
+def q25_cdc_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as a table with a change log (every third order updated, every fifth deleted, twins created): its rows after all changes."""
+    o, c = table(spark, sf_dir, "orders"), F.col
+    base = o.select("o_orderkey", "o_orderstatus", "o_custkey")
+    key = c("o_orderkey")
+
+    def change(rows: DataFrame, op: str, position: Column, status: Column, new_key: Column = key) -> DataFrame:
+        row = F.struct(new_key.alias("o_orderkey"), status.alias("o_orderstatus"), c("o_custkey"))
+        none = F.lit(None).cast(rows.select(row.alias("r")).schema["r"].dataType)
+        return rows.select(F.to_json(F.struct(F.lit(op).alias("op"), position.alias("position"), (row if op == "d" else none).alias("before"), (none if op == "d" else row).alias("after"))).alias("value"))
+
+    log = change(base.where(key % 3 == 0), "u", key * 10 + 1, F.lit("u")).unionByName(change(base.where(key % 5 == 0), "d", key * 10 + 2, c("o_orderstatus"))).unionByName(change(base.where(key % 7 == 0), "c", key * 10 + 3, F.lit("c"), -key))
+    rows = cdc.snapshot_and_log(base, log, "o_orderkey").withColumn("position", F.coalesce("position", F.lit(0)))
+    last = dimensions.last_rows(rows, ["key_"], ["position"]).where("op <> 'd'")
+    r = c("row")
+    return last.select(records.field(r, "o_orderkey", "bigint").alias("o_orderkey"), records.field(r, "o_orderstatus", "string").alias("o_orderstatus"), records.field(r, "o_custkey", "bigint").alias("o_custkey"), "op")
+
+
+def q26_config_by_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events routed by config changes that come among them (made from part, spread over the same arrivals)."""
+    c = F.col
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("t"), c("user_id") % 20).alias("table"), F.when(c("event_id") % 2 == 0, "insert").otherwise("update").alias("type"), F.create_map(F.lit("id"), c("event_id").cast("string"), F.lit("kind"), c("event_type")).alias("data"), (c("event_id") * 2).alias("arrival"))
+    data = F.struct(F.concat(F.lit("t"), c("p_size") % 20).alias("source_table"), F.when(c("p_partkey") % 2 == 0, "insert").otherwise("update").alias("operate_type"), F.when(c("p_size") % 3 == 0, "hbase").when(c("p_size") % 3 == 1, "kafka").otherwise("none").alias("sink_type"), F.concat(F.lit("s"), c("p_partkey")).alias("sink_table"), F.lit("id").alias("sink_columns"), F.lit("").alias("sink_pk"), F.lit("").alias("sink_extend"))
+    told = table(spark, sf_dir, "part").select(F.when(c("p_partkey") % 4 == 3, "delete").otherwise("update").alias("type"), data.alias("data"), (c("p_partkey") * 8 + 1).alias("arrival"))
+    routed = arrivals.routed_by_arrival(e, told)
+    return routed.select("arrival", "fate", F.when(c("fate") != "dropped", c("sink_table")).alias("sink_table"), F.size("data").alias("n_columns"))
+
+
+def q27_visit_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign-ups that a click and then a purchase follow within 90 days, other events between them passed over; others as time-outs."""
+    e, kind = table(spark, sf_dir, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp"))).select("event_id", "user_id", "event_type", "ms"), F.col("event_type")
+    steps = patterns.begin("signup", kind == "signup").followed_by("click", kind == "click").followed_by("purchase", kind == "purchase").within(90 * 24 * HOUR_MS)
+    found = patterns.matched(e, steps, "user_id", "ms", ["event_id"])
+    return found.select("outcome", F.col("steps").cast("int").alias("steps"), *(F.col(f"{s}.event_id").alias(s) for s in ("signup", "click", "purchase")))
+
+
 def order_to_province(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: orders and details by interval join, with dimensions, as statistics by province and 30 days."""
     out = stats.province_stats(_order_wide(spark, sf_dir), ["province_id", "province_name"], "o_orderdate", "30 days", "l_extendedprice", "o_orderkey")
@@ -293,7 +360,8 @@ def order_to_province(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     q01_json_parse, q02_log_split, q02b_is_new_repair, q03_explode_display, q04_cdc_filter, q05_config_route, q06_dim_upsert, q07_interval_join, q08_order_wide,
     q09_unique_visit, q10_payment_wide, q11_visitor_measures, q12_visitor_stats, q13_user_jump, q14_product_stats, q15_product_dims, q16_province_stats,
-    q17_keyword_lateral, q18_keyword_stats, q19_order_wide_records, q20_payment_wide_records, q21_config_changes, q22_keyword_udtf, order_to_province,
+    q17_keyword_lateral, q18_keyword_stats, q19_order_wide_records, q20_payment_wide_records, q21_config_changes, q22_keyword_udtf, q23_open_records,
+    q24_open_displays, q25_cdc_orders, q26_config_by_arrival, q27_visit_pattern, order_to_province,
 )
 
 
@@ -383,5 +451,23 @@ def oracle_sql() -> dict[str, str]:
             SELECT 'route' AS what, 'dim_' || p_size AS sink_table, pk AS sink_pk, operate_type FROM config
             UNION ALL SELECT 'dimension', 'dim_' || p_size, CASE WHEN pk = '' THEN 'id' ELSE pk END, NULL FROM config WHERE p_size % 2 = 0 AND operate_type = 'insert'""",
         "q22_keyword_udtf": "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part",
+        "q23_open_records": """SELECT 'dim_part' AS sink_table, p_partkey AS id, NULL::BOOLEAN AS large, NULL::INTEGER AS n_tags, '{"tm_name":"' || p_name || '","id":' || p_partkey || '}' AS value FROM part WHERE p_partkey % 2 = 0
+            UNION ALL SELECT 'dwd_part', p_partkey, p_size > 25, len(string_split(p_type, ' '))::INTEGER,
+            '{"id":' || p_partkey || ',"tags":["' || replace(p_type, ' ', '","') || '"],"more":{"brand":"' || p_brand || '","large":' || (p_size > 25)::VARCHAR || '},"none":null}' FROM part WHERE p_partkey % 2 = 1""",
+        "q24_open_displays": """WITH shown AS (SELECT json_extract_string(props, '$.k') AS item, user_id, epoch_us(ts) // 1000 AS ms FROM events WHERE event_type = 'view')
+            SELECT 'sku_id' AS item_type, item, '{' || coalesce('"item":' || item || ',', '') || '"item_type":"sku_id","pos":{"x":' || user_id || '},"ts":' || ms || ',"page_id":"view"}' AS value FROM shown
+            UNION ALL SELECT 'ad', NULL, '{"item_type":"ad","paid":true,"ts":' || ms || ',"page_id":"view"}' FROM shown""",
+        "q25_cdc_orders": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'u' ELSE o_orderstatus END AS o_orderstatus, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'u' ELSE 'r' END AS op FROM orders WHERE o_orderkey % 5 <> 0
+            UNION ALL SELECT -o_orderkey, 'c', o_custkey, 'c' FROM orders WHERE o_orderkey % 7 = 0""",
+        "q26_config_by_arrival": """WITH e AS (SELECT 't' || (user_id % 20) AS tab, event_id % 2 AS odd, event_id * 2 AS arrival FROM events),
+            k AS (SELECT 't' || (p_size % 20) AS tab, p_partkey % 2 AS odd, p_partkey * 8 + 1 AS at, p_partkey % 4 = 3 AS gone, p_size % 3 AS sink, 's' || p_partkey AS sink_table FROM part),
+            met AS (SELECT arrival, gone, sink, sink_table FROM e ASOF LEFT JOIN k ON e.tab = k.tab AND e.odd = k.odd AND e.arrival >= k.at),
+            fates AS (SELECT arrival, CASE WHEN gone OR gone IS NULL OR sink = 2 THEN 'dropped' WHEN sink = 0 THEN 'dimension' ELSE 'topic' END AS fate, sink_table FROM met)
+            SELECT arrival, fate, CASE WHEN fate <> 'dropped' THEN sink_table END AS sink_table, CASE WHEN fate = 'dropped' THEN 2 ELSE 1 END AS n_columns FROM fates""",
+        "q27_visit_pattern": """WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
+            s AS (SELECT * FROM e WHERE event_type = 'signup'), c AS (SELECT s.event_id AS signup, s.user_id, s.ms, min(c.n) AS n FROM s LEFT JOIN e c ON c.user_id = s.user_id AND c.event_type = 'click' AND c.n > s.n AND c.ms - s.ms < 7776000000 GROUP BY ALL),
+            p AS (SELECT c.signup, c.user_id, c.n, min(p.n) AS m FROM c LEFT JOIN e p ON p.user_id = c.user_id AND p.event_type = 'purchase' AND p.n > c.n AND p.ms - c.ms < 7776000000 GROUP BY ALL)
+            SELECT CASE WHEN m IS NULL THEN 'timeout' ELSE 'match' END AS outcome, (1 + (p.n IS NOT NULL)::INTEGER + (m IS NOT NULL)::INTEGER)::INTEGER AS steps, signup, c.event_id AS click, b.event_id AS purchase
+            FROM p LEFT JOIN e c ON c.user_id = p.user_id AND c.n = p.n LEFT JOIN e b ON b.user_id = p.user_id AND b.n = m""",
         "order_to_province": f"WITH {_WIDE} SELECT {_window('o_orderdate', '30 days')}, province_id, province_name, count(DISTINCT o_orderkey) AS order_count, sum(l_extendedprice)::DOUBLE AS order_amount FROM wide GROUP BY ALL",
     }
