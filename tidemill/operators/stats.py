@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keywords import exploded
+from ..functions.keywords import Tokenizer, exploded
 from ..functions.scalars import is_entry, window_text
 from ..schemas import APPRAISE_GOOD, KEYWORD_SEARCH
 from .dimensions import look_up
@@ -101,8 +101,8 @@ def searched(page: DataFrame) -> DataFrame:
     return page.where("page.page_id = 'good_list' and page.item is not null").withColumn("fullword", F.col("page.item"))
 
 
-def keyword_stats(rows: DataFrame, text: str, time: str, width: str = "10 seconds", source: str = KEYWORD_SEARCH) -> DataFrame:
-    counted = exploded(rows, text).groupBy(F.window(time, width), "keyword").agg(F.count("*").alias("ct"))
+def keyword_stats(rows: DataFrame, text: str, time: str, width: str = "10 seconds", source: str = KEYWORD_SEARCH, tokenize: Tokenizer | None = None) -> DataFrame:
+    counted = exploded(rows, text, tokenize=tokenize).groupBy(F.window(time, width), "keyword").agg(F.count("*").alias("ct"))
     return counted.select("keyword", "ct", F.lit(source).alias("source"), *window_text())
 
 

@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import records
+from ..functions import records, segment
 from ..functions.keywords import exploded, register
 from ..functions.scalars import FORMAT
+from ..functions.segment import Segmenter
 from ..operators import arrivals, changes, dimensions, logs, patterns, stats, wide
 from ..schemas import CONFIG, CONFIG_CHANGE, OPEN_CHANGE
 from ..sources import cdc, inputs
@@ -351,6 +352,15 @@ def q27_visit_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("outcome", F.col("steps").cast("int").alias("steps"), *(F.col(f"{s}.event_id").alias(s) for s in ("signup", "click", "purchase")))
 
 
+def q28_segmented_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of part written without spaces, cut into words again by the frequencies of the words in all names."""
+    p = table(spark, sf_dir, "part")
+    words = p.select(F.explode(F.split("p_name", " ")).alias("w")).groupBy("w").count()
+    # the vocabulary of names, which is bounded as a dictionary is
+    cut = Segmenter({r.w: r["count"] for r in words.orderBy(F.desc("count"), "w").limit(segment.WORDS).collect()}, script="a-z")
+    return exploded(p.select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("")).alias("joined")), "joined", "word", cut).select("p_partkey", "word")
+
+
 def order_to_province(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: orders and details by interval join, with dimensions, as statistics by province and 30 days."""
     out = stats.province_stats(_order_wide(spark, sf_dir), ["province_id", "province_name"], "o_orderdate", "30 days", "l_extendedprice", "o_orderkey")
@@ -361,7 +371,7 @@ _QUERIES = (
     q01_json_parse, q02_log_split, q02b_is_new_repair, q03_explode_display, q04_cdc_filter, q05_config_route, q06_dim_upsert, q07_interval_join, q08_order_wide,
     q09_unique_visit, q10_payment_wide, q11_visitor_measures, q12_visitor_stats, q13_user_jump, q14_product_stats, q15_product_dims, q16_province_stats,
     q17_keyword_lateral, q18_keyword_stats, q19_order_wide_records, q20_payment_wide_records, q21_config_changes, q22_keyword_udtf, q23_open_records,
-    q24_open_displays, q25_cdc_orders, q26_config_by_arrival, q27_visit_pattern, order_to_province,
+    q24_open_displays, q25_cdc_orders, q26_config_by_arrival, q27_visit_pattern, q28_segmented_keywords, order_to_province,
 )
 
 
@@ -469,5 +479,6 @@ def oracle_sql() -> dict[str, str]:
             p AS (SELECT c.signup, c.user_id, c.n, min(p.n) AS m FROM c LEFT JOIN e p ON p.user_id = c.user_id AND p.event_type = 'purchase' AND p.n > c.n AND p.ms - c.ms < 7776000000 GROUP BY ALL)
             SELECT CASE WHEN m IS NULL THEN 'timeout' ELSE 'match' END AS outcome, (1 + (p.n IS NOT NULL)::INTEGER + (m IS NOT NULL)::INTEGER)::INTEGER AS steps, signup, c.event_id AS click, b.event_id AS purchase
             FROM p LEFT JOIN e c ON c.user_id = p.user_id AND c.n = p.n LEFT JOIN e b ON b.user_id = p.user_id AND b.n = m""",
+        "q28_segmented_keywords": "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part",
         "order_to_province": f"WITH {_WIDE} SELECT {_window('o_orderdate', '30 days')}, province_id, province_name, count(DISTINCT o_orderkey) AS order_count, sum(l_extendedprice)::DOUBLE AS order_amount FROM wide GROUP BY ALL",
     }

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.keywords import Tokenizer
 from ..functions.scalars import seconds_of
 from ..operators import stats, wide
 from ..operators.changes import current_config, new_dimensions, route, sane
@@ -109,7 +110,7 @@ def province_layer(orders: DataFrame, out: str, checkpoint: str, delay: str = "3
     return start(stats.stamped(stats.province_stats(rows, list(keys), "order_time")).select(*PROVINCE_STATS), table_sink(out), checkpoint, **trigger)
 
 
-def keyword_layer(page: DataFrame, out: str, checkpoint: str, delay: str = "3 seconds", **trigger: object) -> StreamingQuery:
+def keyword_layer(page: DataFrame, out: str, checkpoint: str, delay: str = "3 seconds", tokenize: Tokenizer | None = None, **trigger: object) -> StreamingQuery:
     """Statistics of searched keywords; times are cut to seconds."""
     rows = stats.searched(page.withColumn("time", seconds_of(F.col("ts"))).withWatermark("time", delay))
-    return start(stats.stamped(stats.keyword_stats(rows, "fullword", "time")).select(*KEYWORD_STATS), table_sink(out), checkpoint, **trigger)
+    return start(stats.stamped(stats.keyword_stats(rows, "fullword", "time", tokenize=tokenize)).select(*KEYWORD_STATS), table_sink(out), checkpoint, **trigger)
