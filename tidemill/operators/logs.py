@@ -29,6 +29,16 @@ def split_log(logs: DataFrame) -> Split:
     return Split(logs.where(started), page, explode_displays(page))
 
 
+def split_rows(logs: DataFrame) -> DataFrame:
+    """The same as one frame and in one pass: kind (start, page or display), and mid, item, page_id and ts, null where the kind has none."""
+    started = F.coalesce(F.size("start") > 0, F.lit(False))
+    row = lambda kind, mid, item: F.struct(F.lit(kind).alias("kind"), mid.cast("string").alias("mid"), item.cast("string").alias("item"), F.col("page.page_id").alias("page_id"), F.col("ts"))
+    none, mid = F.lit(None), F.col("common.mid")
+    shown = F.transform(F.coalesce("displays", F.array()), lambda d: row("display", none, d["item"]))
+    own = F.when(started, F.array(row("start", mid, none))).otherwise(F.concat(F.array(row("page", mid, F.col("page.item"))), shown))
+    return logs.select(F.explode(own).alias("r")).select("r.*")
+
+
 def explode_displays(page: DataFrame) -> DataFrame:
     """A row for each display, with its page's id and time; of open logs the whole display, these two put into its record."""
     if "record" in page.columns:

@@ -11,9 +11,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
+from pyspark.sql.window import Window
 
 from ..functions.keywords import Tokenizer, exploded
-from ..functions.scalars import is_entry, window_text
+from ..functions.scalars import day, is_entry, window_text
 from ..schemas import APPRAISE_GOOD, KEYWORD_SEARCH
 from .dimensions import look_up
 
@@ -34,21 +36,55 @@ def visitor_measures(page: DataFrame, visits: DataFrame, jumps: DataFrame) -> Da
     return viewed.unionByName(shaped(visits, uv_ct=one)).unionByName(shaped(jumps, uj_ct=one))
 
 
+def page_measures(page: DataFrame, order: list[str], gap_ms: int = 10_000) -> DataFrame:
+    """Batch form: the same sums in one pass over page, a row for each view that also counts as a visit and a bounce where it is one.
+
+    Both are found in one order of each visitor's rows, where logs.unique_visits and logs.bounces go over page by themselves.
+    """
+    mid, entry = F.col("common.mid"), is_entry(F.col("page.last_page_id"))
+    following = Window.partitionBy("mid_").orderBy("ts", *order)
+    # a day's first entry: by the same exchange, since its visitor's rows are together
+    of_day = Window.partitionBy("mid_", "day_", "entry_").orderBy("ts", *order)
+    rows = page.withColumns({"mid_": mid, "day_": day(F.col("ts")), "entry_": entry})
+    rows = rows.withColumns({"next_": F.lead("ts").over(following), "place_": F.row_number().over(of_day)})
+    known = F.col("entry_") & F.col("mid_").isNotNull()
+    late = F.col("next_").isNull() | (F.col("next_") - F.col("ts") >= gap_ms)
+    flag = lambda c: F.when(c, 1).otherwise(0).cast("long")
+    return rows.select(*(F.col(f"common.{k}").alias(k) for k in VISITOR_KEYS), flag(known & (F.col("place_") == 1)).alias("uv_ct"), F.lit(1).cast("long").alias("pv_ct"), flag(F.col("entry_")).alias("sv_ct"), flag(known & late).alias("uj_ct"), F.col("page.during_time").cast("long").alias("dur_sum"), "ts")
+
+
 def visitor_stats(measures: DataFrame, time: str, width: str = "10 seconds") -> DataFrame:
     rows = measures.groupBy(F.window(time, width), *VISITOR_KEYS).agg(*(F.sum(m).alias(m) for m in VISITOR_MEASURES))
     return rows.select(*window_text(), *VISITOR_KEYS, *VISITOR_MEASURES)
 
 
+MEASURE_TYPES = {m: "decimal(16,2)" if m.endswith("_amount") else "long" for m in PRODUCT_SUMS}
+
+
+def measure(sku: Column, **measures: Column) -> Column:
+    """The measures of one product as a struct: those named, and zeros and nulls for the others."""
+    sums = (measures.get(m, F.lit(0)).cast(t).alias(m) for m, t in MEASURE_TYPES.items())
+    return F.struct(sku.try_cast("long").alias("sku_id"), *sums, *(measures.get(i, F.lit(None)).cast("long").alias(i) for i in PRODUCT_ORDERS.values()))
+
+
+def measures_of(rows: DataFrame, *entries: Column, time: str = "time") -> DataFrame:
+    """Rows of equal columns, as product_measures has them, of rows that each give several: structs by `measure`, or arrays of such.
+
+    For tables that serve as several sources: one scan. An entry that is null, or has no product, is left out.
+    """
+    one = [F.array(e) if not isinstance(rows.select(e.alias("e")).schema["e"].dataType, ArrayType) else F.coalesce(e, F.array()) for e in entries]
+    shown = rows.select(F.col(time).alias("time"), F.explode(F.concat(*one) if len(one) > 1 else one[0]).alias("m")).where("m.sku_id is not null")
+    return shown.select("m.sku_id", "time", *(f"m.{c}" for c in (*MEASURE_TYPES, *PRODUCT_ORDERS.values())))
+
+
 def product_measures(**sources: DataFrame) -> DataFrame:
     """Rows of equal columns from any of page, favor, cart, order, payment, refund and comment.
 
     page has the columns of a log, and time; the others sku_id, time, and order: order_id, sku_num, amount; payment: order_id,
     amount; refund: order_id, refund_amount; comment: appraise.
     """
-    types = {m: "long" for m in PRODUCT_SUMS} | {"order_amount": "decimal(16,2)", "payment_amount": "decimal(16,2)", "refund_amount": "decimal(16,2)"}
-
     def shaped(rows: DataFrame, sku: str = "sku_id", **measures: Column) -> DataFrame:
-        sums = (measures.get(m, F.lit(0)).cast(types[m]).alias(m) for m in PRODUCT_SUMS)
+        sums = (measures.get(m, F.lit(0)).cast(MEASURE_TYPES[m]).alias(m) for m in PRODUCT_SUMS)
         ids = (measures.get(i, F.lit(None)).cast("long").alias(i) for i in PRODUCT_ORDERS.values())
         return rows.select(F.col(sku).try_cast("long").alias("sku_id"), "time", *sums, *ids)
 

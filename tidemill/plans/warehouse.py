@@ -73,10 +73,8 @@ def q01_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q02_log_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = logs.split_log(page_log(spark, sf_dir))
-    parts = [p.select(F.lit(n).alias("kind"), F.col("common.mid").alias("mid"), "ts") for n, p in (("start", split.start), ("page", split.page))]
-    shown = split.display.select(F.lit("display").alias("kind"), F.col("item").alias("mid"), "ts")
-    return parts[0].unionByName(parts[1]).unionByName(shown).groupBy("kind", "mid").agg(F.count("*").alias("n"), F.sum("ts").alias("ts_sum"))
+    rows = logs.split_rows(page_log(spark, sf_dir))
+    return rows.groupBy("kind", F.when(F.col("kind") == "display", F.col("item")).otherwise(F.col("mid")).alias("mid")).agg(F.count("*").alias("n"), F.sum("ts").alias("ts_sum"))
 
 
 def q02b_is_new_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +166,8 @@ def q11_visitor_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q12_visitor_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.visitor_stats(_visitor_measures(spark, sf_dir).withColumn("time", F.timestamp_millis("ts")), "time", "1 hour")
+    measures = stats.page_measures(logs.split_log(page_log(spark, sf_dir)).page, ["event_id"], HOUR_MS)
+    return stats.visitor_stats(measures.withColumn("time", F.timestamp_millis("ts")), "time", "1 hour")
 
 
 def q13_user_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,14 +175,23 @@ def q13_user_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _product_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All seven sources: events for page logs, favorites (sign-ups) and carts (clicks), line items for the others."""
-    page, e = page_log(spark, sf_dir).withColumn("time", F.timestamp_millis("ts")), table(spark, sf_dir, "events")
-    chosen = e.select(F.get_json_object("props", "$.k").alias("sku_id"), F.col("ts").cast("timestamp").alias("time"), "event_type")
-    l = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("sku_id"), F.col("l_shipdate").cast("timestamp").alias("time"), F.col("l_orderkey").alias("order_id"), F.col("l_quantity").alias("sku_num"), amount("l_extendedprice").alias("amount"), "l_returnflag", "l_linestatus")
-    refund = l.where("l_returnflag = 'R'").withColumn("refund_amount", F.col("amount"))
-    comment = l.where("l_linestatus = 'F'").withColumn("appraise", F.when(F.col("sku_num") > 25, "1201").otherwise("1202"))
-    measures = stats.product_measures(page=logs.split_log(page).page, favor=chosen.where("event_type = 'signup'"), cart=chosen.where("event_type = 'click'"), order=l, payment=l.where("l_linestatus = 'O'"), refund=refund, comment=comment)
-    return stats.product_stats(measures, "30 days")
+    """All seven sources: events for page logs, favorites (sign-ups) and carts (clicks), line items for the others; each table is read once."""
+    c, one = F.col, F.lit(1)
+    page = logs.split_log(page_log(spark, sf_dir)).page.withColumn("time", F.timestamp_millis("ts"))
+    item, kind = c("page.item"), c("page.page_id")
+    click = F.when((kind == "good_detail") & item.isNotNull(), stats.measure(item, click_ct=one))
+    shown = F.transform(F.filter("displays", lambda d: d["item_type"] == "sku_id"), lambda d: stats.measure(d["item"], display_ct=one))
+    chosen = F.when(kind.isin("signup", "good_list"), stats.measure(item, favor_ct=F.when(kind == "signup", 1).otherwise(0), cart_ct=F.when(kind == "good_list", 1).otherwise(0)))
+    seen = stats.measures_of(page, click, chosen, shown)
+    paid, back, told = c("l_linestatus") == "O", c("l_returnflag") == "R", c("l_linestatus") == "F"
+    sold = amount("l_extendedprice")
+    order = stats.measure(
+        c("l_partkey"), order_sku_num=c("l_quantity"), order_amount=sold, order_id=c("l_orderkey"), payment_amount=F.when(paid, sold).otherwise(0), paid_order_id=F.when(paid, c("l_orderkey")), refund_amount=F.when(back, sold).otherwise(0),
+        refund_order_id=F.when(back, c("l_orderkey")), comment_ct=F.when(told, 1).otherwise(0), good_comment_ct=F.when(told & (c("l_quantity") > 25), 1).otherwise(0),
+    )
+    l = table(spark, sf_dir, "lineitem").withColumn("time", c("l_shipdate").cast("timestamp"))
+    bought = l.select("time", order.alias("m")).where("m.sku_id is not null").select("m.*", "time")
+    return stats.product_stats(seen.unionByName(bought), "30 days")
 
 
 _PRODUCT = ["stt", "edt", "sku_id", "display_ct", "click_ct", "favor_ct", "cart_ct", "order_sku_num", "order_ct", "paid_order_ct", "refund_order_ct", "comment_ct", "good_comment_ct"]
