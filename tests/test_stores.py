@@ -6,10 +6,16 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tidemill.operators import dimensions
+from tidemill.schemas import ORDER_DETAIL, ORDER_INFO
 from tidemill.sources import exactly, inputs, keyed
 from tidemill.sources.keyed import KeyedTable
 from tidemill.streaming import runners
 
+DIMENSIONS = {
+    "user": ("id gender birthday", [("1", "F", "2000-01-01"), ("2", "M", "1990-06-01")]), "province": ("id name area_code iso_code iso_3166_2", [("1", "North", "11", "N", "P-N")]),
+    "sku": ("id sku_name price spu_id category3_id tm_id", [("1", "shoe", "9.50", "5", "7", "3"), ("2", "coat", "80", "6", "9", "4")]), "spu": ("id spu_name", [("5", "shoes")]), "category3": ("id name", [("7", "feet"), ("9", "body")]), "trademark": ("id tm_name", [("3", "acme"), ("4", "zeta")]),
+}
 DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
 
 
@@ -58,7 +64,7 @@ def test_a_batch_writes_what_it_holds(spark, tmp_path):
     table.upsert(changes(spark, [("17", "seventeen", "update", 1)]), ["seq"], batch=("job", 1))
     assert table.version()[0] == number and size(tmp_path / "d") - before < before / 100
     asked = spark.createDataFrame([("17", 1), ("4711", 2), ("none", 3), (None, 4)], "k string, n int")
-    found = table.look_up(asked, "k", {"name": F.col("name")}).select("n", F.col("name").substr(1, 9).alias("name"))
+    found = dimensions.look_up(asked, table, {"k": "id"}, {"name": F.col("name")}).select("n", F.col("name").substr(1, 9).alias("name"))
     sha = spark.range(1).select(F.sha2(F.lit("4711"), 256)).first()[0][:9]
     assert sorted(map(tuple, found.collect())) == [(1, "seventeen"), (2, sha), (3, None), (4, None)]
     # four keys read at most four of sixteen buckets of the first layer, and of those only pages that can hold them
@@ -79,6 +85,51 @@ def test_lookups_with_many_keys_and_newer_layers_only(spark, tmp_path, monkeypat
     assert {k: v for k, v in got.items() if k in {str(x) for x in range(0, 60, 2)}} == {str(k): "new" if k == 8 else "old" for k in range(0, 40, 2)} and "7" not in got
 
 
+def test_bytes_read_grow_with_the_keys(spark, tmp_path):
+    """Of 200,000 rows, lookups of few keys read few files' bytes, as Spark's own metrics have them."""
+    table = KeyedTable(spark, str(tmp_path / "d"), "id,name", buckets=32)
+    table.upsert(spark.range(200_000).select(F.create_map(F.lit("id"), F.col("id").cast("string"), F.lit("name"), F.sha2(F.col("id").cast("string"), 256)).alias("data"), F.lit("insert").alias("type"), F.col("id").alias("seq")), ["seq"])
+
+    def scanned(n):
+        rows = table.rows_of(spark.range(n).select((F.col("id") * 1009).cast("string").alias("k")), "k")
+        rows.collect()
+        plan = rows._jdf.queryExecution().executedPlan()
+        files = 0
+        for k in range(plan.collectLeaves().size()):
+            m = plan.collectLeaves().apply(k).metrics()
+            if m.contains("filesSize"):
+                files += m.apply("filesSize").value()
+        return rows.count(), files
+
+    whole = sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(tmp_path / "d") for f in fs if f.endswith(".parquet"))
+    one, few = scanned(1), scanned(6)
+    assert one[0] == 1 and few[0] == 6
+    if one[1]:  # Spark gives the sizes of the files that a scan chose
+        assert one[1] < whole / 16 and few[1] < 6 * whole / 16
+
+
+def test_wide_job_by_keyed_dimensions(spark, tmp_path):
+    """The order job with its dimensions as keyed tables gives what it gives with frames."""
+    clock = lambda s: f"2024-01-01 00:{s // 60:02d}:{s % 60:02d}"
+    order = [{"id": i, "province_id": i % 3, "user_id": i % 4, "create_time": clock(20 * i)} for i in range(1, 21)]
+    detail = [{"id": 100 + i, "order_id": i, "sku_id": i % 3, "sku_name": "old", "create_time": clock(20 * i + 2)} for i in range(1, 21)]
+    for n, rows in (("order", order), ("detail", detail)):
+        (tmp_path / n).mkdir()
+        for k in range(2):
+            (tmp_path / n / f"{k}.json").write_text("\n".join(json.dumps(r) for r in rows[10 * k : 10 * k + 10]))
+    orders, details = (spark.readStream.schema(s).option("maxFilesPerTrigger", 1).json(str(tmp_path / n)) for n, s in (("order", ORDER_INFO), ("detail", ORDER_DETAIL)))
+    frames = {n: spark.createDataFrame(rows, ", ".join(f"{c} string" for c in names.split())) for n, (names, rows) in DIMENSIONS.items()}
+    stores = {}
+    for n, (names, rows) in DIMENSIONS.items():
+        stores[n] = KeyedTable(spark, str(tmp_path / "dims" / n), names.replace(" ", ","), buckets=4)
+        stores[n].upsert(spark.createDataFrame([(dict(zip(names.split(), r, strict=True)), "insert", 1) for r in rows], "data map<string,string>, type string, seq long"), ["seq"])
+    as_of = F.lit("2020-01-01").cast("date")
+    for n, dims in (("a", frames), ("b", stores)):
+        runners.order_wide_layer(orders, details, lambda dims=dims: dims, as_of, str(tmp_path / n), str(tmp_path / f"ck-{n}")).awaitTermination()
+    got = [sorted((tuple(r) for r in spark.read.parquet(str(tmp_path / n)).drop("batch").collect()), key=str) for n in ("a", "b")]
+    assert got[0] == got[1] and len(got[0]) == 20
+
+
 def test_a_cut_off_manifest_and_a_second_writer(spark, tmp_path):
     path = str(tmp_path / "d")
     one, two = KeyedTable(spark, path, "id,name", buckets=4), KeyedTable(spark, path, "id,name", buckets=4)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +38,26 @@ def one_for_each(dim: DataFrame, key: list[str]) -> DataFrame:
     return dim.groupBy(*key).agg(F.min(F.struct(*rest)).alias("row_")).select(*key, "row_.*").select(*dim.columns)
 
 
-def look_up(rows: DataFrame, dim: DataFrame, on: dict[str, str], take: dict[str, Column], unique: bool = False) -> DataFrame:
+class Store(Protocol):
+    """A dimension that finds the rows of given keys by itself, as sources.keyed.KeyedTable does."""
+
+    key: str
+
+    def rows_of(self, rows: DataFrame, column: str) -> DataFrame: ...
+
+    def read(self) -> DataFrame: ...
+
+
+def look_up(rows: DataFrame, dim: DataFrame | Store, on: dict[str, str], take: dict[str, Column], unique: bool = False) -> DataFrame:
     """rows with columns from the dimension row that matches on (column of rows -> key of dim).
 
     take: new or replaced column -> expression over the dimension; where no row matches, replaced columns stay and new
-    ones are null. unique: dim has one row for each key already.
+    ones are null. unique: dim has one row for each key already. A store is asked for the keys of rows, which are to be kept
+    (persisted) where they cost much, and reads little else; on other columns than its key it is read whole.
     """
+    if not isinstance(dim, DataFrame):
+        column = next((c for c, k in on.items() if k == dim.key), None)
+        dim, unique = (dim.rows_of(rows, column), len(on) == 1) if column else (dim.read(), False)
     d = dim if unique else one_for_each(dim, list(on.values()))
     d = d.select(*(F.col(k).alias(f"key_{i}_") for i, k in enumerate(on.values())), *(c.alias(f"take_{i}_") for i, c in enumerate(take.values())), F.lit(True).alias("met_"))
     kind = lambda c: rows.schema[c].dataType

@@ -18,7 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dimensions import last_rows, look_up
+from ..operators.dimensions import last_rows
 from .store import Folder
 
 #: Layers above the first, and their share of its rows, from which all are merged.
@@ -182,7 +182,7 @@ class KeyedTable:
     # Lookups
 
     def rows_of(self, rows: DataFrame, column: str) -> DataFrame:
-        """The rows of this table whose keys are in a column of rows: only their buckets are read, and of few keys only the
+        """The rows of this table whose keys are in a column of rows, for operators.dimensions.look_up: only their buckets are read, and of few keys only the
         pages that can hold them, by Bloom filters and page statistics."""
         _, manifest = self._open()
         layers = self._layers(manifest)
@@ -199,7 +199,3 @@ class KeyedTable:
         if present and present[0] is not layers[0] and keys is not None:
             found = found.where(F.col(self.key).isin(keys))
         return found.where("not deleted_").select(*self.columns)
-
-    def look_up(self, rows: DataFrame, column: str, take: dict[str, Column]) -> DataFrame:
-        """rows with columns from the row that has their key (operators.dimensions.look_up), reading what their keys need."""
-        return look_up(rows, self.rows_of(rows, column), {column: self.key}, take, unique=True)

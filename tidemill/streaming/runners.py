@@ -17,8 +17,21 @@ from ..schemas import KEYWORD_STATS, PRODUCT_STATS, PROVINCE_STATS, VISITOR_STAT
 from ..sources.outputs import Batch, DimensionTable, routed_sink, table_sink
 from . import stateful
 
-#: Reads dimension tables by name: each batch calls it anew, so that it sees what has changed.
-Dimensions = Callable[[], dict[str, DataFrame]]
+#: Dimension tables by name, as frames or as keyed tables: each batch calls it anew, so that it sees what has changed.
+Dimensions = Callable[[], dict[str, "DataFrame | DimensionTable"]]
+
+
+def _enriched(sink: Batch, join: Callable[[DataFrame], DataFrame]) -> Batch:
+    """A sink for rows with dimensions; the batch is kept, since keyed tables ask for its keys."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.persist()
+        try:
+            sink(join(df), batch)
+        finally:
+            df.unpersist()
+
+    return write
 
 
 def start(df: DataFrame, sink: Batch, checkpoint: str, **trigger: object) -> StreamingQuery:
@@ -81,8 +94,7 @@ def config_dimensions(spark: SparkSession, changes: DataFrame, order: list[str],
 def order_wide_layer(orders: DataFrame, details: DataFrame, dims: Dimensions, as_of: Column, out: str, checkpoint: str, **trigger: object) -> StreamingQuery:
     """Orders and details that come within five seconds of each other, with their six dimensions. Both have create_time."""
     rows = wide.order_wide(wide.timed(orders, "order_time"), wide.timed(details, "detail_time"))
-    sink = table_sink(out)
-    return start(rows, lambda df, batch: sink(wide.with_dimensions(df, **dims(), as_of=as_of), batch), checkpoint, **trigger)
+    return start(rows, _enriched(table_sink(out), lambda df: wide.with_dimensions(df, **dims(), as_of=as_of)), checkpoint, **trigger)
 
 
 def payment_wide_layer(payments: DataFrame, orders: DataFrame, out: str, checkpoint: str, delay: str = "3 seconds", **trigger: object) -> StreamingQuery:
@@ -98,9 +110,8 @@ def visitor_layer(page: DataFrame, visits: DataFrame, jumps: DataFrame, out: str
 
 def product_layer(dims: Dimensions, out: str, checkpoint: str, delay: str = "3 seconds", **sources: DataFrame) -> StreamingQuery:
     """Product statistics of any of the seven sources (each with time), with their four dimensions joined after the aggregation."""
-    sink = table_sink(out)
     rows = stats.product_stats(stats.product_measures(**sources).withWatermark("time", delay))
-    return start(rows, lambda df, batch: sink(stats.stamped(stats.with_product_dimensions(df, **dims())).select(*PRODUCT_STATS), batch), checkpoint)
+    return start(rows, _enriched(table_sink(out), lambda df: stats.stamped(stats.with_product_dimensions(df, **dims())).select(*PRODUCT_STATS)), checkpoint)
 
 
 def province_layer(orders: DataFrame, out: str, checkpoint: str, delay: str = "3 seconds", **trigger: object) -> StreamingQuery:
