@@ -268,8 +268,9 @@ def test_grammar_leaves_no_frequent_pair():
     ids = np.concatenate([rng.zipf(1.5, 20_000) % 60, np.zeros(500, np.int64), np.tile([5, 6], 300)])
     starts = np.array([0, 4000, len(ids)])
     symbols, offsets, rules = repair.compress(ids, starts, 50257)
-    assert (repair.expand(symbols, rules, 50257) == ids).all()
-    assert (repair.expand(symbols[: offsets[1]], rules, 50257) == ids[:4000]).all()
+    lengths = repair.expansion_lengths(rules, 50257)
+    assert (repair.expand(symbols, rules, lengths, 50257)[0] == ids).all()
+    assert (repair.expand(symbols[: offsets[1]], rules, lengths, 50257)[0] == ids[:4000]).all()
     used = set(symbols.tolist()) | set(rules.ravel().tolist())
     assert all(50257 + r in used for r in range(len(rules)))
     pairs = Counter(zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True))
@@ -277,6 +278,39 @@ def test_grammar_leaves_no_frequent_pair():
     assert all(n < 2 * repair.LEAST for (a, b), n in pairs.items() if a != b)
 
 
+def test_grammar_of_a_repeated_passage():
+    """Twenty copies of a passage without repetitions of its own shrink to a tenth, by rules that reach over many ids; symbols take more than 16 bits."""
+    rng = np.random.default_rng(7)
+    passage = rng.integers(0, 50257, 60_000)
+    ids = np.tile(passage, 20).astype("<u2")
+    data = repair.written(list(range(20)), [len(passage)] * 20, ids, 0, 50257)
+    shard = repair.Shard(data)
+    assert shard.bits > 16 and shard.n_symbols < len(ids) / 100 and shard.lengths.max() > 500 and len(data) < len(ids) * 2 / 3
+    assert (shard.all_ids() == ids).all()
+    for first, last in ((0, 1), (31_234, 31_300), (59_990, 60_000), (17, 17), (5, 70_000)):
+        got, seen = shard.slice(11, first, last)
+        assert (got == passage[first:last]).all()
+        # its own ids, the symbols above them, and two ways down
+        own = int(shard.offsets[12] - shard.offsets[11])
+        assert seen <= 2 * max(len(got), 1) + 80 and own < 1000
+
+
+def test_slices_by_lengths():
+    rng = np.random.default_rng(3)
+    parts = [np.concatenate([rng.zipf(1.3, rng.integers(0, 900)) % 200, [2]]).astype("<u2") for _ in range(60)]
+    shard = repair.Shard(repair.written(list(range(60)), [len(p) for p in parts], np.concatenate(parts), 0, 250))
+    for _ in range(300):
+        k = int(rng.integers(0, 60))
+        first = int(rng.integers(0, len(parts[k])))
+        last = int(rng.integers(first, len(parts[k]) + 5))
+        assert shard.slice(k, first, last)[0].tolist() == parts[k][first:last].tolist()
+    for bits in (16, 17, 19, 21):
+        some = rng.integers(0, 1 << bits, 1003)
+        data = b"xyz" + repair.packed(some, bits)
+        assert len(data) == 3 + repair.packed_size(len(some), bits) and (repair.unpacked(data, 3, len(some), bits) == some).all()
+        assert (repair.unpacked(data, 3, len(some), bits, 13, 99) == some[13:99]).all()
+
+
 def test_grammar_random_access():
     rng = np.random.default_rng(1)
     parts = [np.concatenate([rng.integers(0, 9, rng.integers(0, 400)), [2]]).astype("<u2") for _ in range(200)]

@@ -2,14 +2,15 @@
 
 Documents are range-sorted by doc_id; every task encodes its range and rolls shards by number of ids. In a shard,
 frequent pairs of neighbouring symbols are replaced by nonterminals again and again, until no pair is seen often enough
-to pay for its rule or the nonterminals beside the vocabulary are used up. Each round takes the most frequent pairs
-together; where occurrences overlap the more frequent pair goes first, then the left one. Pairs never reach across
-documents, so a document is a run of symbols, found by its offset, and its length is known from the stored expansion
-lengths without expanding it. The manifest lists every shard with its bytes and digest; readers read these and no others.
+to pay for its rule; if the last rounds only made symbols wider, they are taken back. Each round takes the most frequent pairs together; where occurrences overlap the more frequent pair
+goes first, then the left one. Pairs never reach across documents, so a document is a run of symbols, found by its offset.
+The length of every rule's expansion is stored with it: from these any slice of a document is decoded by going down only
+into the symbols that it touches. The manifest lists every shard with its bytes and digest; readers read these and no others.
 
-File: magic, six little-endian 64-bit counts (documents, ids, symbols, rules, vocabulary size, ids before it in its
-range), rules (2 x uint16), expansion lengths (uint32), doc ids (int64), null flags (uint8), symbol offsets (uint32, one
-more than documents), token counts (uint32), symbols (uint16).
+File: magic, seven little-endian 64-bit counts (documents, ids, symbols, rules, vocabulary size, ids before it in its
+range, bits of a symbol), rules (two symbols each), expansion lengths (uint32), doc ids (int64), null flags (uint8), symbol
+offsets (uint32, one more than documents), token counts (uint32), symbols. Symbols are as wide as the largest needs: their
+low 16 bits one after the other (uint16), then a plane of single bits, eight a byte, for each higher bit.
 
 Nulls: a null text is empty and yields the end id alone; null doc_ids come first. Rows of equal doc_id follow each other
 in the order of their texts' hashes; repeated rows are documents of their own, and many of them spread over several
@@ -19,7 +20,6 @@ empty table writes no shard.
 
 from __future__ import annotations
 
-import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,12 +34,13 @@ from pyspark.sql import functions as F
 from .shared import contents, fingerprint, intact, map_arrow, partitions_for, put, put_manifest, scratch, texts
 from .words import word_ids
 
-MAGIC = b"TMRP0001"
+MAGIC = b"TMRP0002"
 END = 2
 #: Ids after which a shard is closed; a longer document makes a longer shard.
 SHARD_IDS = 2_000_000
-#: Pairs that a round replaces at most, and the least count of a pair: a rule costs as much as four symbols.
-RULES_A_ROUND, LEAST = 4096, 8
+#: Pairs that a round replaces at most (the next one takes the others), and the least count of a pair: a rule costs as much
+#: as four symbols.
+RULES_A_ROUND, LEAST = 8192, 8
 _BUCKET_BITS = 18
 
 
@@ -68,14 +69,16 @@ def _apart(at: np.ndarray, score: np.ndarray) -> np.ndarray:
 def compress(ids: np.ndarray, starts: np.ndarray, vocabulary: int, a_round: int = RULES_A_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, starts of documents in them, rules): rule r is nonterminal vocabulary + r and stands for two symbols.
 
-    ids and starts (of documents in ids) as arrays. Ends when no pair is seen least times or no nonterminal is left.
+    ids and starts (of documents in ids) as arrays. Ends when no pair is seen least times apart. Rules that make all symbols
+    a bit wider may cost more than they save: what is returned is the round after which symbols and rules took least bytes.
     """
     symbols = ids.astype(np.int64)
     rules: list[np.ndarray] = []
-    n_rules, free = 0, (1 << 16) - vocabulary
-    while len(symbols) > 1 and n_rules < free:
-        keys = symbols[:-1] << 16 | symbols[1:]
-        buckets = (keys * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - _BUCKET_BITS)
+    n_rules = 0
+    best_bytes, best_of = 2 * len(symbols), (symbols.copy(), starts, 0)
+    while len(symbols) > 1:
+        keys = symbols[:-1] << 32 | symbols[1:]
+        buckets = ((symbols[:-1] * 0x9E3779B1 ^ symbols[1:] * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - _BUCKET_BITS)
         within = np.ones(len(keys), bool)
         inner = starts[(starts > 0) & (starts <= len(keys))]
         within[inner - 1] = False
@@ -84,7 +87,9 @@ def compress(ids: np.ndarray, starts: np.ndarray, vocabulary: int, a_round: int
         bar = max(least, int(np.partition(counts, -a_round)[-a_round]))
         at = np.flatnonzero((counts >= bar)[buckets] & within)
         pairs, which, exact = np.unique(keys[at], return_inverse=True, return_counts=True)
-        best = np.argsort(-exact, kind="stable")[: min(a_round, free - n_rules)]
+        # a round ends where symbols would become wider
+        room = (1 << width(vocabulary + n_rules)) - vocabulary - n_rules
+        best = np.argsort(-exact, kind="stable")[: min(a_round, room or a_round)]
         best = best[exact[best] >= least]
         place = np.full(len(pairs), -1)
         place[best] = np.arange(len(best))
@@ -103,41 +108,86 @@ def compress(ids: np.ndarray, starts: np.ndarray, vocabulary: int, a_round: int
         before = np.concatenate([[0], np.cumsum(keep)])
         symbols, starts = symbols[keep], before[starts]
         chosen = pairs[best[pays]]
-        rules.append(np.stack([chosen >> 16, chosen & 0xFFFF], axis=1))
+        rules.append(np.stack([chosen >> 32, chosen & 0xFFFFFFFF], axis=1))
         n_rules += len(chosen)
-    return symbols, starts, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-
-
-def expansions(rules: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
-    """(lengths of all symbols' expansions, ids of the rules' expansions one after the other)."""
-    lengths = np.ones(vocabulary + len(rules), np.int64)
-    flat: list[list[int]] = []
-    for r, (a, b) in enumerate(rules.tolist()):
-        flat.append([x for s in (a, b) for x in (flat[s - vocabulary] if s >= vocabulary else [s])])
-        lengths[vocabulary + r] = len(flat[r])
-    return lengths, np.array([x for f in flat for x in f], np.int64)
-
-
-def expand(symbols: np.ndarray, rules: np.ndarray, vocabulary: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    lengths, flat = known or expansions(rules, vocabulary)
-    symbols = symbols.astype(np.int64)
-    n = lengths[symbols]
-    out = np.repeat(symbols, n)
-    places = np.concatenate([np.zeros(vocabulary, np.int64), np.cumsum(lengths[vocabulary:]) - lengths[vocabulary:]])
-    at = np.flatnonzero(out >= vocabulary)
-    within = np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n)
-    out[at] = flat[places[out[at]] + within[at]]
+        bits = width(vocabulary + n_rules)
+        size = packed_size(len(symbols), bits) + packed_size(2 * n_rules, bits) + 4 * n_rules
+        if size < best_bytes:
+            best_bytes, best_of = size, (symbols.copy(), starts, n_rules)
+    symbols, starts, n_rules = best_of
+    return symbols, starts, np.concatenate(rules)[:n_rules] if n_rules else np.zeros((0, 2), np.int64)
+
+
+def width(symbols: int) -> int:
+    """Bits of one of so many symbols."""
+    return max(16, (symbols - 1).bit_length())
+
+
+def expansion_lengths(rules: np.ndarray, vocabulary: int) -> np.ndarray:
+    """Of each rule, how many ids it stands for; a rule's symbols come before it."""
+    out: list[int] = []
+    for a, b in rules.tolist():
+        out.append((out[a - vocabulary] if a >= vocabulary else 1) + (out[b - vocabulary] if b >= vocabulary else 1))
+    return np.array(out, np.int64)
+
+
+def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, vocabulary: int, first: int = 0, last: int | None = None) -> tuple[np.ndarray, int]:
+    """(ids first to last of the symbols' expansion, symbols that were looked into).
+
+    Every symbol has its place by the lengths of those before it. Level by level, nonterminals that the slice touches give way
+    to their two symbols, and others are left alone.
+    """
+    size = lambda s: np.where(s < vocabulary, 1, lengths[np.maximum(s - vocabulary, 0)] if len(lengths) else 1)
+    s = symbols.astype(np.int64)
+    n = size(s)
+    place = np.cumsum(n) - n
+    last = int(n.sum()) if last is None else min(last, int(n.sum()))
+    out = np.empty(max(last - first, 0), np.int64)
+    seen = 0
+    while True:
+        touched = (place < last) & (place + n > first)
+        s, place, n = s[touched], place[touched], n[touched]
+        seen += len(s)
+        ends = s < vocabulary
+        out[place[ends] - first] = s[ends]
+        s, place = s[~ends], place[~ends]
+        if not len(s):
+            return out, seen
+        left, right = rules[s - vocabulary].T
+        s, place = np.concatenate([left, right]), np.concatenate([place, place + size(left)])
+        n = size(s)
+
+
+def packed(symbols: np.ndarray, bits: int) -> bytes:
+    """Their low 16 bits, then a plane for each higher bit."""
+    planes = [np.packbits((symbols >> b & 1).astype(np.uint8)) for b in range(16, bits)]
+    return b"".join([(symbols & 0xFFFF).astype("<u2").tobytes(), *(p.tobytes() for p in planes)])
+
+
+def unpacked(data: bytes, at: int, n: int, bits: int, first: int = 0, last: int | None = None) -> np.ndarray:
+    """Symbols first to last of n packed ones at a place in data; no others are read."""
+    last = n if last is None else last
+    out = np.frombuffer(data, "<u2", last - first, at + 2 * first).astype(np.int64)
+    plane = -(-n // 8)
+    for k, b in enumerate(range(16, bits)):
+        low = first // 8
+        some = np.frombuffer(data, np.uint8, -(-last // 8) - low, at + 2 * n + k * plane + low)
+        out |= np.unpackbits(some)[first - 8 * low : last - 8 * low].astype(np.int64) << b
     return out
 
 
+def packed_size(n: int, bits: int) -> int:
+    return 2 * n + max(bits - 16, 0) * -(-n // 8)
+
+
 def written(doc_ids: list[int | None], counts: list[int], ids: np.ndarray, before: int, vocabulary: int) -> bytes:
     starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
     symbols, offsets, rules = compress(ids, starts, vocabulary)
-    lengths = expansions(rules, vocabulary)[0][vocabulary:]
-    head = struct.pack("<6q", len(doc_ids), len(ids), len(symbols), len(rules), vocabulary, before)
+    bits = width(vocabulary + len(rules))
+    head = struct.pack("<7q", len(doc_ids), len(ids), len(symbols), len(rules), vocabulary, before, bits)
     keys = np.array([0 if x is None else x for x in doc_ids], "<i8")
     nulls = np.array([x is None for x in doc_ids], "u1")
-    return b"".join([MAGIC, head, rules.astype("<u2").tobytes(), lengths.astype("<u4").tobytes(), keys.tobytes(), nulls.tobytes(), offsets.astype("<u4").tobytes(), np.array(counts, "<u4").tobytes(), symbols.astype("<u2").tobytes()])
+    return b"".join([MAGIC, head, packed(rules.ravel(), bits), expansion_lengths(rules, vocabulary).astype("<u4").tobytes(), keys.tobytes(), nulls.tobytes(), offsets.astype("<u4").tobytes(), np.array(counts, "<u4").tobytes(), packed(symbols, bits)])
 
 
 @dataclass
@@ -149,27 +199,34 @@ class Shard:
     def __post_init__(self) -> None:
         if self.data[: len(MAGIC)] != MAGIC:
             raise ValueError("not a shard file")
-        self.docs, self.n_ids, self.n_symbols, n_rules, self.vocabulary, self.before = struct.unpack_from("<6q", self.data, len(MAGIC))
-        at = len(MAGIC) + 48
+        self.docs, self.n_ids, self.n_symbols, n_rules, self.vocabulary, self.before, self.bits = struct.unpack_from("<7q", self.data, len(MAGIC))
+        at = len(MAGIC) + 56
+        self.rules = unpacked(self.data, at, 2 * n_rules, self.bits).reshape(-1, 2)
+        at += packed_size(2 * n_rules, self.bits)
         parts = []
-        for kind, n in (("<u2", 2 * n_rules), ("<u4", n_rules), ("<i8", self.docs), ("u1", self.docs), ("<u4", self.docs + 1), ("<u4", self.docs), ("<u2", self.n_symbols)):
+        for kind, n in (("<u4", n_rules), ("<i8", self.docs), ("u1", self.docs), ("<u4", self.docs + 1), ("<u4", self.docs)):
             parts.append(np.frombuffer(self.data, kind, n, at))
             at += parts[-1].nbytes
-        if at != len(self.data):
+        self._symbols_at = at
+        if at + packed_size(self.n_symbols, self.bits) != len(self.data):
             raise ValueError("a shard file of a wrong length")
-        rules, self.lengths, self.keys, self.nulls, self.offsets, self.counts, self.symbols = parts
-        self.rules = rules.reshape(-1, 2).astype(np.int64)
+        lengths, self.keys, self.nulls, self.offsets, self.counts = parts
+        self.lengths = lengths.astype(np.int64)
+
+    def symbols(self, first: int = 0, last: int | None = None) -> np.ndarray:
+        return unpacked(self.data, self._symbols_at, self.n_symbols, self.bits, first, last)
+
+    def slice(self, k: int, first: int = 0, last: int | None = None) -> tuple[np.ndarray, int]:
+        """(ids first to last of the shard's document k, symbols that were looked into)."""
+        own = self.symbols(int(self.offsets[k]), int(self.offsets[k + 1]))
+        return expand(own, self.rules, self.lengths, self.vocabulary, first, last)
 
     def ids(self, k: int) -> np.ndarray:
         """Ids of the shard's document k alone."""
-        return expand(self.symbols[self.offsets[k] : self.offsets[k + 1]], self.rules, self.vocabulary, self.known)
+        return self.slice(k)[0]
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.vocabulary, self.known)
-
-    @functools.cached_property
-    def known(self) -> tuple[np.ndarray, np.ndarray]:
-        return expansions(self.rules, self.vocabulary)
+        return expand(self.symbols(), self.rules, self.lengths, self.vocabulary)[0]
 
 
 FILES = "name string, bytes long, sha256 string, part long, before long, n_ids long, n_docs long"
