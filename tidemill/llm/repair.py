@@ -40,7 +40,7 @@ END = 2
 SHARD_IDS = 2_000_000
 #: Pairs that a round replaces at most (the next one takes the others), and the least count of a pair: a rule costs as much
 #: as four symbols.
-RULES_A_ROUND, LEAST = 8192, 8
+RULES_A_ROUND, LEAST = 4096, 8
 _BUCKET_BITS = 18
 
 
@@ -69,24 +69,27 @@ def _apart(at: np.ndarray, score: np.ndarray) -> np.ndarray:
 def compress(ids: np.ndarray, starts: np.ndarray, vocabulary: int, a_round: int = RULES_A_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, starts of documents in them, rules): rule r is nonterminal vocabulary + r and stands for two symbols.
 
-    ids and starts (of documents in ids) as arrays. Ends when no pair is seen least times apart. Rules that make all symbols
-    a bit wider may cost more than they save: what is returned is the round after which symbols and rules took least bytes.
+    ids and starts (of documents in ids) as arrays. Ends when no pair is seen least times apart, or when a round has made
+    symbols and rules take more bytes than before, since all symbols became a bit wider: that round is taken back.
     """
-    symbols = ids.astype(np.int64)
+    symbols = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     n_rules = 0
     best_bytes, best_of = 2 * len(symbols), (symbols.copy(), starts, 0)
     while len(symbols) > 1:
-        keys = symbols[:-1] << 32 | symbols[1:]
-        buckets = ((symbols[:-1] * 0x9E3779B1 ^ symbols[1:] * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - _BUCKET_BITS)
-        within = np.ones(len(keys), bool)
-        inner = starts[(starts > 0) & (starts <= len(keys))]
-        within[inner - 1] = False
-        counts = np.bincount(buckets[within], minlength=1 << _BUCKET_BITS)
+        n = len(symbols) - 1
+        # products wrap around
+        buckets = (symbols[:-1] * np.uint32(0x9E3779B1) ^ symbols[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _BUCKET_BITS)
+        inner = starts[(starts > 0) & (starts <= n)] - 1
+        buckets[inner] = 1 << _BUCKET_BITS  # pairs over two documents are nobody's
+        counts = np.bincount(buckets, minlength=(1 << _BUCKET_BITS) + 1)
+        counts[-1] = 0
         # a bucket counts at least as much as each of its pairs: exact counts are needed in the fullest buckets only
         bar = max(least, int(np.partition(counts, -a_round)[-a_round]))
-        at = np.flatnonzero((counts >= bar)[buckets] & within)
-        pairs, which, exact = np.unique(keys[at], return_inverse=True, return_counts=True)
+        at = np.flatnonzero((counts >= bar)[buckets])
+        keys = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
+        pairs, which, exact = np.unique(keys, return_inverse=True, return_counts=True)
+        pairs = pairs.astype(np.int64)
         # a round ends where symbols would become wider
         room = (1 << width(vocabulary + n_rules)) - vocabulary - n_rules
         best = np.argsort(-exact, kind="stable")[: min(a_round, room or a_round)]
@@ -112,10 +115,11 @@ def compress(ids: np.ndarray, starts: np.ndarray, vocabulary: int, a_round: int
         n_rules += len(chosen)
         bits = width(vocabulary + n_rules)
         size = packed_size(len(symbols), bits) + packed_size(2 * n_rules, bits) + 4 * n_rules
-        if size < best_bytes:
-            best_bytes, best_of = size, (symbols.copy(), starts, n_rules)
+        if size >= best_bytes:
+            break
+        best_bytes, best_of = size, (symbols.copy(), starts, n_rules)
     symbols, starts, n_rules = best_of
-    return symbols, starts, np.concatenate(rules)[:n_rules] if n_rules else np.zeros((0, 2), np.int64)
+    return symbols.astype(np.int64), starts, np.concatenate(rules)[:n_rules] if n_rules else np.zeros((0, 2), np.int64)
 
 
 def width(symbols: int) -> int:
@@ -141,12 +145,15 @@ def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, vocabula
     s = symbols.astype(np.int64)
     n = size(s)
     place = np.cumsum(n) - n
-    last = int(n.sum()) if last is None else min(last, int(n.sum()))
+    total = int(n.sum())
+    last = total if last is None else min(last, total)
+    whole = first <= 0 and last == total
     out = np.empty(max(last - first, 0), np.int64)
     seen = 0
     while True:
-        touched = (place < last) & (place + n > first)
-        s, place, n = s[touched], place[touched], n[touched]
+        if not whole:
+            touched = (place < last) & (place + n > first)
+            s, place = s[touched], place[touched]
         seen += len(s)
         ends = s < vocabulary
         out[place[ends] - first] = s[ends]
@@ -155,7 +162,7 @@ def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, vocabula
             return out, seen
         left, right = rules[s - vocabulary].T
         s, place = np.concatenate([left, right]), np.concatenate([place, place + size(left)])
-        n = size(s)
+        n = None if whole else size(s)
 
 
 def packed(symbols: np.ndarray, bits: int) -> bytes:
