@@ -17,5 +17,5 @@ def test_without_the_text_operators(tmp_path):
     root = Path(__file__).resolve().parents[1]
     shutil.copytree(root / "tidemill", tmp_path / "tidemill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) == len(e.oracle_sql()) == 24, len(q)"
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) == len(e.oracle_sql()) == 30, len(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
