@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -131,3 +132,24 @@ def test_scores_by_hand():
             assert not spans, text
         elif best > model.threshold + 0.2 and end - start > secrets.LEAST:
             assert (start + (text[start] in "+/_=-"), 3, end) in spans, text
+
+
+def test_words_of_all_texts_are_learnt(spark, monkeypatch):
+    """A word in 3 of 6,000 texts is learnt like one in all; copies count once, joined in either way; contexts are those of all words."""
+    rng = random.Random(23)
+    rare = ["".join(rng.choices("aeioulnrst", k=9)) for _ in range(400)]
+    texts = [f"text {i} has {rare[i % 2000]} and 1{'z' * 30}x" if i % 2000 < 400 else f"text {i} of more" for i in range(6000)]
+    texts += [texts[5]] * 40 + ["onlyhere word"] * 30 + [None, ""] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = Counter(w for t in set(texts) - {None} for w in set(re.findall("[A-Za-z]{2,}", t)))
+    want = {w: n for w, n in want.items() if n >= 3}
+    assert set(rare) < set(want) and want["z" * 30 + "x"] == 1200
+    for ids, many in ((secrets.BROADCAST_IDS, secrets.MANY_COPIES), (0, 20)):
+        monkeypatch.setattr(secrets, "BROADCAST_IDS", ids)
+        monkeypatch.setattr(secrets, "MANY_COPIES", many)
+        assert {r.word: r.n for r in secrets.ordinary_words(docs).collect()} == want
+    labelled = secrets.MarkovRatio.labelled()
+    forms = [f for w, n in want.items() if labelled.score(w) <= secrets.LEARNT_NATS for f in [w, w.upper(), w.capitalize()] * n.bit_length() + [secrets._identifier(w)]]
+    for got, by_hand in zip(secrets.learnt(secrets.ordinary_words(docs), labelled), secrets._counted(forms, labelled.place), strict=True):
+        assert (got == by_hand).all()
+    assert secrets.ordinary_words(docs.limit(0)).count() == 0

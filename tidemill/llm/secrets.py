@@ -11,10 +11,11 @@ likely a number as a key and are left.
 
 The labelled samples are random strings from a seeded generator, and as ordinary ones identifiers composed of common words,
 and the words of public vocabularies, whose paths are a parameter. The model of these alone is `MarkovRatio.labelled`; it is
-the same for every table. `MarkovRatio.of` adds ordinary words of the corpus at hand: of ORDINARY_ROWS rows, chosen by hash,
-the words of letters that three or more different texts share, but none that the labelled model holds for random by more than
-LEARNT_NATS: a key that many texts repeat isn't learnt. `store` and `load` keep a model for other tables. Any other labelled
-(text, is_secret) pairs may be used.
+the same for every table. `MarkovRatio.of` adds the ordinary words of the whole corpus at hand: all words of letters that three
+or more different texts share, but none that the labelled model holds for random by more than LEARNT_NATS: a key that many
+texts repeat isn't learnt. Spark counts the words in all rows and the characters of all those words; what comes to the driver
+is a number for each context, which the alphabet bounds and not the corpus. `store` and `load` keep a model for other tables.
+Any other labelled (text, is_secret) pairs may be used.
 
 Spans are code points, end exclusive. The model adds spans in what the patterns leave of a run; spans of patterns stay.
 Nulls: a null text is empty and has no spans; a null doc_id stays null. Repeated rows are scanned like any other, each by
@@ -32,6 +33,7 @@ import io
 import random
 import re
 import string
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
@@ -42,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import map_arrow, put, texts
+from .shared import BROADCAST_IDS, discard, map_arrow, put, stash, texts
 
 # The patterns of the three kinds.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -55,8 +57,12 @@ LEAST = 8
 NATS = 20.0
 #: What a token must add to the total, to be part of a secret.
 TOKEN_NATS = 3.0
-#: Rows whose ordinary words are learnt, texts that must share a word, and words learnt at most.
-ORDINARY_ROWS, SHARED, ORDINARY_WORDS = 2000, 3, 50_000
+#: Different texts that must share a word, for it to be learnt.
+SHARED = 3
+#: Copies from which a text is broadcast where texts with copies are too many for it, so that no task gets all its rows.
+MANY_COPIES = 4096
+#: Rows of an Arrow batch of words.
+WORD_ROWS = 20_000
 #: A shared word that the labelled model scores higher than this isn't learnt: it is a repeated key rather than a word.
 LEARNT_NATS = 26.0
 #: Vocabularies of public tokenizers (a token and its rank in a line), whose words are labelled ordinary.
@@ -117,24 +123,77 @@ def vocabulary_words(paths: Iterable[str]) -> list[str]:
     return sorted(found)
 
 
-def ordinary_words(docs: DataFrame, labelled: MarkovRatio | None = None) -> list[str]:
-    """Words of letters that SHARED or more different texts of ORDINARY_ROWS rows have in common, as often as counts (by powers of two).
+def ordinary_words(docs: DataFrame) -> DataFrame:
+    """(word, n): every word of letters that SHARED or more different texts of docs have in common, and the number of these texts.
+
+    Copies of a text count as one: each counts for its share of them.
+    """
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    copies = stash(rows.groupBy("hash").agg(F.count("*").alias("copies")).where("copies > 1"))
+    n = F.lit(1)
+    if copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        parts = [F.broadcast(copies)]
+    else:
+        parts = [F.broadcast(copies.where(F.col("copies") >= MANY_COPIES)), copies.where(F.col("copies") < MANY_COPIES).hint("merge")]
+    for i, part in enumerate(parts):
+        rows = rows.join(part.withColumnRenamed("copies", f"copies{i}"), "hash", "left")
+        n = F.coalesce(F.col(f"copies{i}"), n)
+    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z]{2,})"), F.lit(1)))).alias("word"), (1 / n).alias("share"))
+    out = stash(words.groupBy("word").agg(F.round(F.sum("share")).cast("long").alias("n")).where(F.col("n") >= SHARED))
+    discard(copies)
+    return out
+
+
+def _identifier(word: str) -> str:
+    """An identifier of the word and one of WORDS; the same for the same word."""
+    h = zlib.crc32(word.encode())
+    some, style = [word, WORDS[h // 8 % len(WORDS)], word], h % 8
+    if style in (1, 5):
+        some = [w.capitalize() for w in some]
+    elif style == 2:
+        some = [w.upper() for w in some]
+    elif style == 0:
+        some[1:] = [w.capitalize() for w in some[1:]]
+    return ("" if style in (0, 1, 3) else "_" if style in (2, 4) else "-" if style in (5, 6) else "/").join(some)
+
+
+def learnt(words: DataFrame, labelled: MarkovRatio) -> Counts:
+    """The contexts in all words (word, n), alone in every case as often as n counts (by powers of two), and once in an identifier.
 
     Those that the labelled model scores above LEARNT_NATS stay out.
     """
-    text = F.coalesce("text", F.lit(""))
-    n, fine = max(docs.count(), 1), 10**15
-    some = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(fine)) < F.lit(min(fine, fine * ORDINARY_ROWS // n))).distinct()
-    words = some.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z]{2,24})"), F.lit(1)))).alias("word"))
-    rows = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).orderBy(F.desc("n"), "word").limit(ORDINARY_WORDS).collect()
-    known = [r for r in rows if labelled is None or labelled.score(r.word) <= LEARNT_NATS]
-    return [r.word for r in known for _ in range(min(8, r.n.bit_length()))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_CELLS + _CASES, np.int64)
+        for batch in batches:
+            some: dict[int, list[str]] = {1: []}
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if labelled.score(word) <= LEARNT_NATS:
+                    some.setdefault(n.bit_length(), []).extend((word, word.upper(), word.capitalize()))
+                    some[1].append(_identifier(word))
+            for times, forms in some.items():
+                if forms:
+                    total += times * np.concatenate(_counted(forms, labelled.place))
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["cell", "n"])
+
+    found = map_arrow(words, run, "cell long, n long", WORD_ROWS).groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(_CELLS + _CASES, np.int64)
+    total[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    return total[:_CELLS], total[_CELLS:]
 
 
 # Codes of characters without their case, one more for what lies outside, and whether a character is a lower or upper letter or neither.
 _PLAIN = sorted({c.lower() for c in ALPHABET})
 _FOLD = np.array([0, *(_PLAIN.index(c.lower()) + 1 for c in ALPHABET)], np.int32)
 _CASE = np.array([0, *(1 if c.islower() else 2 if c.isupper() else 3 for c in ALPHABET)], np.int32)
+#: A place in these for each Latin-1 character.
+_PLACE = np.zeros(256, np.int32)
+_PLACE[[ord(c) for c in ALPHABET]] = np.arange(1, len(ALPHABET) + 1)
+#: Four characters without their case, and three cases, as one number each.
+_CELLS, _CASES = (len(_PLAIN) + 1) ** 4, 64
+#: How often each of these was seen.
+Counts = tuple[np.ndarray, np.ndarray]
 
 
 @dataclass
@@ -152,44 +211,49 @@ class MarkovRatio:
     @staticmethod
     def train(labelled: Iterable[tuple[str, bool]], lean: float = 4.0) -> MarkovRatio:
         """Counts of a context are joined by those of the next shorter one, as if it had been seen lean times more."""
-        place = np.zeros(256, np.int32)
-        for i, c in enumerate(ALPHABET):
-            place[ord(c)] = i + 1
-        k = len(_PLAIN) + 1
         parts: dict[bool, list[str]] = {True: [], False: []}
         for text, secret in labelled:
             parts[bool(secret)].append(text)
+        return MarkovRatio.fitted({secret: _counted(some, _PLACE) for secret, some in parts.items()}, lean)
+
+    @staticmethod
+    def fitted(counts: dict[bool, Counts], lean: float = 4.0) -> MarkovRatio:
+        """From the counts in random (True) and ordinary strings."""
+        k = len(_PLAIN) + 1
         logs, cases = {}, {}
-        for secret, some in parts.items():
-            p = _codes("\n".join(["", *some]), place)
-            n = np.bincount(_contexts(_FOLD[p], 3, k) * k + _FOLD[p], minlength=k**4).reshape(k, k, k, k).astype(np.float32)
-            n[..., 0] = 0
-            counts = [n]
-            while counts[-1].ndim > 1:
-                counts.append(counts[-1].sum(axis=0))
-            chance = (counts[-1] + 1) / (counts[-1].sum() + k)
-            for c in counts[-2::-1]:
+        for secret, (n, m) in counts.items():
+            some = [n.reshape(k, k, k, k).astype(np.float32)]
+            while some[-1].ndim > 1:
+                some.append(some[-1].sum(axis=0))
+            chance = (some[-1] + 1) / (some[-1].sum() + k)
+            for c in some[-2::-1]:
                 chance = (c + lean * chance) / (c.sum(axis=-1, keepdims=True) + lean)
             logs[secret] = np.log(chance)
-            m = np.bincount(_contexts(_CASE[p], 2, 4) * 4 + _CASE[p], minlength=64).reshape(16, 4).astype(float)[:, 1:3]
+            m = m.reshape(16, 4).astype(float)[:, 1:3]
             cases[secret] = np.log((m + 1) / (m.sum(axis=1, keepdims=True) + 2))
         ratio = logs[True] - logs[False]
         ratio[..., 0] = 0
         case = np.zeros((16, 4), np.float32)
         case[:, 1:3] = cases[True] - cases[False]
-        return MarkovRatio(place, ratio.astype(np.float16).ravel(), case.ravel())
+        return MarkovRatio(_PLACE, ratio.astype(np.float16).ravel(), case.ravel())
 
     @staticmethod
     def labelled(words: Iterable[str] = (), vocabularies: Iterable[str] | None = None) -> MarkovRatio:
         """Trained from `samples`, the words of vocabularies and such other words, alone and in identifiers."""
-        paths = tuple(map(public_tokenizers.path, VOCABULARIES) if vocabularies is None else vocabularies)
         words = list(words)
-        return _labelled(paths) if not words else _trained(paths, words)
+        return _labelled(_paths(vocabularies)) if not words else MarkovRatio.train(_training(_paths(vocabularies), words))
 
     @staticmethod
     def of(docs: DataFrame, vocabularies: Iterable[str] | None = None) -> MarkovRatio:
-        """`labelled`, with the corpus's ordinary words."""
-        return MarkovRatio.labelled(ordinary_words(docs, MarkovRatio.labelled(vocabularies=vocabularies)), vocabularies)
+        """`labelled`, with the ordinary words of all of docs."""
+        paths = _paths(vocabularies)
+        words = ordinary_words(docs)
+        more = learnt(words, _labelled(paths))
+        discard(words)
+        counts = {secret: _dense(*some) for secret, some in _labelled_counts(paths).items()}
+        for some, n in zip(counts[False], more, strict=True):
+            some += n
+        return MarkovRatio.fitted(counts)
 
     def store(self, folder: str, name: str = "secrets.npz") -> None:
         """Keep the model in a folder of the shared store; `load` reads it."""
@@ -216,16 +280,55 @@ class MarkovRatio:
         return len(run) >= LEAST and self.score(run) >= self.threshold
 
 
-def _trained(paths: tuple[str, ...], words: list[str]) -> MarkovRatio:
+def _paths(vocabularies: Iterable[str] | None) -> tuple[str, ...]:
+    return tuple(map(public_tokenizers.path, VOCABULARIES) if vocabularies is None else vocabularies)
+
+
+def _training(paths: tuple[str, ...], words: list[str]) -> Iterator[tuple[str, bool]]:
     known = vocabulary_words(paths)
-    alone = [(w, False) for x in [*known, *words, *WORDS * 8] for w in (x, x.upper(), x.capitalize())]
-    joined = [x for some in (known, words) if some for x in samples(seed=8, words=some) if not x[1]]
-    return MarkovRatio.train([*samples(36_000), *joined, *alone])
+    yield from samples(36_000)
+    for some in (known, words):
+        if some:
+            yield from (x for x in samples(seed=8, words=some) if not x[1])
+    for x in (*known, *words, *WORDS * 8):
+        yield from ((w, False) for w in (x, x.upper(), x.capitalize()))
+
+
+@functools.cache
+def _labelled_counts(paths: tuple[str, ...]) -> dict[bool, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of random and ordinary labelled strings: the contexts seen, how often, and cases; the same for every table, so kept."""
+    parts: dict[bool, list[str]] = {True: [], False: []}
+    for text, secret in _training(paths, []):
+        parts[secret].append(text)
+    out = {}
+    for secret, some in parts.items():
+        n, cases = _counted(some, _PLACE)
+        at = np.flatnonzero(n)
+        out[secret] = at, n[at], cases
+    return out
+
+
+def _dense(at: np.ndarray, n: np.ndarray, cases: np.ndarray) -> Counts:
+    out = np.zeros(_CELLS, np.int64)
+    out[at] = n
+    return out, cases.copy()
 
 
 @functools.cache
 def _labelled(paths: tuple[str, ...]) -> MarkovRatio:
-    return _trained(paths, [])
+    return MarkovRatio.fitted({secret: _dense(*some) for secret, some in _labelled_counts(paths).items()})
+
+
+def _counted(some: list[str], place: np.ndarray) -> Counts:
+    """How often each character follows each three others in the strings, and each letter's case each two."""
+    k = len(_PLAIN) + 1
+    p = _codes("\n".join(["", *some]), place)
+    f, c = _FOLD[p], _CASE[p]
+    n = np.bincount(_contexts(f, 3, k) * k + f, minlength=_CELLS)
+    n.reshape(-1, k)[:, 0] = 0
+    cases = np.bincount(_contexts(c, 2, 4) * 4 + c, minlength=_CASES)
+    cases[::4] = 0
+    return n, cases
 
 
 def _codes(text: str, place: np.ndarray) -> np.ndarray:
