@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import packing, quality, secrets, similar
-from tidemill.llm.shared import stash, table
+from tidemill.llm import packing, quality, secrets, simhash, similar
+from tidemill.llm.shared import discard, stash, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,15 +15,26 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
 
 
+def fingerprint_links(docs: DataFrame, key: str) -> DataFrame:
+    """(a, b): the rows that the SimHash operator puts into one component, each with the component's smallest key."""
+    near = simhash.near_duplicates(docs, key)
+    return stash(near.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("a"), F.col("component_id").alias("b")))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, a similarity of 0.8 or more) the row with the smallest doc_id.
+    """Of each group of near-duplicates the row with the smallest doc_id.
+
+    Texts are near-duplicates by the SimHash operator (three or fewer differing bits, met at covering anchors); texts of a
+    five-word similarity of 0.8 or more whose fingerprints lie further apart are linked as well. Groups are what both reach.
 
     Where doc_ids repeat or are null, rows are told apart by a number of their own: rows without an id come after those
     with one, of rows with equal ids the one whose text has the smallest hash stays, of identical rows one stays.
     """
     ids = docs.groupBy(F.col("doc_id").alias("k")).count().where("count > 1 or k is null")
     if ids.isEmpty():
-        kept = stash(similar.representatives(docs))
+        links = fingerprint_links(docs, "doc_id")
+        kept = stash(similar.representatives(docs, links=links))
+        discard(links)
         # the ids that stay grow with the documents, so they are never broadcast; one plan at every size
         return docs.join(kept.hint("merge"), docs["doc_id"] == kept["doc_id"], "left_semi")
     row = "row"
@@ -31,10 +42,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         row += "_"
     # written once, so that the numbers stay what they are
     rows = stash(docs.withColumn(row, F.monotonically_increasing_id()))
-    near = similar.near_copies(rows, row).select(F.col(row).alias("n"), "component_id")
+    links = fingerprint_links(rows, row)
+    near = similar.near_copies(rows, row, links).select(F.col(row).alias("n"), "component_id")
     keys = rows.select(F.col(row).alias("r"), F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("k"), F.xxhash64("text").alias("tie"))
     first = keys.join(near, F.col("r") == F.col("n")).groupBy("component_id").agg(F.min(F.struct("last", "k", "tie", "r")).alias("m"))
     kept = stash(first.select("m.r"))
+    discard(links)
     return rows.join(kept.hint("merge"), rows[row] == kept["r"], "left_semi").drop(row)
 
 

@@ -700,6 +700,28 @@ def test_pipeline(spark, odd):
     assert packed.count() > 0
 
 
+def test_pipeline_links_by_fingerprints(spark):
+    """Texts whose fingerprints link are near-duplicates though their five-word similarity is under 0.8; what either method links is linked."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    rows = _near_threshold(9, 6)
+    while len(rows) < 36:
+        passage = [word() for _ in range(40)] * 25
+        texts = [" ".join([*passage, *(word() for _ in range(25))]) for _ in range(2)]
+        if int(np.bitwise_xor(*simhash.fingerprints(texts))).bit_count() <= 3:
+            rows += [(len(rows) + i, t) for i, t in enumerate((*texts, texts[1].upper()))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    apart = _similar(rows)
+    near = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    want = {i: min(near[i], apart[i]) for i, _ in rows}
+    assert len(set(want.values())) < len(set(apart.values())) and len(set(want.values())) < len(set(near.values()))
+    for some in (docs, docs.union(docs.limit(5))):
+        assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, some, SF).collect()} == set(want.values())
+    same(similar.near_copies(docs, links=corpus_pipeline.fingerprint_links(docs, "doc_id")).collect(), want.items())
+    none = corpus_pipeline.drop_near_copies(spark, docs.limit(0), SF)
+    assert none.count() == 0
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     for out in (secrets.scan(none), packing.pack(none, queries.WORD_BPE), quality.judge(none), pieces.encode(none, queries.PIECE_BPE), simhash.near_duplicates(none), wordpiece.count_tokens(none, queries.PIECE_BPE)):

@@ -13,6 +13,8 @@ Candidates come from a prefix filter, links from an exact check. No pair at 0.8
   that the texts don't share, which at 0.8 are at most a ninth of both numbers together. A text has about as many bits as
   shingles, 1,024 at least; of unequal sketches the longer is folded, which leaves it a sketch of the same shingles.
 * Candidates are held against the exact similarity of their shingle sets. What passes links texts into components.
+* Links of another method can be given: they join what they link from the start, and the second round looks for what is
+  still apart. The components are then those of both.
 
 Pairs of a group are not all emitted: a large group of close copies gives a few pairs for each text. Copies (equal words,
 letters' case aside) are one node from the start.
@@ -336,14 +338,19 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
-def _classes(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(key, digest) of all rows, (digest, node) of every distinct text with its smallest key as node, and (node, root) of linked nodes."""
+def _classes(docs: DataFrame, key: str, links: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(key, digest) of all rows, (digest, node) of every distinct text with its smallest key as node, and (node, root) of linked nodes.
+
+    links are between keys of any rows; those of rows that are nobody's node count for their texts' nodes.
+    """
     marked = stash(_marked(docs, key))
     nodes = stash(marked.groupBy("digest").agg(F.min("key").alias("node"), *(F.first(c).alias(c) for c in ("size", "far", "wide", "prefix"))))
     rows, texts_ = stash(marked.select("key", "digest")), stash(nodes.select("digest", "node"))
     discard(marked)
     pairs, places = first_round(nodes)
     linked = verified(pairs, shingled(pairs, docs, key))
+    if links is not None:
+        linked = linked.union(_between_nodes(links, rows, texts_))
     roots = components(linked)
     # what the first round refused isn't checked again
     met = second_round(places, nodes, roots)
@@ -354,15 +361,26 @@ def _classes(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame
     return rows, texts_, roots
 
 
-def near_copies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, component_id: the smallest key that links reach) for every row."""
-    rows, nodes, roots = _classes(docs, key)
+def _between_nodes(links: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """links (a, b) of keys of rows (key, digest) as links of nodes (digest, node); those within one node go."""
+    of = stash(meet(rows, nodes, "digest", "key").select("key", "node"))
+    one = links.join(of.select(F.col("key").alias("a"), F.col("node").alias("x")).hint("merge"), "a")
+    # an end of many links is looked up once for each salt of them
+    both = meet(one, of.select(F.col("key").alias("b"), F.col("node").alias("y")), "b", "a")
+    out = stash(both.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    discard(of)
+    return out
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", links: DataFrame | None = None) -> DataFrame:
+    """(key, component_id: the smallest key that links reach) for every row; links (a, b) between keys count beside those found."""
+    rows, nodes, roots = _classes(docs, key, links)
     of = nodes.join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     return meet(rows, of, "digest", "key").select(F.col("key").alias(key), "component_id")
 
 
-def representatives(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The smallest key of each component, as column key; rows needn't meet their groups for it."""
-    _, nodes, roots = _classes(docs, key)
+def representatives(docs: DataFrame, key: str = "doc_id", links: DataFrame | None = None) -> DataFrame:
+    """The smallest key of each component, as column key; rows needn't meet their groups for it. links as for `near_copies`."""
+    _, nodes, roots = _classes(docs, key, links)
     others = roots.where("node <> root").select(F.col("node").alias("r"))
     return nodes.join(others.hint("merge"), F.col("node") == F.col("r"), "left_anti").select(F.col("node").alias(key))
