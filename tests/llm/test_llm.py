@@ -722,6 +722,17 @@ def test_pipeline_links_by_fingerprints(spark):
     assert none.count() == 0
 
 
+def test_pairs_are_grouped_as_by_sorting():
+    rng = np.random.default_rng(4)
+    for n, values, buckets, least in ((0, 5, 4, 2), (1, 1, 1, 1), (500, 3, 2, 8), (4000, 600, 16, 8), (4000, 3000, 7, 2), (4000, 4, 64, 1)):
+        keys = rng.integers(0, values, n).astype(np.uint64) ** np.uint64(2)
+        found, which, counts = repair._grouped(keys, (keys % np.uint64(buckets)).astype(np.intp), buckets, least)
+        want = [(k, c) for k, c in sorted(Counter(keys.tolist()).items()) if c >= least]
+        assert list(zip(found.tolist(), counts.tolist(), strict=True)) == want
+        place = {k: i for i, (k, _) in enumerate(want)}
+        assert which.tolist() == [place.get(k, -1) for k in keys.tolist()]
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     for out in (secrets.scan(none), packing.pack(none, queries.WORD_BPE), quality.judge(none), pieces.encode(none, queries.PIECE_BPE), simhash.near_duplicates(none), wordpiece.count_tokens(none, queries.PIECE_BPE)):

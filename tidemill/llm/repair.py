@@ -66,6 +66,33 @@ def _apart(at: np.ndarray, score: np.ndarray) -> np.ndarray:
     return taken
 
 
+def _grouped(keys: np.ndarray, buckets: np.ndarray, n: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys seen least times, ascending, the place of each key in them or -1, their counts); equal keys have equal buckets below n.
+
+    A bucket's last key is told apart without sorting; in full buckets that is mostly the frequent one. Of the others those
+    are sorted that can be seen least times.
+    """
+    last = np.zeros(n, np.uint64)
+    last[buckets] = keys
+    same = last[buckets] == keys
+    counts = np.bincount(buckets[same], minlength=n)
+    full = np.flatnonzero(counts >= least)
+    rest = np.flatnonzero(~same)
+    rest = rest[(np.bincount(buckets[rest], minlength=n) >= least)[buckets[rest]]]
+    others, of, more = np.unique(keys[rest], return_inverse=True, return_counts=True)
+    some = more >= least
+    found = np.concatenate([last[full], others[some]])
+    order = np.argsort(found)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    by_bucket, by_other = np.full(n, -1), np.full(len(others), -1)
+    by_bucket[full] = place[: len(full)]
+    by_other[some] = place[len(full) :]
+    which = np.where(same, by_bucket[buckets], -1)
+    which[rest] = by_other[of]
+    return found[order].astype(np.int64), which, np.concatenate([counts[full], more[some]])[order]
+
+
 def compress(ids: np.ndarray, starts: np.ndarray, vocabulary: int, a_round: int = RULES_A_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, starts of documents in them, rules): rule r is nonterminal vocabulary + r and stands for two symbols.
 
@@ -79,7 +106,8 @@ def compress(ids: np.ndarray, starts: np.ndarray, vocabulary: int, a_round: int
     while len(symbols) > 1:
         n = len(symbols) - 1
         # products wrap around
-        buckets = (symbols[:-1] * np.uint32(0x9E3779B1) ^ symbols[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _BUCKET_BITS)
+        buckets = symbols[:-1] * np.uint32(0x9E3779B1) ^ symbols[1:] * np.uint32(0x85EBCA6B)
+        buckets = (buckets >> np.uint32(32 - _BUCKET_BITS)).astype(np.intp)  # once, for all that index by them
         inner = starts[(starts > 0) & (starts <= n)] - 1
         buckets[inner] = 1 << _BUCKET_BITS  # pairs over two documents are nobody's
         counts = np.bincount(buckets, minlength=(1 << _BUCKET_BITS) + 1)
@@ -88,13 +116,11 @@ def compress(ids: np.ndarray, starts: np.ndarray, vocabulary: int, a_round: int
         bar = max(least, int(np.partition(counts, -a_round)[-a_round]))
         at = np.flatnonzero((counts >= bar)[buckets])
         keys = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
-        pairs, which, exact = np.unique(keys, return_inverse=True, return_counts=True)
-        pairs = pairs.astype(np.int64)
+        pairs, which, exact = _grouped(keys, buckets[at], 1 << _BUCKET_BITS, least)
         # a round ends where symbols would become wider
         room = (1 << width(vocabulary + n_rules)) - vocabulary - n_rules
         best = np.argsort(-exact, kind="stable")[: min(a_round, room or a_round)]
-        best = best[exact[best] >= least]
-        place = np.full(len(pairs), -1)
+        place = np.full(len(pairs) + 1, -1)  # the last one stands for pairs that are too rare
         place[best] = np.arange(len(best))
         which = place[which]
         at, which = at[which >= 0], which[which >= 0]
@@ -108,8 +134,7 @@ def compress(ids: np.ndarray, starts: np.ndarray, vocabulary: int, a_round: int
         symbols[at] = vocabulary + n_rules + which
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
-        before = np.concatenate([[0], np.cumsum(keep)])
-        symbols, starts = symbols[keep], before[starts]
+        symbols, starts = symbols[keep], starts - np.searchsorted(at + 1, starts)
         chosen = pairs[best[pays]]
         rules.append(np.stack([chosen >> 32, chosen & 0xFFFFFFFF], axis=1))
         n_rules += len(chosen)

@@ -65,7 +65,7 @@ class WordIds:
                 self.cache[w] = array("H", e.ids).tobytes()
 
     def ids(self, text: str) -> bytes:
-        if _FOREIGN.search(text) or (self.special and "<|" in text and self.special.search(text)):
+        if not text.isascii() and _FOREIGN.search(text) or (self.special and "<|" in text and self.special.search(text)):
             return self.whole(text)
         words = self.split(text.lower() if self.kind == "word_bpe" else text)
         cache = self.cache
