@@ -97,12 +97,13 @@ def compress(ids: np.ndarray, starts: np.ndarray, vocabulary: int, a_round: int
     """(symbols, starts of documents in them, rules): rule r is nonterminal vocabulary + r and stands for two symbols.
 
     ids and starts (of documents in ids) as arrays. Ends when no pair is seen least times apart, or when a round has made
-    symbols and rules take more bytes than before, since all symbols became a bit wider: that round is taken back.
+    symbols and rules take more bytes than before, since all symbols became a bit wider: that round is taken back, or left out
+    where the buckets' counts already say so.
     """
     symbols = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     n_rules = 0
-    best_bytes, best_of = 2 * len(symbols), (symbols.copy(), starts, 0)
+    best_bytes, best_of = 2 * len(symbols), (symbols, starts, 0)
     while len(symbols) > 1:
         n = len(symbols) - 1
         # products wrap around
@@ -113,7 +114,11 @@ def compress(ids: np.ndarray, starts: np.ndarray, vocabulary: int, a_round: int
         counts = np.bincount(buckets, minlength=(1 << _BUCKET_BITS) + 1)
         counts[-1] = 0
         # a bucket counts at least as much as each of its pairs: exact counts are needed in the fullest buckets only
-        bar = max(least, int(np.partition(counts, -a_round)[-a_round]))
+        fullest = np.partition(counts, -a_round)[-a_round:]
+        bar = max(least, int(fullest[0]))
+        bits = width(vocabulary + n_rules + 1)
+        if n_rules and bits > width(vocabulary + n_rules) and _least_bytes(len(symbols), n_rules, bits, fullest) >= best_bytes:
+            break
         at = np.flatnonzero((counts >= bar)[buckets])
         keys = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
         pairs, which, exact = _grouped(keys, buckets[at], 1 << _BUCKET_BITS, least)
@@ -131,10 +136,10 @@ def compress(ids: np.ndarray, starts: np.ndarray, vocabulary: int, a_round: int
         if not pays.any():
             break
         at, which = at[pays[which]], (np.cumsum(pays) - 1)[which[pays[which]]]
-        symbols[at] = vocabulary + n_rules + which
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         symbols, starts = symbols[keep], starts - np.searchsorted(at + 1, starts)
+        symbols[at - np.arange(len(at))] = vocabulary + n_rules + which
         chosen = pairs[best[pays]]
         rules.append(np.stack([chosen >> 32, chosen & 0xFFFFFFFF], axis=1))
         n_rules += len(chosen)
@@ -142,11 +147,17 @@ def compress(ids: np.ndarray, starts: np.ndarray, vocabulary: int, a_round: int
         size = packed_size(len(symbols), bits) + packed_size(2 * n_rules, bits) + 4 * n_rules
         if size >= best_bytes:
             break
-        best_bytes, best_of = size, (symbols.copy(), starts, n_rules)
+        best_bytes, best_of = size, (symbols, starts, n_rules)
     symbols, starts, n_rules = best_of
     return symbols.astype(np.int64), starts, np.concatenate(rules)[:n_rules] if n_rules else np.zeros((0, 2), np.int64)
 
 
+def _least_bytes(n: int, rules: int, bits: int, fullest: np.ndarray) -> float:
+    """What n symbols and the rules take at least after a round whose pairs fill these buckets at most: each place saves a symbol."""
+    pays = np.maximum(fullest * (bits / 8) - 2 * bits / 8 - 4, 0).sum()
+    return (n + 2 * rules) * bits / 8 + 4 * rules - pays
+
+
 def width(symbols: int) -> int:
     """Bits of one of so many symbols."""
     return max(16, (symbols - 1).bit_length())

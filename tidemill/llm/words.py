@@ -3,6 +3,9 @@
 Both vocabularies first split a text into words and then encode each word alone, so a word's ids can be kept and
 looked up. The split is done here by `re` with spelled-out classes for texts whose characters all lie below U+0180
 (where those classes are complete); any other text goes to the library whole. Results equal the library's.
+
+A text for 'byte_bpe' without white space after white space, which most texts are, is split and encoded by tiktoken, with the
+same classes and merges; new words then cost no more than known ones, and nothing is kept.
 """
 
 from __future__ import annotations
@@ -24,6 +27,9 @@ _L = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ"
 _N = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _S = "\t-\r \x85\xa0"
 _TAILS = "'s|'t|'re|'ve|'m|'ll|'d"
+_BYTE_WORDS = f"{_TAILS}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+"
+#: White space after white space: only there must a split look ahead.
+_RUN = re.compile(f"[{_S}][{_S}]")
 
 #: Characters for which the classes above don't hold, or whose lower case depends on more than themselves.
 _FOREIGN = re.compile("[^\x00-įı-ſ]")
@@ -46,8 +52,8 @@ class WordIds:
         if kind == "word_bpe":
             self.split = re.compile(f"{_TAILS}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+").findall
         else:
-            self.split = re.compile(f"{_TAILS}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+").findall
-        self.piece = _piece_encoder(path, self.kind)
+            self.split = re.compile(f"{_BYTE_WORDS}|[{_S}]+(?![^{_S}])|[{_S}]+").findall
+        self.piece, self.plain = _piece_encoder(path, self.kind)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
@@ -67,6 +73,8 @@ class WordIds:
     def ids(self, text: str) -> bytes:
         if not text.isascii() and _FOREIGN.search(text) or (self.special and "<|" in text and self.special.search(text)):
             return self.whole(text)
+        if self.plain and not _RUN.search(text):
+            return np.frombuffer(self.plain(text, set()), "=u4").astype("<u2").tobytes()
         words = self.split(text.lower() if self.kind == "word_bpe" else text)
         cache = self.cache
         try:
@@ -79,8 +87,9 @@ class WordIds:
         return b"".join(map(cache.__getitem__, words))
 
 
-def _piece_encoder(path: str, kind: str) -> Callable[[str], list[int] | None] | None:
-    """Ids of one word by the same merges through tiktoken, which is faster; None for a word it can't take.
+def _piece_encoder(path: str, kind: str) -> tuple[Callable[[str], list[int] | None] | None, Callable[[str, set], bytes] | None]:
+    """Ids of one word by the same merges through tiktoken, which is faster; None for a word it can't take. For 'byte_bpe' also
+    the ids, as unsigned 32-bit numbers, of a whole text without white space after white space.
 
     tiktoken knows symbols of one byte only. For 'word_bpe' the last symbol of a word differs from the same byte within
     a word, so words of letters are recoded: one byte value for each (byte, is last) that lower-case letters below
@@ -96,12 +105,12 @@ def _piece_encoder(path: str, kind: str) -> Callable[[str], list[int] | None] |
     tokens = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
     order = [model["vocab"][t] for t in tokens]
     if order != sorted(set(order)):
-        return None
+        return None, None
     if kind == "byte_bpe":
         merged = set(tokens)
         ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in model["vocab"].items() if len(t) == 1 or t in merged}
-        single = tiktoken.Encoding("bytes", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        return lambda word: single(word.encode())
+        core = tiktoken.Encoding("bytes", pat_str=f"{_BYTE_WORDS}|[{_S}]", mergeable_ranks=ranks, special_tokens={})._core_bpe
+        return lambda word: core.encode_single_piece(word.encode()), core.encode_to_tiktoken_buffer
     end, letters, tails = "</w>", list(range(97, 123)), list(range(0x80, 0xC0))
     code = {(b, False): i for i, b in enumerate([*letters, *tails, *range(0xC2, 0xC6)])}
     code |= {(b, True): len(code) + i for i, b in enumerate([*letters, *tails])}
@@ -123,7 +132,7 @@ def _piece_encoder(path: str, kind: str) -> Callable[[str], list[int] | None] |
         b = word.encode()
         return single(b[:-1].translate(within) + last[b[-1]])
 
-    return recoded
+    return recoded, None
 
 
 @functools.cache
