@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_IDS, discard, map_arrow, put, stash, texts
+from .shared import BROADCAST_IDS, discard, give_back, map_arrow, put, stash, texts
 
 # The patterns of the three kinds.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -253,7 +253,11 @@ class MarkovRatio:
         counts = {secret: _dense(*some) for secret, some in _labelled_counts(paths).items()}
         for some, n in zip(counts[False], more, strict=True):
             some += n
-        return MarkovRatio.fitted(counts)
+        model = MarkovRatio.fitted(counts)
+        # the counts in all cells have been some ten times as large as the model
+        del counts, more, some, n
+        give_back()
+        return model
 
     def store(self, folder: str, name: str = "secrets.npz") -> None:
         """Keep the model in a folder of the shared store; `load` reads it."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import functools
 import hashlib
 import json
@@ -159,6 +160,16 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system: C libraries and Arrow keep much of it for later.
+
+    A driver that has worked on large arrays for a while otherwise stays as large until its session ends.
+    """
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):  # glibc's alone
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and whole text, null text as empty; other columns, however they are called, are left behind."""
     return df.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text))

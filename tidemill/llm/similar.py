@@ -357,7 +357,9 @@ def _classes(docs: DataFrame, key: str, links: DataFrame | None) -> tuple[DataFr
     more = stash(met.join(pairs.hint("merge"), ["a", "b"], "left_anti"))
     discard(met, places, nodes, pairs)
     if not more.isEmpty():
-        roots = components(linked.union(verified(more, shingled(more, docs, key))))
+        # from the stars on, not from all links again: rounds are saved, and the smallest nodes stay the smallest
+        stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = components(stars.union(verified(more, shingled(more, docs, key))))
     return rows, texts_, roots
 
 
