@@ -269,7 +269,16 @@ class Shard:
         return self.slice(k)[0]
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols(), self.rules, self.lengths, self.vocabulary)[0]
+        """Every rule is expanded once and symbols take their ids from there, unless the rules' expansions are longer than the ids."""
+        symbols, v = self.symbols(), self.vocabulary
+        if not len(symbols) or self.lengths.sum() > self.n_ids:
+            return expand(symbols, self.rules, self.lengths, v)[0]
+        ids = np.concatenate([np.arange(v), expand(np.arange(v, v + len(self.rules)), self.rules, self.lengths, v)[0]])
+        lengths = np.concatenate([np.ones(v, np.int64), self.lengths])
+        begins = np.cumsum(lengths) - lengths
+        n = lengths[symbols]
+        ends = np.cumsum(n)
+        return ids[np.repeat(begins[symbols] - (ends - n), n) + np.arange(ends[-1])]
 
 
 FILES = "name string, bytes long, sha256 string, part long, before long, n_ids long, n_docs long"
@@ -297,8 +306,8 @@ def write(docs: DataFrame, folder: str, vocabulary_file: str, kind: str = "byte_
             return row
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = coder.ids(text) + tail
+            for key, ids in zip(batch.column(0).to_pylist(), coder.many(batch.column(1)), strict=True):
+                ids += tail
                 keys.append(key)
                 parts.append(ids)
                 held += len(ids) // 2
