@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 from urllib.request import url2pathname
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,6 +161,18 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(run, schema)
 
 
+def groups(places: np.ndarray, sizes: np.ndarray, bound: int) -> list[np.ndarray]:
+    """places, cut into runs whose sizes, none above bound, come to less than twice bound each."""
+    before = (np.cumsum(sizes, dtype=np.int64) - sizes) // bound
+    return np.split(places, np.flatnonzero(np.diff(before)) + 1) if len(places) else []
+
+
+def runs(values: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Runs of values, each given by where it begins and its length, one after the other."""
+    ends = np.cumsum(lengths)
+    return values[np.repeat(begins - (ends - lengths), lengths) + np.arange(ends[-1])]
+
+
 def give_back() -> None:
     """Memory that this process has freed goes back to the system: C libraries and Arrow keep much of it for later.
 
