@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .shared import groups, map_arrow, runs, texts
+from .shared import GROUP_ROWS, groups, map_arrow, runs, texts
 
 MARK = "▁"
 CACHE_WORDS = 400_000
@@ -38,8 +38,6 @@ CACHE_WORDS = 400_000
 CACHE_CHARS = 48
 #: UTF-8 bytes of the texts whose distinct words are found together; a longer text is encoded alone.
 GROUP_BYTES = 8 << 20
-#: Rows that a task looks at together, so that groups fill.
-BATCH_ROWS = 4000
 #: Stands where a text is cut within a word; texts that hold it are encoded alone.
 _WITHIN = "\v"
 #: Texts that aren't cut together: marks of their own, runs of marks, no words (for Arrow's expressions).
@@ -279,4 +277,4 @@ def encode(docs: DataFrame, model: str, with_ids: bool = False) -> DataFrame:
                 rows.append((n, sha(ids).hexdigest(), sha(decoded).hexdigest(), *([list(map(int, ids.split(b","))) if ids else [], decoded] if with_ids else [])))
             yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=names)
 
-    return map_arrow(texts(docs), run, SCHEMA + ", ids array<int>, decoded string" * with_ids, BATCH_ROWS)
+    return map_arrow(texts(docs), run, SCHEMA + ", ids array<int>, decoded string" * with_ids, GROUP_ROWS)

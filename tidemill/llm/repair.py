@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import contents, fingerprint, intact, map_arrow, partitions_for, put, put_manifest, scratch, texts
+from .shared import GROUP_ROWS, contents, fingerprint, intact, map_arrow, partitions_for, put, put_manifest, runs, scratch, texts
 from .words import word_ids
 
 MAGIC = b"TMRP0002"
@@ -276,9 +276,7 @@ class Shard:
         ids = np.concatenate([np.arange(v), expand(np.arange(v, v + len(self.rules)), self.rules, self.lengths, v)[0]])
         lengths = np.concatenate([np.ones(v, np.int64), self.lengths])
         begins = np.cumsum(lengths) - lengths
-        n = lengths[symbols]
-        ends = np.cumsum(n)
-        return ids[np.repeat(begins[symbols] - (ends - n), n) + np.arange(ends[-1])]
+        return runs(ids, begins[symbols], lengths[symbols])
 
 
 FILES = "name string, bytes long, sha256 string, part long, before long, n_ids long, n_docs long"
@@ -319,7 +317,7 @@ def write(docs: DataFrame, folder: str, vocabulary_file: str, kind: str = "byte_
     # the row's number spreads identical rows, whose order doesn't matter
     rows = texts(docs).withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
     ranged = rows.repartitionByRange(partitions_for(docs), "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "text")
-    return put_manifest(folder, map_arrow(ranged, run, FILES), {"vocabulary": kind, "end": end})
+    return put_manifest(folder, map_arrow(ranged, run, FILES, GROUP_ROWS), {"vocabulary": kind, "end": end})
 
 
 #: Of a shard's documents every so many-th is also read by its offset alone and must agree.

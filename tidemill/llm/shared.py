@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a map is given at once. Texts can be long; Spark also limits a batch's bytes (arrow.maxBytesPerBatch, 64 MB).
 ARROW_ROWS = 1000
+#: The same for maps that do once what rows have in common.
+GROUP_ROWS = 4000
 #: Ids up to which a side of a join is broadcast (16 MB at most); larger ones are merged.
 BROADCAST_IDS = 1_000_000
 #: Parquet bytes of input for which one task is planned when an operator has to choose a partition count.

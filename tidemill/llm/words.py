@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .shared import groups, runs
+
 #: Words kept per Python worker; the cache is emptied when full, which bounds its memory (about 200 bytes a word).
 CACHE_WORDS = 700_000
 
@@ -106,9 +108,7 @@ class WordIds:
         for i in np.flatnonzero(alone).tolist():
             out[i] = self.ids(column[i].as_py())
         rest = np.flatnonzero(~alone)
-        # a group begins where the bytes before it pass another multiple
-        before = (np.cumsum(n_bytes[rest], dtype=np.int64) - n_bytes[rest]) // GROUP_BYTES
-        for group in np.split(rest, np.flatnonzero(np.diff(before)) + 1) if len(rest) else []:
+        for group in groups(rest, n_bytes[rest], GROUP_BYTES):
             for i, ids in zip(group.tolist(), self._gathered(column.take(pa.array(group))), strict=True):
                 out[i] = ids
         return out
@@ -123,15 +123,13 @@ class WordIds:
         others = pc.binary_join(pa.ListArray.from_arrays([0, len(pieces.dictionary)], pieces.dictionary), f"{_BETWEEN} ")[0].as_py()
         joined = _BETWEEN.join(["", *firsts, f" {others}", ""])
         ids = np.frombuffer(self.plain(joined, set()), "=u4").astype("<u2")
-        marks = np.flatnonzero(ids == ids[-1]).astype(np.int32)
-        begins, lengths = marks[:-1] + np.int32(1), np.diff(marks) - np.int32(1)
-        which = which + np.int32(len(firsts))
+        marks = np.flatnonzero(ids == ids[-1])
+        which = which + len(firsts)
         which[offsets[:-1]] = np.arange(len(firsts))
-        n = lengths[which]
-        ends = np.cumsum(n, dtype=np.int32)
-        out = ids[np.repeat(begins[which] - (ends - n), n) + np.arange(ends[-1], dtype=np.int32)].tobytes()
-        at = (2 * ends[offsets[1:] - 1]).tolist()
-        return [out[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)]
+        n = np.diff(marks)[which] - 1
+        out = runs(ids, marks[which] + 1, n).tobytes()
+        at = (2 * np.concatenate([[0], np.cumsum(n)])[offsets]).tolist()
+        return [out[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def _piece_encoder(path: str, kind: str) -> tuple[Callable[[str], list[int] | None] | None, Callable[[str, set], bytes] | None]:
